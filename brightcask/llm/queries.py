@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brightcask.llm.common import documents
 from brightcask.llm.exact_dedup import exact_duplicates
+from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.packing import pack
 
@@ -20,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -27,6 +32,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_line_frequency": op4_line_frequency,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
@@ -36,4 +42,26 @@ ORACLES: dict[str, str] = {
         select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
                doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
         from t""",
+    "op4_line_frequency": r"""
+        with d as (select doc_id, coalesce('=' || source, '') as host, coalesce(text, '') as text from documents),
+        w as (select doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
+        l as (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from d),
+        l2 as (select *, lower(line) as low, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
+        k as (select *, regexp_replace(array_to_string(regexp_extract_all(low, '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') as key from l2 where n > 0),
+        hosts as (select host, count(distinct text) as host_docs from d group by host),
+        common as (select host, key from k join hosts using (host) group by host, key, host_docs having count(distinct text) > 10 and count(distinct text) > 0.05 * host_docs),
+        lost as (select doc_id, sum(n)::bigint as n_lost_words from k semi join common using (host, key) group by doc_id),
+        dup as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from k group by doc_id),
+        pos as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) > 2),
+        win as (select doc_id, i, words[i:i + 2] as win from pos),
+        again as (select doc_id, i from win qualify count(*) over (partition by doc_id, win) > 1),
+        rep as (select doc_id, count(distinct i + o) as n_repeat_words from again, (select unnest([0, 1, 2]) as o) group by doc_id),
+        m as (select doc_id, len(words)::bigint as n_words, coalesce(length(array_to_string(words, '')), 0)::bigint as word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                     coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lost_words, 0) as n_lost_words
+              from w left join dup using (doc_id) left join rep using (doc_id) left join lost using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words,
+               n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_lost_words <= 0.5 * n_words as kept
+        from m""",
 }
