@@ -11,6 +11,7 @@ from brightcask.llm.exact_dedup import exact_duplicates
 from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.packing import pack
+from brightcask.llm.toxicity import judge as judge_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_line_frequency": op4_line_frequency,
+    "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
