@@ -11,6 +11,7 @@ from brightcask.llm.exact_dedup import exact_duplicates
 from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.packing import pack
+from brightcask.llm.simhash import near_groups
 from brightcask.llm.toxicity import judge as judge_toxicity
 
 
@@ -34,12 +35,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_line_frequency": op4_line_frequency,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
