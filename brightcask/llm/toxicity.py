@@ -53,25 +53,18 @@ def features(text: str | None) -> np.ndarray:
     return np.array([x for w in words_of(text) for x in parts(w)], np.int64)
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: float, least_docs: int) -> np.ndarray:
-    """Features that significantly more positives have than unlabelled documents do; the model leaves out the rest."""
-    holders = lambda rows: np.bincount(np.concatenate([np.empty(0, np.int64), *map(np.unique, rows)]), minlength=1 << BITS)
-    p, u = holders(positive), holders(unlabelled)
-    p_rate, u_rate = p / len(positive), (u + 1) / (len(unlabelled) + 2)
-    z = (p_rate - u_rate) / np.sqrt(u_rate * (1 - u_rate) * (1 / len(positive) + 1 / len(unlabelled)))
-    return np.flatnonzero((p >= least_docs) & (z > least_z))
+def telling(positive: np.ndarray, unlabelled: np.ndarray, positives: int, others: int, least_z: float = 5.0, least_docs: int = 3) -> np.ndarray:
+    """Features that significantly more positives have than unlabelled documents do, from the documents with each feature; the model leaves out the rest."""
+    p_rate, u_rate = positive / positives, (unlabelled + 1) / (others + 2)
+    z = (p_rate - u_rate) / np.sqrt(u_rate * (1 - u_rate) * (1 / positives + 1 / others))
+    return np.flatnonzero((positive >= least_docs) & (z > least_z))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 500, rate: float = 0.05, decay: float = 1e-3, least_z: float = 5.0, least_docs: int = 3) -> Model:
-    """Adam on the non-negative risk of the whole sample, with the logistic loss."""
-    chosen = telling(positive, unlabelled, least_z, least_docs)
-    column = np.full(1 << BITS, -1)
-    column[chosen] = np.arange(len(chosen))
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, *, steps: int = 500, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """Adam on the non-negative risk of the whole sample, with the logistic loss. Rows hold indexes into chosen."""
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        col = column[np.concatenate([np.empty(0, np.int64), *rows])]
-        doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        return col[col >= 0], doc[col >= 0]
+        return np.concatenate([np.empty(0, np.int64), *rows]), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -94,15 +87,25 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights, float(w[k]))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents with it, unlabelled ones with it) of each batch; feature 2^BITS counts all documents."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))], names=["at"])
+        counts = np.zeros((2, (1 << BITS) + 1), np.int64)
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            counts[0 if toxic else 1][np.append(np.unique(features(text.as_py())), 1 << BITS)] += 1
+        at = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["feature", "p", "u"])
 
 
-def _sample(docs: DataFrame, text_col: str, rows: int) -> list[np.ndarray]:
-    """Features of the given documents, which are at most about rows; no more than rows of them."""
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(_featurise, "at array<int>").toArrow()
-    return [np.asarray(x.values, np.int64) for x in got.column("at")][:rows]
+def _columns(chosen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = np.full(1 << BITS, -1)
+        column[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            cols = [column[features(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], names=["toxic", "at"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 5, max_positive: int = 4000, max_unlabelled: int = 16000) -> Model | None:
@@ -117,17 +120,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     confirmed = slim.join(F.broadcast(chosen), "id")  # at most about max_positive ids
     plain = slim.filter((crc_fold("id", folds) != 0) & (draw < few(0.95 * max_unlabelled, docs.count())))
-    positive = _sample(confirmed, "text", max_positive)
-    unlabelled = _sample(plain, "text", max_unlabelled)
-    if not positive or not unlabelled:
+    sample = confirmed.select("text", F.lit(True).alias("toxic")).unionByName(plain.select("text", F.lit(False).alias("toxic")))
+    held = sample.mapInArrow(_holders, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    counts = np.zeros((2, (1 << BITS) + 1), np.int64)
+    counts[:, held.column("feature").to_numpy()] = held.column("p").to_numpy(), held.column("u").to_numpy()
+    (positives, others), counts = counts[:, -1], counts[:, :-1]
+    if not positives or not others:
         return None
-    return fit(positive, unlabelled, min(max(toxic / n, 1e-3), 1 - 1e-3))
+    chosen = telling(*counts, positives, others)
+    rows = sample.mapInArrow(_columns(chosen), "toxic boolean, at array<int>").toArrow()
+    of = lambda kind, most: [np.asarray(x.values, np.int64) for x, t in zip(rows.column("at"), rows.column("toxic").to_pylist(), strict=True) if t is kind][:most]
+    return fit(of(True, max_positive), of(False, max_unlabelled), chosen, min(max(toxic / n, 1e-3), 1 - 1e-3))
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column score."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with the column out, which it must not have yet."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +152,15 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             arrays = [*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
 
-    kept = [c for c in docs.columns if c != "score"]
+    kept = docs.columns
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text_col}`").alias("text"))
     schema = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept))
     scored = renamed.mapInArrow(run, f"{schema}, c{len(kept)} double")
-    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate([*kept, "score"])])
+    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate([*kept, out])])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted."""
     model = train(docs, labels, id_col, text_col, folds=folds)
-    scored = score(docs.select(id_col, text_col), model, id_col, text_col)
+    scored = score(docs.select(id_col, text_col), model, text_col)
     return scored.select(id_col, (crc_fold(id_col, folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
