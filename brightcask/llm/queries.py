@@ -11,6 +11,7 @@ from brightcask.llm.exact_dedup import exact_duplicates
 from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.packing import pack
+from brightcask.llm.pii import find as find_personal
 from brightcask.llm.simhash import near_groups
 from brightcask.llm.toxicity import judge as judge_toxicity
 
@@ -27,6 +28,10 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_line_frequency": op4_line_frequency,
+    "op5_pii_crf": op5_pii_crf,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
