@@ -12,6 +12,7 @@ from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.packing import pack
 from brightcask.llm.pii import find as find_personal
+from brightcask.llm.relative_lz import remove_repeats
 from brightcask.llm.simhash import near_groups
 from brightcask.llm.toxicity import judge as judge_toxicity
 
@@ -36,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_frequency": op4_line_frequency,
     "op5_pii_crf": op5_pii_crf,
     "op6_toxicity": op6_toxicity,
+    "op7_relative_lz": op7_relative_lz,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -82,4 +88,14 @@ ORACLES: dict[str, str] = {
                n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
                not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_lost_words <= 0.5 * n_words as kept
         from m""",
+    "op7_relative_lz": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        starts as (select doc_id, unnest(range(1, len(words) - 11)) as i, words from w where len(words) > 12),
+        win as (select doc_id, i, array_to_string(words[i:i + 12], ' ') as win from starts),
+        dup as (select doc_id, i from win qualify doc_id > min(doc_id) over (partition by win)),
+        gone as (select distinct doc_id, i + o as i from dup, (select unnest(range(13)) as o)),
+        each_word as (select doc_id, unnest(range(1, len(words) + 1)) as i, unnest(words) as word from w),
+        kept as (select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from each_word anti join gone using (doc_id, i) group by doc_id)
+        select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+        from w left join kept using (doc_id)""",
 }
