@@ -14,6 +14,7 @@ from brightcask.llm.packing import pack
 from brightcask.llm.pii import find as find_personal
 from brightcask.llm.relative_lz import remove_repeats
 from brightcask.llm.simhash import near_groups
+from brightcask.llm.suffix_sort import remove_repeats as remove_repeated_bytes
 from brightcask.llm.toxicity import judge as judge_toxicity
 
 
@@ -45,6 +46,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op9_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_relative_lz": op7_relative_lz,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_sort": op9_suffix_sort,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
