@@ -10,6 +10,7 @@ from brightcask.llm.common import documents
 from brightcask.llm.exact_dedup import exact_duplicates
 from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
+from brightcask.llm.ngram_lm import score as score_texts
 from brightcask.llm.packing import pack
 from brightcask.llm.pii import find as find_personal
 from brightcask.llm.relative_lz import remove_repeats
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_line_frequency": op4_line_frequency,
     "op5_pii_crf": op5_pii_crf,
     "op6_toxicity": op6_toxicity,
