@@ -1,4 +1,4 @@
-"""The relational queries by name, with their SQL."""
+"""The relational queries by name, with their SQL. Families register themselves when they are imported."""
 
 from __future__ import annotations
 
@@ -8,14 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """tables.orders is the orders table under the folder; reading is lazy, so a query scans only what it names."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Registers a function of Tables under its name, with DuckDB SQL for the same rows."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from brightcask.operators import aggregates, charts, joins, rows, scalars, semantics, windows  # noqa: F401
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return queries()["ask_top_nations_by_revenue"](spark, sf_dir)
