@@ -65,10 +65,10 @@ def string_ops(t: Tables) -> DataFrame:
     )
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice / l_quantity, 4) as unit, abs(l_discount - 0.05) < 0.011 as near_mean, floor(l_extendedprice)::bigint as low, ceil(l_extendedprice)::bigint as high, l_partkey % 7 as rest, round(sqrt(l_quantity), 6) as root, greatest(l_discount, l_tax) as larger, sign(l_tax - l_discount)::double as side from lineitem""")
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity as unit, abs(l_discount - 0.05) < 0.011 as near_mean, floor(l_extendedprice)::bigint as low, ceil(l_extendedprice)::bigint as high, l_partkey % 7 as rest, round(sqrt(l_quantity), 6) as root, greatest(l_discount, l_tax) as larger, sign(l_tax - l_discount)::double as side from lineitem""")
 def math_ops(t: Tables) -> DataFrame:
     c = F.col
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.try_divide(c("l_extendedprice"), c("l_quantity")), 4).alias("unit"), (F.abs(c("l_discount") - 0.05) < 0.011).alias("near_mean"), F.floor("l_extendedprice").alias("low"), F.ceil("l_extendedprice").alias("high"), (c("l_partkey") % 7).alias("rest"), F.round(F.sqrt("l_quantity"), 6).alias("root"), F.greatest("l_discount", "l_tax").alias("larger"), F.signum(c("l_tax") - c("l_discount")).alias("side"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.try_divide(c("l_extendedprice"), c("l_quantity")).alias("unit"), (F.abs(c("l_discount") - 0.05) < 0.011).alias("near_mean"), F.floor("l_extendedprice").alias("low"), F.ceil("l_extendedprice").alias("high"), (c("l_partkey") % 7).alias("rest"), F.round(F.sqrt("l_quantity"), 6).alias("root"), F.greatest("l_discount", "l_tax").alias("larger"), F.signum(c("l_tax") - c("l_discount")).alias("side"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.none') as missing from events")
