@@ -43,12 +43,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number, however long, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def pattern_spans(text: str) -> dict[str, list[Span]]:
     """Spans by kind. A match that fails its check is dropped and not tried again."""
     out: dict[str, list[Span]] = {k: [] for k in PATTERN_KINDS}
     if "@" in text:
         out["email"] = [("email", *m.span()) for m in EMAIL.finditer(text)]
-    out["ip"] = [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out["ip"] = [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -338,7 +344,7 @@ def _passes(found: str, kind: str) -> bool:
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
-        return all(p.isdigit() and int(p) <= 255 for p in found.split("."))
+        return all(p.isdecimal() and octet(p) for p in found.split("."))
     if kind == "phone":
         return 8 <= len(digits) <= 15
     return True
