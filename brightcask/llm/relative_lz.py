@@ -65,7 +65,10 @@ def _parse(window: int):
         block, now, waiting = Block(window), (None, None), []
         for batch in batches:
             out = []
-            for anchor, i, th, start, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "th", "start", "body")), strict=True):
+            for anchor, i, th, start, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "th", "start", "n", "body")), strict=True):
+                if body is None:  # settled already
+                    out.append((i, th, start, n))
+                    continue
                 if anchor != now[0]:
                     block, waiting = Block(window), []
                 elif i != now[1]:  # a document is no reference to itself
@@ -88,9 +91,8 @@ def _parse(window: int):
 def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, filter_bits: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
     found = pieces(rows, u, anchor_filter(rows, u, filter_bits), settle)
-    sent = found.filter("body is not null").select("anchor", "id", "th", "start", "body").repartition("anchor").sortWithinPartitions("anchor", "id")
-    known = found.filter("body is null").select("id", "th", "start", "n")
-    return known.unionByName(sent.mapInArrow(_parse(u.window), "id long, th long, start int, n int"))
+    blocks = found.select("anchor", "id", "th", "start", "n", "body").repartition("anchor").sortWithinPartitions("anchor", "id")
+    return blocks.mapInArrow(_parse(u.window), "id long, th long, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, filter_bits: int = FILTER_BITS) -> DataFrame:

@@ -21,8 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import staged
-
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 POS_BITS = 28
 PIECE_SCHEMA = "anchor long, id long, th long, start int, n int, at int, body binary"
@@ -126,27 +124,48 @@ def anchor_filter(rows: DataFrame, u: Units, filter_bits: int) -> np.ndarray:
     cells = twice.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()  # at most filter_bits / 64 rows
     out = np.zeros(filter_bits // 64, np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
+
+
+def holds(filt: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    slot = anchor % (8 * len(filt))
+    return (filt[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 Settle = Callable[[list[tuple]], Iterator[tuple]]
 
 
-def pieces(rows: DataFrame, u: Units, keep: np.ndarray, settle: Settle) -> DataFrame:
-    """Staged pieces (PIECE_SCHEMA): windows start, start + 1 ... of document (id, th), their anchor's place in the body, and the body.
+def joined(known: list[tuple]) -> Iterator[tuple]:
+    """Rows without a body, with windows that follow on each other in a document as one row. Their anchor is only to spread them."""
+    last: list | None = None
+    for _, i, th, start, n, *_ in sorted(known, key=lambda x: x[1:4]):
+        if last and last[1:3] == [i, th] and start <= last[3] + last[4]:
+            last[4] = max(last[4], start + n - last[3])
+        else:
+            if last:
+                yield tuple(last)
+            last = [th ^ start, i, th, start, n, 0, None]
+    if last:
+        yield tuple(last)
+
+
+def pieces(rows: DataFrame, u: Units, filt: np.ndarray, settle: Settle) -> DataFrame:
+    """Pieces (PIECE_SCHEMA): windows start, start + 1 ... of document (id, th), their anchor's place in the body, and the body.
 
     settle gets the occurrences (anchor, id, th, start, n, at, body) of equal bodies in a task and gives what is sent on; a row
     without a body says that these windows repeat.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(keep))
+    shared = rows.sparkSession.sparkContext.broadcast(filt)
 
     def flush(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
-        out = [x for same in held.values() for x in settle(same)]
+        all_rows = [x for same in held.values() for x in settle(same)]
+        out = [x for x in all_rows if x[-1] is not None]
+        out += joined([x for x in all_rows if x[-1] is None])
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["anchor", "id", "th", "start", "n", "at", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(shared.value).view(bool)
+        filt = shared.value
         held: dict[bytes, list[tuple]] = {}
         for i, value in _texts(batches):
             text = value.as_py()
@@ -155,7 +174,7 @@ def pieces(rows: DataFrame, u: Units, keep: np.ndarray, settle: Settle) -> DataF
             for first, at, h in segments(unit, u):
                 new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
                 ends = np.append(new[1:], len(at))
-                hit = keep[h[new] % len(keep)]
+                hit = holds(filt, h[new])
                 if not hit.any():
                     continue
                 th = th if th is not None else text_hash(text)
@@ -168,7 +187,7 @@ def pieces(rows: DataFrame, u: Units, keep: np.ndarray, settle: Settle) -> DataF
                 held = {}
         yield flush(held)
 
-    return staged(rows.mapInArrow(run, PIECE_SCHEMA), "pieces")
+    return rows.mapInArrow(run, PIECE_SCHEMA)
 
 
 def text_hash(text: str | None) -> int:

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.llm.common import staged
 from brightcask.llm.repeats import NO_ID, Units, anchor_filter, merged, pieces, slim, without
 
 FILTER_BITS = 1 << 26
@@ -195,7 +196,7 @@ def _combine(window: int, k: int):
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, filter_bits: int, bucket_rows: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
-    found = pieces(rows, u, anchor_filter(rows, u, filter_bits), settle)
+    found = staged(pieces(rows, u, anchor_filter(rows, u, filter_bits), settle), "pieces")
     sent = found.filter("body is not null")
     buckets = max(1, sent.count() // bucket_rows)
     runs = sent.mapInArrow(_runs(buckets), RUN_SCHEMA).repartition("bucket").sortWithinPartitions("bucket", "run", "seq")
