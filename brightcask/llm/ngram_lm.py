@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import crc_fold, staged
+from brightcask.llm.common import crc_fold, release, staged
 
 FOLDS = 10
 DEV_FOLDS = 20  # fold 1 of so many is held out from the training documents for the weights
@@ -160,7 +160,8 @@ def learn_weights(b: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarray,
         part = (part / part.sum(0) * n).sum(1)
         shared = part / part.sum()
     weights = np.tile(shared, (65, 1))
-    weights[0] = [0.0, *(shared[1:] / max(shared[1:].sum(), 1e-12))]
+    rest = shared[1:] + 1e-9
+    weights[0] = [0.0, *(rest / rest.sum())]
     for bucket in np.unique(b):
         of = b == bucket
         prior = weights[bucket].copy()
@@ -186,7 +187,7 @@ def _score(buckets: int, weights: np.ndarray, tokens: int, types: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, batch_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, batch_bytes: int = 12 << 20) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("fold", fold("id"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -198,6 +199,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ba
 
     asked = rows.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, keys array<long>, fit array<int>, dev array<int>")
     answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, fit array<long>, dev array<long>, types long, tokens long, fit_tokens long"), "counts")
+    del asked
+    release(docs.sparkSession)
     types, tokens, fit_tokens = (x or 0 for x in answers.agg(F.sum("types"), F.sum("tokens"), F.sum("fit_tokens")).first())
 
     told = answers.select("batch", "bucket", "fit", "dev")
