@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Whether Spark drops a job's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: dict[str, str] = {}
 
 
@@ -32,19 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
+    """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation.
+
+    When it is written, Spark drops the shuffle files of the job, which nothing needs any more.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Collects garbage here and in the driver's JVM, so that Spark drops shuffle files of jobs that are over and that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc_fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import crc_fold, release, staged
+from brightcask.llm.common import crc_fold, staged
 
 FOLDS = 10
 DEV_FOLDS = 20  # fold 1 of so many is held out from the training documents for the weights
@@ -88,42 +88,57 @@ def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """The keys' first bytes, then their second bytes and so on: sorted keys share high bytes, which the shuffle's compression finds so."""
+    return keys.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _ask(buckets: int):
-    """A batch's question, a row for each bucket: keys, and how often the batch's fitting and held-out documents have them."""
+    """A batch's question, a row for each bucket: keys, and how often the batch's training documents have them."""
 
     def run(table: pa.Table) -> pa.Table:
         b = read(table.column("text").to_pylist(), buckets)
-        part = table.column("fold").to_numpy()
-        doc = np.repeat(part, b.lengths)
-        starts = tokens_start(b.lengths.tolist())
-        counts = []
-        for kind in (FIT, DEV):
-            of = doc == kind
-            n = np.bincount(b.word[of], minlength=len(b.keys)) + np.bincount(b.pair[of], minlength=len(b.keys))
-            n[b.context[starts]] = (part == kind).sum()  # a text starts once
-            counts.append(n)
+        train = table.column("fold").to_numpy() != OTHER
+        of = np.repeat(train, b.lengths)
+        n = np.bincount(b.word[of], minlength=len(b.keys)) + np.bincount(b.pair[of], minlength=len(b.keys))
+        n[b.context[tokens_start(b.lengths.tolist())]] = train.sum()  # a text starts once
         cuts = np.append(np.flatnonzero(np.append(True, b.bucket[1:] != b.bucket[:-1])), len(b.keys))
         at = b.bucket[cuts[:-1]]
-        return pa.table({"bucket": pa.array(at, pa.int32()), "batch": pa.array(np.full(len(at), table.column("batch")[0].as_py()), pa.int32()), "keys": _lists(b.keys, cuts, pa.int64()), "fit": _lists(counts[0], cuts, pa.int32()), "dev": _lists(counts[1], cuts, pa.int32())})
+        keys = [planes(b.keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"bucket": pa.array(at, pa.int32()), "batch": pa.array(np.full(len(at), table.column("batch")[0].as_py()), pa.int32()), "keys": pa.array(keys, pa.binary()), "n": _lists(n, cuts, pa.int32())})
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """A bucket's answers: all batches' counts for the keys of each question, in its order; on one row, the training words and tokens counted here."""
-    flat = lambda name: table.column(name).combine_chunks().values.to_numpy()
-    keys, at = np.unique(flat("keys"), return_inverse=True)
-    fit, dev = (np.bincount(at, flat(n), len(keys)).astype(np.int64) for n in ("fit", "dev"))
-    cuts = np.append(0, np.cumsum([len(x) for x in table.column("keys")]))
-    words = (keys % 2 == 0) & (fit + dev > 0)
-    once = np.zeros(table.num_rows, np.int64)
-    once[0] = 1
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "fit": _lists(fit[at], cuts, pa.int64()), "dev": _lists(dev[at], cuts, pa.int64()), "types": pa.array(once * int(words.sum())), "tokens": pa.array(once * int((fit + dev)[words].sum())), "fit_tokens": pa.array(once * int(fit[words].sum()))})
+def _answer(batches: int):
+    """A bucket's answers: the counts of all batches for the keys of each question, in its order, and to held-out batches also those of the
+    fitting documents; on one row, the training words and tokens counted here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [from_planes(x.as_buffer()) for x in table.column("keys")]
+        lengths = np.array([len(x) for x in asked])
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = table.column("n").combine_chunks().values.to_numpy()
+        is_dev = table.column("batch").to_numpy() >= batches
+        dev_key = np.repeat(is_dev, lengths)
+        total = np.bincount(at, n, len(keys)).astype(np.int64)
+        fit = np.bincount(at[~dev_key], n[~dev_key], len(keys)).astype(np.int64)
+        cuts, dev_cuts = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths * is_dev))
+        words = (keys % 2 == 0) & (total > 0)
+        once = np.zeros(table.num_rows, np.int64)
+        once[0] = 1
+        sums = {k: pa.array(once * int(v)) for k, v in (("types", words.sum()), ("tokens", total[words].sum()), ("fit_tokens", fit[words].sum()))}
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "total": _lists(total[at], cuts, pa.int64()), "fit": _lists(fit[at[dev_key]], dev_cuts, pa.int64()), **sums})
+
+    return run
 
 
-def _answered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.sort_by("bucket")
-    return tuple(np.concatenate([np.empty(0, np.int64), *(x.values.to_numpy() for x in table.column(n))]) for n in ("fit", "dev"))
+def _answered(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(x.values.to_numpy() for x in table.sort_by("bucket").column(name))])
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -140,7 +155,7 @@ def _cells(buckets: int, fit_tokens: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if docs.num_rows:
-            b, (c, _) = read(docs.column("text").to_pylist(), buckets), _answered(answers)
+            b, c = read(docs.column("text").to_pylist(), buckets), _answered(answers, "fit")
             p2, p1 = _ratio(c[b.pair], c[b.context]), _ratio(c[b.word], fit_tokens)
             q2, q1 = (np.where(p > 0, np.rint(-STEPS * np.log2(np.where(p > 0, p, 1))), -1).astype(np.int64) for p in (p2, p1))
             cell, at = np.unique((bucket_of(c[b.context]) * 1024 + q2 + 1) * 1024 + q1 + 1, return_inverse=True)
@@ -174,8 +189,7 @@ def learn_weights(b: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarray,
 
 def _score(buckets: int, weights: np.ndarray, tokens: int, types: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        b, (fit, dev) = read(docs.column("text").to_pylist(), buckets), _answered(answers)
-        c = fit + dev
+        b, c = read(docs.column("text").to_pylist(), buckets), _answered(answers, "total")
         known = c[b.word]
         w = weights[bucket_of(c[b.context])]
         p = w[:, 0] * _ratio(c[b.pair], c[b.context]) + w[:, 1] * _ratio(known, tokens) + w[:, 2] / (types + 1)
@@ -197,18 +211,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ba
     draw = F.xxhash64("id", F.octet_length("text"))
     rows = rows.withColumn("batch", F.when(F.col("fold") == DEV, batches + F.pmod(draw, F.lit(held_out))).otherwise(F.pmod(draw, F.lit(batches))).cast("int"))
 
-    asked = rows.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, keys array<long>, fit array<int>, dev array<int>")
-    answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, fit array<long>, dev array<long>, types long, tokens long, fit_tokens long"), "counts")
-    del asked
-    release(docs.sparkSession)
+    asked = rows.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, keys binary, n array<int>")
+    answers = staged(asked.groupBy("bucket").applyInArrow(_answer(batches), "batch int, bucket int, total array<long>, fit array<long>, types long, tokens long, fit_tokens long"), "counts")
     types, tokens, fit_tokens = (x or 0 for x in answers.agg(F.sum("types"), F.sum("tokens"), F.sum("fit_tokens")).first())
 
-    told = answers.select("batch", "bucket", "fit", "dev")
-    dev = rows.filter(F.col("fold") == DEV).groupBy("batch").cogroup(told.filter(F.col("batch") >= batches).groupBy("batch"))
+    dev = rows.filter(F.col("fold") == DEV).groupBy("batch").cogroup(answers.filter(F.col("batch") >= batches).select("batch", "bucket", "fit").groupBy("batch"))
     cells = dev.applyInArrow(_cells(buckets, fit_tokens), "cell long, n long, p2 double, p1 double").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("n", "p2", "p1")]).toArrow()
     cell, n, p2, p1 = (cells.column(x).to_numpy() for x in ("cell", "n", "p2", "p1"))
     weights = learn_weights(cell >> 20, n, p2 / np.maximum(n, 1), p1 / np.maximum(n, 1), 1 / (types + 1))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_score(buckets, weights, tokens, types), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = rows.groupBy("batch").cogroup(answers.select("batch", "bucket", "total").groupBy("batch")).applyInArrow(_score(buckets, weights, tokens, types), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)
