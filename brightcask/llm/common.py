@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _folders: dict[str, str] = {}
+_lock = threading.Lock()
+_writing: dict[str, tuple[int, str | None]] = {}  # by application: writes under way, and the session's own setting
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,16 +26,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (tests on one machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
+    """The folder that driver and executors share. On one machine, where the session names none, a temporary one; elsewhere that is an
+    error, for executors would write to disks of their own."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
         return named
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _folders:
         _folders[app] = tempfile.mkdtemp(prefix="brightcask-")
     return _folders[app]
 
 
+class _Cleanup:
+    """Turns CLEANUP on while any table is written, also by several threads at once, and back when none is."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.app = spark, spark.sparkContext.applicationId
+
+    def __enter__(self) -> None:
+        with _lock:
+            n, before = _writing.get(self.app, (0, None))
+            if n == 0:
+                before = self.spark.conf.get(CLEANUP, None)
+                self.spark.conf.set(CLEANUP, "true")
+            _writing[self.app] = (n + 1, before)
+
+    def __exit__(self, *_: object) -> None:
+        with _lock:
+            n, before = _writing[self.app]
+            _writing[self.app] = (n - 1, before)
+            if n > 1:
+                return
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation.
 
@@ -40,16 +72,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _Cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_fold(id_col: str | Column, folds: int) -> Column:

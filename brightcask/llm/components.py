@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import staged
+from brightcask.llm.common import dropped, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def components(links: DataFrame) -> DataFrame:
             return at
         last = now
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        near = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = staged(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        at = staged(small.filter("u <> v").distinct(), "small-star")
+        done, at = at, staged(small.filter("u <> v").distinct(), "small-star")
+        dropped(done, near, large, least)
