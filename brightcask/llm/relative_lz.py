@@ -1,102 +1,197 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference is the text of all documents with smaller ids, in blocks: a block holds the pieces around one anchor (see repeats.py) and
-is indexed by its windows. Every piece goes to the block of its anchor, the only one in which its windows can be found, and
-is factored there greedily against the pieces of smaller documents: a window found in the index starts a factor, which runs
-on as long as the reference goes on alike, and all windows inside it are duplicates. At a factor's end, the windows across the
-boundary are looked up each, for they may occur elsewhere in the block. Blocks are read in order of anchor and id, one after another,
-so a task holds the index of one block.
+The reference is the text of all documents with smaller ids, in blocks: a block holds the pieces (see repeats.py) of a range of anchors,
+and every piece goes to the block of its anchor, the only one in which its windows can be found. A block is indexed by a suffix
+array over its words. From it comes, for every place, the longest factor that also starts in a smaller document: of all suffixes that
+share so many words, the smallest id is below the place's own. Each piece is parsed greedily into such longest factors; a factor as long
+as a window at least makes all windows inside it duplicates, and at its end the windows across the boundary are looked up one by one,
+for they may occur elsewhere in the block.
+
+Parsing has two rounds of the same kind. A task first parses its own pieces against each other; of those it sends on only the words
+around windows that it did not find. So a passage of a third of all documents reaches its block once for each task. The blocks then
+find what lies in other tasks. Rows of a block come in order of anchor and id; a task holds one block, of about block_rows pieces, and
+of an anchor with more pieces than that only the pieces with windows of their own.
 
 A window is a duplicate if its words also start in a document with a smaller id; a null id counts as larger than all, and rows with
-one id are no duplicates of each other. Null and empty texts have no words. Rows with equal id and text get equal results.
+one id are no duplicates of each other. Null and empty texts have no words. Rows with equal id and text get equal results. Very long
+texts are read in overlapping segments. Empty tables give empty results; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.repeats import Units, anchor_filter, merged, pieces, slim, without
+from brightcask.llm.common import staged
+from brightcask.llm.repeats import RANGES, Units, candidates, found_pieces, frequent, joined, slim, without
 
-FILTER_BITS = 1 << 27
+BLOCK_ROWS = 50_000
+PIECES = "anchor long, id long, th long, start int, n int, body binary"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def settle(same: list[tuple]) -> Iterator[tuple]:
-    """Of equal pieces in a task, those of the smallest document are sent on; the others are duplicates of it."""
-    least = min(x[1] for x in same)
-    for anchor, i, th, start, n, at, body in same:
-        yield (anchor, i, th, start, n, at, body if i == least else None)
+class Block:
+    """The words of pieces one after another, and the suffix array of the places where a window starts."""
+
+    def __init__(self, bodies: pa.Array, window: int) -> None:
+        split = pc.split_pattern(bodies, " ")
+        self.window, self.words = window, split.values
+        self.start = split.offsets.to_numpy().astype(np.int64)  # of each piece, and the end
+        lengths = np.diff(self.start)
+        self.piece = np.repeat(np.arange(len(lengths)), lengths)
+        self.left = self.start[1:][self.piece] - np.arange(len(self.piece))  # words of the piece from here on
+        self.at = np.flatnonzero(self.left >= window)
+        levels = [self.words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1]
+        width, longest = 1, int(lengths.max(initial=1))
+        while width < longest:  # ranks of 1, 2, 4 ... words; an end comes before any word
+            rank = levels[-1]
+            after = np.zeros_like(rank)
+            after[:-width] = np.where(self.left[:-width] > width, rank[width:], 0)
+            levels.append(np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1] + 1)
+            width *= 2
+        self.order = self.at[np.argsort(levels[-1][self.at], kind="stable")]
+        self.shared = self._shared(levels)
+
+    def _shared(self, levels: list[np.ndarray]) -> np.ndarray:
+        """Words that each suffix shares with the one before it in order."""
+        a, b = self.order[:-1], self.order[1:]
+        most, n = np.minimum(self.left[a], self.left[b]), np.zeros(max(0, len(self.order) - 1), np.int64)
+        for i in range(len(levels) - 1, -1, -1):
+            live = n < most
+            n[live] += (levels[i][a[live] + n[live]] == levels[i][b[live] + n[live]]).astype(np.int64) << i
+        return np.minimum(n, most)
+
+    def longest_factors(self, ids: np.ndarray) -> np.ndarray:
+        """By word: the most words from here, a window at least, that also start in a piece with a smaller id; else 0. ids: of the pieces."""
+        out = np.zeros(len(self.piece), np.int64)
+        if len(self.order):
+            own = ids[self.piece[self.order]]
+            found = np.zeros(len(own), np.int64)
+            for n in range(self.window, int(self.left[self.at].max()) + 1):
+                cut = np.flatnonzero(np.append(True, self.shared < n))
+                least = np.repeat(np.minimum.reduceat(own, cut), np.diff(np.append(cut, len(own))))
+                found[least < own] = n
+            out[self.order] = found
+        return out
+
+    def parse(self, ids: np.ndarray) -> np.ndarray:
+        """By word: whether the window that starts here is a duplicate."""
+        factor = self.longest_factors(ids)
+        gone = np.zeros(len(factor) + 1, np.int32)
+        crossing = np.zeros(len(factor), bool)
+        at, last = self.start[:-1].copy(), self.start[1:] - self.window
+        while (live := np.flatnonzero(at <= last)).size:
+            here, end = at[live], last[live]
+            length = factor[here]
+            hit = length > 0
+            first, stop, end = here[hit], (here + length)[hit], end[hit]
+            np.add.at(gone, first, 1)
+            np.add.at(gone, stop - self.window + 1, -1)
+            for o in range(1, self.window):  # the windows across the boundary
+                across = stop - self.window + o
+                across = across[across <= end]
+                crossing[across] |= factor[across] > 0
+            at[live] = here + np.where(hit, length, 1)
+        return (np.cumsum(gone)[:-1] > 0) | crossing
+
+    def runs(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, first window in it, windows) of each run of windows with of set."""
+        flag = np.concatenate([[0], (of & (self.left >= self.window)).astype(np.int8), [0]])
+        change = np.diff(flag)
+        first, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        piece = self.piece[first]
+        return piece, first - self.start[piece], stop - first
+
+
+def _rows(cols: list, kinds: list[pa.DataType], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in names.split(", ")])
+
+
+def _cut(body: bytes, first: int, words: int) -> bytes:
+    parts = body.split(b" ")
+    return body if first == 0 and words == len(parts) else b" ".join(parts[first : first + words])
+
+
+def _own(u: Units, shared, block_rows: int):
+    """Candidates in; PIECES out: what the task finds among its own (without a body), and what it sends on."""
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, i, th, start, _, _, body = zip(*held, strict=True)
+        block = Block(pa.array(body, pa.binary()), u.window)
+        i, th, start = (np.array(x, np.int64) for x in (i, th, start))
+        gone = block.parse(i)
+        piece, first, n = block.runs(gone)
+        found = joined(i[piece], th[piece], start[piece] + first, n)
+        yield _rows([found[1], *found, pa.nulls(len(found[0]), pa.binary())], KINDS, PIECES)
+        piece, first, n = block.runs(~gone)
+        bodies = [_cut(body[p], f, m + u.window - 1) for p, f, m in zip(piece.tolist(), first.tolist(), n.tolist(), strict=True)]
+        yield _rows([np.array(anchor, np.int64)[piece], i[piece], th[piece], start[piece] + first, n, bodies], KINDS, PIECES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, held = np.unpackbits(shared.value), []
+        for batch in batches:
+            held += found_pieces(batch, u, common)
+            if len(held) >= block_rows:
+                yield from settle(held)
+                held = []
+        if held:
+            yield from settle(held)
+
+    return run
 
-class Block:
-    """The reference around one anchor: earlier pieces by the windows that they hold."""
-
-    def __init__(self, window: int) -> None:
-        self.window, self.pieces, self.index = window, [], {}
-
-    def add(self, words: list[bytes]) -> None:
-        ref = len(self.pieces)
-        self.pieces.append(words)
-        for i in range(len(words) - self.window + 1):
-            self.index.setdefault(b" ".join(words[i : i + self.window]), (ref, i))
-
-    def factors(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(first window, windows) of each factor that is as long as a window at least."""
-        i, last = 0, len(words) - self.window
-        while i <= last:
-            found = self.index.get(b" ".join(words[i : i + self.window]))
-            if found is None:
-                i += 1
-                continue
-            ref, at = self.pieces[found[0]], found[1] + self.window
-            end = i + self.window
-            while end < len(words) and at < len(ref) and words[end] == ref[at]:
-                end, at = end + 1, at + 1
-            n = end - i - self.window + 1
-            yield i, n
-            i += n
 
+def _blocks(window: int, block_rows: int):
+    """PIECES in order of anchor and id in; RANGES out."""
 
-def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, now, waiting = Block(window), (None, None), []
+        held: list[pa.RecordBatch] = []
+        known = 0  # rows at the start that have been parsed already
+
+        def settle(table: pa.Table, known: int) -> tuple[pa.RecordBatch, pa.Table]:
+            i, th, start = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "th", "start"))
+            block = Block(table.column("body").combine_chunks(), window)
+            gone = block.parse(i)
+            piece, first, n = block.runs(gone)
+            new = piece >= known
+            own = np.unique(block.runs(~gone)[0])
+            out = joined(i[piece[new]], th[piece[new]], start[piece[new]] + first[new], n[new])
+            return _rows(out, KINDS[1:5], RANGES), table.take(pa.array(own))
+
         for batch in batches:
-            out = []
-            for anchor, i, th, start, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "th", "start", "n", "body")), strict=True):
-                if body is None:  # settled already
-                    out.append((i, th, start, n))
-                    continue
-                if anchor != now[0]:
-                    block, waiting = Block(window), []
-                elif i != now[1]:  # a document is no reference to itself
-                    for words in waiting:
-                        block.add(words)
-                    waiting = []
-                now = (anchor, i)
-                words = body.split(b" ")
-                whole = 0
-                for at, n in block.factors(words):
-                    out.append((i, th, start + at, n))
-                    whole += n
-                if whole < len(words) - window + 1:  # a piece that the block has wholly adds nothing to it
-                    waiting.append(words)
-            yield merged(out)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < block_rows or not batch.num_rows:
+                continue
+            table = pa.Table.from_batches(held)
+            anchor = table.column("anchor").to_numpy()
+            last = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if last:
+                out, _ = settle(table.slice(0, last), known)
+                held, known = table.slice(last).to_batches(), 0
+            else:
+                out, rest = settle(table, known)
+                held, known = rest.to_batches(), rest.num_rows
+            yield out
+        if held:
+            yield settle(pa.Table.from_batches(held), known)[0]
 
     return run
 
 
-def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, filter_bits: int) -> DataFrame:
+def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, block_rows: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
-    found = pieces(rows, u, anchor_filter(rows, u, filter_bits), settle)
-    blocks = found.select("anchor", "id", "th", "start", "n", "body").repartition("anchor").sortWithinPartitions("anchor", "id")
-    return blocks.mapInArrow(_parse(u.window), "id long, th long, start int, n int")
+    shared = frequent(rows, u)
+    found = staged(candidates(rows, u, shared).mapInArrow(_own(u, shared, block_rows), PIECES), "pieces")
+    blocks = found.filter("body is not null").repartition("anchor").sortWithinPartitions("anchor", "id")
+    return found.filter("body is null").select("id", "th", "start", "n").unionByName(blocks.mapInArrow(_blocks(u.window, block_rows), RANGES))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256."""
-    u = Units(words=True, window=window, k=4)
-    out = without(docs, duplicate_windows(docs, id_col, text_col, u, filter_bits), u, id_col, text_col)
+    u = Units(words=True, window=window, k=8 if window > 8 else 1)
+    out = without(docs, duplicate_windows(docs, id_col, text_col, u, block_rows), u, id_col, text_col)
     return out.select(F.col("given").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")

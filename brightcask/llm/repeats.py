@@ -2,29 +2,38 @@
 
 A window is so many consecutive units (words or bytes) of one document. Its anchor is the k-gram with the smallest hash among those
 inside it, so equal windows have equal anchors at the same place, and neighbouring windows mostly share theirs. Only windows whose
-anchor occurs twice can repeat. That is kept in a filter of a fixed number of bits (wrong only on the side of too many
-windows), so the text of all other windows never leaves its task. The windows of one occurrence of an anchor are a piece.
+anchor occurs twice can repeat. The windows of one occurrence of an anchor are a piece.
 
-Within a task, pieces that are equal are settled among themselves and one of them is sent on, so an often repeated passage
-arrives at its place once for each task.
+Anchors are counted by a shuffle of (anchor, document) and the repeated ones go back to their documents by a join, so nothing that grows
+with the corpus is broadcast and texts without a repeated anchor end there.
+
+k-grams that are frequent in a sample of documents are anchors only of windows that have no others. A passage of a third of all documents
+then has pieces of its own text alone, equal in all of them, and windows that reach beyond it have an anchor that is rare. The sample
+decides only where the work is done: windows that are equal have equal anchors whatever it holds.
+
+Null and empty texts have no windows. Texts are read whole, however long: long ones in segments that overlap by a window. Rows that
+repeat, with or without an id, are rows of their own. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.llm.common import dropped, staged
+
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 POS_BITS = 28
-PIECE_SCHEMA = "anchor long, id long, th long, start int, n int, at int, body binary"
-MANY_PIECES = 200_000
+CELL_BITS = 22  # classes of k-grams whose frequency is kept: 512 KB of flags
+RANGES = "id long, th long, start int, n int"
 
 
 @dataclass(frozen=True)
@@ -56,13 +65,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(unit: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: its anchor's place and hash. unit: numbers of one document's units."""
+def kgrams(unit: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k-gram."""
     h = unit
-    for step in range(u.k.bit_length() - 1):  # hashes of 2, 4, ... k units
+    for step in range(k.bit_length() - 1):  # hashes of 2, 4, ... k units
         h = _mix(h[: -(1 << step)] * np.uint64(2 * step + 3) + _mix(h[1 << step :]))
+    return h
+
+
+def anchors(unit: np.ndarray, u: Units, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: its anchor's place and hash. unit: numbers of one document's units; common: flags by class of k-gram."""
+    h = kgrams(unit, u.k)
     place = np.uint64((1 << POS_BITS) - 1)
-    least = (h & ~place) | (np.arange(len(h), dtype=np.uint64) & place)
+    rank = (h >> np.uint64(1)) | (common[h >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(63))
+    least = (rank & ~place) | (np.arange(len(h), dtype=np.uint64) & place)
     many, have = u.window - u.k + 1, 1
     while 2 * have <= many:
         least = np.minimum(least[:-have], least[have:])
@@ -73,127 +89,113 @@ def anchors(unit: np.ndarray, u: Units) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at].view(np.int64)
 
 
-def segments(unit: np.ndarray, u: Units, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def segments(unit: np.ndarray, u: Units, common: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first window, places, hashes) over a document's windows, at most so many at once; places count from the document's start."""
     for first in range(0, len(unit) - u.window + 1, most):
-        at, h = anchors(unit[first : first + most + u.window - 1], u)
+        at, h = anchors(unit[first : first + most + u.window - 1], u, common)
         yield first, at + first, h
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
-    for batch in batches:
-        yield from zip(batch.column("id").to_pylist(), batch.column("text"), strict=True)
+# ---- which k-grams are frequent
 
 
-def _sightings(u: Units, most: int = 1 << 21):
-    """(anchor, id) in two rows at most for each anchor: its smallest and largest document, or (bytes) two of its places."""
-
-    def flush(hs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        h, i = np.concatenate([np.empty(0, np.int64), *hs]), np.concatenate([np.empty(0, np.int64), *ids])
-        order = np.lexsort((i, h))
-        h, i = h[order], i[order]
-        first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
-        last = np.append(h[1:] != h[:-1], True) if len(h) else first
-        kept = first | (last & (i[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))] != i)) if u.words else first | last
-        return pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(i[kept])], names=["anchor", "id"])
+def _counted(u: Units):
+    """(cell, n) of the classes of k-grams that a task has twice or more; cell -1 counts all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ids, size = [], [], 0
-        for i, text in _texts(batches):
-            for _, at, h in segments(u.read(text.as_py())[0], u):
-                new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                hs.append(h[new])
-                ids.append(np.full(len(new), i))
-                size += len(new)
-            if size > most:
-                yield flush(hs, ids)
-                hs, ids, size = [], [], 0
-        yield flush(hs, ids)
+        n = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                unit = u.read(text.as_py())[0]
+                if len(unit) >= u.k:
+                    np.add.at(n, (kgrams(unit, u.k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n.sum(), n[at]))], names=["cell", "n"])
 
     return run
 
 
-def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+def frequent(rows: DataFrame, u: Units, sample: int = 20_000, least: int = 20) -> Broadcast:
+    """Flags of the classes of k-grams that are frequent among about `sample` documents, eight to a byte."""
+    every = max(1, rows.count() // sample)
+    counts = rows.filter(F.pmod(F.xxhash64("th"), F.lit(every)) == 0).select("text").mapInArrow(_counted(u), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    total = counts.filter("cell = -1").first()
+    cells = counts.filter(F.col("n") > max(least, 8 * (total.n if total else 0) >> CELL_BITS)).filter("cell >= 0").select("cell").toArrow()  # at most 2^CELL_BITS / 8
+    flags = np.zeros(1 << CELL_BITS, np.uint8)
+    flags[cells.column("cell").to_numpy()] = 1
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
 
-def anchor_filter(rows: DataFrame, u: Units, filter_bits: int) -> np.ndarray:
-    """A bit for each slot that an anchor of two documents (bytes: places) hashes to: filter_bits / 8 bytes, however large the corpus."""
-    seen = rows.mapInArrow(_sightings(u), "anchor long, id long").groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    twice = seen.filter("lo < hi" if u.words else "n > 1").select(F.pmod("anchor", F.lit(filter_bits)).alias("slot"))
-    cells = twice.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()  # at most filter_bits / 64 rows
-    out = np.zeros(filter_bits // 64, np.int64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return out.view(np.uint8)
+# ---- which windows may repeat
 
 
-def holds(filt: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    slot = anchor % (8 * len(filt))
-    return (filt[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, th, doc): doc stands for the id and the text."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("th", F.xxhash64("text")).withColumn("doc", F.xxhash64("id", "th"))
 
 
-Settle = Callable[[list[tuple]], Iterator[tuple]]
+def _sightings(u: Units, shared: Broadcast):
+    """(anchor, doc, n) for each row's anchors."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(shared.value)
+        for batch in batches:
+            hs, ids, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                seen = [h[np.append(True, at[1:] != at[:-1])] for _, at, h in segments(u.read(text.as_py())[0], u, common)]
+                if seen:
+                    h, n = np.unique(np.concatenate(seen), return_counts=True)
+                    hs.append(h)
+                    ids.append(np.full(len(h), doc))
+                    ns.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns)], names=["anchor", "doc", "n"])
 
-def joined(known: list[tuple]) -> Iterator[tuple]:
-    """Rows without a body, with windows that follow on each other in a document as one row. Their anchor is only to spread them."""
-    last: list | None = None
-    for _, i, th, start, n, *_ in sorted(known, key=lambda x: x[1:4]):
-        if last and last[1:3] == [i, th] and start <= last[3] + last[4]:
-            last[4] = max(last[4], start + n - last[3])
-        else:
-            if last:
-                yield tuple(last)
-            last = [th ^ start, i, th, start, n, 0, None]
-    if last:
-        yield tuple(last)
+    return run
 
 
-def pieces(rows: DataFrame, u: Units, filt: np.ndarray, settle: Settle) -> DataFrame:
-    """Pieces (PIECE_SCHEMA): windows start, start + 1 ... of document (id, th), their anchor's place in the body, and the body.
+def candidates(rows: DataFrame, u: Units, shared: Broadcast) -> DataFrame:
+    """(id, th, text, anchors): the rows with an anchor that two rows have (bytes: or one row twice), and those anchors.
 
-    settle gets the occurrences (anchor, id, th, start, n, at, body) of equal bodies in a task and gives what is sent on; a row
-    without a body says that these windows repeat.
+    Two rows with one id and one text are one document here: for words they are no repeats of each other, and for bytes n counts both.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(filt)
-
-    def flush(held: dict[bytes, list[tuple]]) -> pa.RecordBatch:
-        all_rows = [x for same in held.values() for x in settle(same)]
-        out = [x for x in all_rows if x[-1] is not None]
-        out += joined([x for x in all_rows if x[-1] is None])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=["anchor", "id", "th", "start", "n", "at", "body"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = shared.value
-        held: dict[bytes, list[tuple]] = {}
-        for i, value in _texts(batches):
-            text = value.as_py()
-            unit, body, offsets = u.read(text)
-            th = None
-            for first, at, h in segments(unit, u):
-                new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                ends = np.append(new[1:], len(at))
-                hit = holds(filt, h[new])
-                if not hit.any():
-                    continue
-                th = th if th is not None else text_hash(text)
-                for a, z, place, anchor in zip(new[hit].tolist(), ends[hit].tolist(), at[new[hit]].tolist(), h[new[hit]].tolist(), strict=True):
-                    start, stop = first + a, first + z + u.window - 1
-                    part = body[start:stop] if offsets is None else body[offsets[start] : offsets[stop] - 1]
-                    held.setdefault(part, []).append((anchor, i, th, start, z - a, place - start, part))
-            if len(held) > MANY_PIECES:
-                yield flush(held)
-                held = {}
-        yield flush(held)
-
-    return rows.mapInArrow(run, PIECE_SCHEMA)
-
-
-def text_hash(text: str | None) -> int:
-    """As Spark's xxhash64 of the text with seed 42, null as empty."""
-    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
+    seen = staged(rows.select("doc", "text").mapInArrow(_sightings(u, shared), "anchor long, doc long, n long"), "sightings")
+    every = seen.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("n"))
+    twice = every.filter("lo < hi" if u.words else "n > 1").select("anchor")
+    of = staged(seen.join(twice, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")  # no more than a row has
+    dropped(seen)
+    return rows.join(of, "doc").select("id", "th", "text", "anchors")
+
+
+def found_pieces(batch: pa.RecordBatch, u: Units, common: np.ndarray) -> Iterator[tuple]:
+    """(anchor, id, th, start, n, at, body): windows start, start + 1 ... of a row around one place of one of its repeated anchors; at: bytes of the body before it."""
+    for i, th, text, known in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("anchors"), strict=True):
+        unit, body, offsets = u.read(text.as_py())
+        known = np.sort(known.values.to_numpy())
+        for first, at, h in segments(unit, u, common):
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            ends = np.append(new[1:], len(at))
+            anchor = h[new]
+            hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+            for a, z, place, key in zip((first + new[hit]).tolist(), (first + ends[hit]).tolist(), at[new[hit]].tolist(), anchor[hit].tolist(), strict=True):
+                stop = z + u.window - 1
+                part = body[a:stop] if offsets is None else body[offsets[a] : offsets[stop] - 1]
+                yield key, i, th, a, z - a, place - a, part
+
+
+def joined(i: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Ranges of windows, with those that meet in a document as one."""
+    order = np.lexsort((start, th, i))
+    i, th, start, n = i[order], th[order], start[order], n[order]
+    if not len(i):
+        return [i, th, start, n]
+    end = start + n
+    new = np.append(True, (i[1:] != i[:-1]) | (th[1:] != th[:-1]) | (start[1:] > end[:-1]))
+    at = np.flatnonzero(new)
+    return [i[at], th[at], start[at], np.maximum.reduceat(end, at) - start[at]]
+
+
+# ---- taking repeats out
 
 
 def without(docs: DataFrame, ranges: DataFrame, u: Units, id_col: str, text_col: str) -> DataFrame:
@@ -229,8 +231,3 @@ def cut(text: str | None, ranges: list[dict], u: Units) -> tuple[bytes, tuple[in
         return (b" ".join(units) if u.words else data), (len(units), 0, 0)
     kept = b" ".join(w for w, g in zip(units, mask.tolist(), strict=True) if not g) if u.words else np.frombuffer(data, np.uint8)[~mask].tobytes()
     return kept, (len(units), int(mask.sum()), runs)
-
-
-def merged(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = zip(*out, strict=True) if out else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "th", "start", "n"])

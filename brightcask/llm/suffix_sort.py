@@ -4,44 +4,37 @@ Only suffixes that start at an anchor seen twice (see repeats.py) can begin a re
 each cut where its anchor's windows end, with the bytes before the anchor that its windows reach back to.
 
 1. Each task sorts its suffixes into runs and front-codes them: a row has the length of the prefix that it shares with the row
-   before it, and the rest.
-2. Runs are exchanged by the anchor's hash, so suffixes with a common anchor meet.
-3. The runs of a bucket are combined by a loser tree that knows, for every head of a run, the prefix it shares with the
+   before it, and the rest. Pieces that are equal lie side by side in a run: they repeat, and one row stands for them from there on.
+2. Runs are exchanged by ranges of the suffixes' first bytes, which Spark samples, so partitions follow on each other in the order of
+   suffixes: one order over the whole corpus, in which suffixes with a common anchor lie together.
+3. The runs of a partition are combined by a loser tree that knows, for every head of a run, the prefix it shares with the
    last suffix given out. The head that shares more comes first; only equal prefixes are compared, and only from there on. The
    prefixes of the combined order come out as well.
-4. In that order, a suffix's longest common prefixes with the others fall off with distance. Going outwards, with the common
-   bytes before the anchor, gives the windows that also start elsewhere; it stops as soon as no other suffix can add any.
+4. The suffixes of an anchor are swept by these prefixes from the longest down. Neighbours that share so much are joined, the smaller
+   set into the larger, and each set is kept in order of the bytes before the anchor, where the neighbours have most in
+   common. What a suffix has in common on both sides of the anchor says which of its windows also start elsewhere.
 
 A window repeats if it also starts anywhere else, same document included. Null text counts as empty; matches never cross
-documents; rows that repeat, with or without ids, are repeats of each other. Rows with equal id and text get equal results.
+documents; rows that repeat, with or without ids, are repeats of each other. Rows with equal id and text get equal results. Very long
+texts are read in overlapping segments. Empty tables give empty results; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightcask.llm.common import staged
-from brightcask.llm.repeats import NO_ID, Units, anchor_filter, merged, pieces, slim, without
+from brightcask.llm.repeats import RANGES, Units, candidates, found_pieces, frequent, joined, slim, without
 
-FILTER_BITS = 1 << 26
-RUN_ROWS = 50_000
-RUN_SCHEMA = "bucket int, run long, seq int, shared int, rest binary, before binary, id long, th long, start int, n int"
-
-
-def settle(same: list[tuple]) -> Iterator[tuple]:
-    """Equal pieces in a task all repeat; one is sent on for others to be found by, with n = 0: nothing more is to be learnt of it."""
-    if len(same) == 1:
-        yield same[0]
-        return
-    for anchor, i, th, start, n, at, _ in same:
-        yield (anchor, i, th, start, n, at, None)
-    anchor, _, _, start, _, at, body = same[0]
-    yield (anchor, NO_ID, 0, start, 0, at, body)
+RUN_ROWS = 30_000
+RUN_SCHEMA = "head binary, run long, seq int, shared int, rest binary, before binary, id long, th long, start int, n int"
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -60,29 +53,48 @@ def common(a: bytes, b: bytes, at: int = 0) -> int:
     return min(at, end)
 
 
-def _runs(buckets: int):
-    """Sorted, front-coded runs."""
+def _runs(u: Units, shared, run_rows: int):
+    """Candidates in; RUN_SCHEMA out: sorted, front-coded runs, and rows without a head that say which windows repeat.
+
+    The first k bytes of a suffix are its head. Of the pieces that are equal in a run, one goes on with n = 0: nothing is to be learnt of it.
+    """
 
-    def code(rows: list[tuple], run: int) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[1]))
-        out, last = [], (None, b"")
-        for seq, (bucket, suffix, *more) in enumerate(rows):
-            shared = common(last[1], suffix) if bucket == last[0] else 0
-            out.append((bucket, run, seq, shared, suffix[shared:], *more))
-            last = (bucket, suffix)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         cols = zip(*out, strict=True) if out else [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
 
+    def code(rows: list[tuple], run: int) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: r[:2])
+        out, same, last, seq = [], [], b"", 0
+        for p, (suffix, before, i, th, start, n) in enumerate(rows):
+            twin = p + 1 < len(rows) and rows[p + 1][:2] == (suffix, before)
+            if twin or same:
+                same.append((i, th, start, n))
+            if twin:
+                continue
+            if same:
+                i, th, start, n = 0, 0, 0, 0
+            k = common(last, suffix)
+            k = k if k >= u.k else u.k
+            out.append((suffix[: u.k], run, seq, k, suffix[k:], before, i, th, start, n))
+            last, seq = suffix, seq + 1
+            for x in same:
+                out.append((None, None, None, None, None, None, *x))
+            same = []
+        found = [x for x in out if x[0] is None]
+        cols = joined(*(np.array([x[c] for x in found], np.int64) for c in range(6, 10)))
+        yield batch([x for x in out if x[0] is not None])
+        yield batch([(None, None, None, None, None, None, *x) for x in zip(*(c.tolist() for c in cols), strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, rows = TaskContext.get().partitionId(), 0, []
-        for batch in batches:
-            for anchor, i, th, start, n, at, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "th", "start", "n", "at", "body")), strict=True):
-                rows.append((anchor % buckets, body[at:], body[:at], i, th, start, n))
-                if len(rows) >= RUN_ROWS:
-                    yield code(rows, (part << 24) + number)
-                    number, rows = number + 1, []
-        yield code(rows, (part << 24) + number)
+        common, part, number, rows = np.unpackbits(shared.value), TaskContext.get().partitionId(), 0, []
+        for b in batches:
+            rows += ((body[at:], body[:at], i, th, start, n) for _, i, th, start, n, at, body in found_pieces(b, u, common))
+            if len(rows) >= run_rows:
+                yield from code(rows, (part << 24) + number)
+                number, rows = number + 1, []
+        yield from code(rows, (part << 24) + number)
 
     return run
 
@@ -136,76 +148,89 @@ class LoserTree:
 
 
 def repeated(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, th, first window, windows) that repeat; group: (shared, suffix, before, id, th, start, n) in suffix order, with one anchor."""
-    m = len(group)
-    back = [before[::-1] for _, _, before, *_ in group]
-    order = sorted(range(m), key=back.__getitem__)
-    reach = [0] * m  # the most bytes before the anchor that any other has in common
-    for x, y in zip(order, order[1:], strict=False):
-        c = common(back[x], back[y])
-        reach[x], reach[y] = max(reach[x], c), max(reach[y], c)
-    for p, (_, _, before, i, th, start, n) in enumerate(group):
-        at, low = len(before), n
-        lo, hi = p - 1, p + 1
-        left, right = (group[p][0] if p else -1), (group[hi][0] if hi < m else -1)
-        goal = max(0, at - reach[p])
-        while low > goal and max(left, right) >= window - at:
-            if left >= right:
-                q, shared = lo, left
-                lo -= 1
-                left = min(left, group[lo + 1][0]) if lo >= 0 else -1
-            else:
-                q, shared = hi, right
-                hi += 1
-                right = min(right, group[hi][0]) if hi < m else -1
-            top = min(n - 1, at + shared - window, low - 1)
-            first = max(0, at - common(back[p], back[q]))
-            if first <= top:
-                yield i, th, start + first, top - first + 1
-                low = first
+    """(id, th, first window, windows) that repeat; group: (shared, suffix, before, id, th, start, n) in suffix order, with one anchor.
+
+    A window that begins o bytes before the anchor repeats if another piece has o bytes before and window - o from the anchor on in common.
+    """
+    back = [x[2][::-1] for x in group]
+    place = {p: r for r, p in enumerate(sorted(range(len(group)), key=back.__getitem__))}
+    piece = sorted(range(len(group)), key=place.__getitem__)
+    best = [-1] * len(group)  # bytes before the anchor known to be in common, from the longest shared suffix down
+    home = list(range(len(group)))
+    sets = [[place[p]] for p in range(len(group))]  # of the first piece of each joined stretch
+
+    def top(p: int) -> int:
+        while home[p] != p:
+            home[p] = home[home[p]]
+            p = home[p]
+        return p
+
+    def met(p: int, before: int, shared: int) -> Iterator[tuple[int, int, int, int]]:
+        if before <= best[p]:
+            return
+        _, _, b, i, th, start, n = group[p]
+        first, last = max(best[p] + 1, window - shared, len(b) - n + 1), min(before, len(b))
+        best[p] = before
+        if first <= last and n:
+            yield i, th, start + len(b) - last, last - first + 1
+
+    for p in sorted(range(1, len(group)), key=lambda p: -group[p][0]):
+        shared, small, large = group[p][0], top(p - 1), top(p)
+        if len(sets[small]) > len(sets[large]):
+            small, large = large, small
+        for r in sets[small]:
+            at = bisect_left(sets[large], r)
+            for other in sets[large][max(0, at - 1) : at + 1]:
+                before = common(back[piece[r]], back[piece[other]])
+                yield from met(piece[r], before, shared)
+                yield from met(piece[other], before, shared)
+            sets[large].insert(at, r)
+        sets[small] = []
+        home[small] = large
 
 
 def _combine(window: int, k: int):
-    def bucket_ranges(runs: list[list[tuple]]) -> list[tuple[int, int, int, int]]:
-        out, group = [], []
+    def repeats(runs: list[list[tuple]]) -> Iterator[tuple[int, int, int, int]]:
+        group: list[tuple] = []
         for item in LoserTree(runs):
             if group and item[0] < k:
-                out += repeated(group, window) if len(group) > 1 else []
+                if len(group) > 1:
+                    yield from repeated(group, window)
                 group = []
             group.append(item)
-        return out + list(repeated(group, window) if len(group) > 1 else [])
+        if len(group) > 1:
+            yield from repeated(group, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, runs, last = None, [], b""
+        runs: list[tuple[int, list[tuple]]] = []
+        last = b""
         for batch in batches:
-            out = []
-            for bucket, number, _, shared, rest, before, i, th, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    out += bucket_ranges([r for _, r in runs])
-                    now, runs = bucket, []
+            for head, number, _, shared, rest, before, i, th, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not runs or runs[-1][0] != number:
                     runs.append((number, []))
                     last = b""
-                last = last[:shared] + rest
-                runs[-1][1].append((shared, last, before, i, th, start, n))
-            yield merged(out)
-        yield merged(bucket_ranges([r for _, r in runs]))
+                # A run goes on in the next partition with another head, so what is shared with a row there is the head at most.
+                last = last[:shared] + rest if last[:k] == head else head + rest
+                runs[-1][1].append((shared if runs[-1][1] and shared > k else common(runs[-1][1][-1][1], last) if runs[-1][1] else 0, last, before, i, th, start, n))
+        out = list(repeats([r for _, r in runs]))
+        cols = joined(*(np.array(c, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 4)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "th", "start", "n"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, filter_bits: int, bucket_rows: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, run_rows: int, bucket_rows: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
-    found = staged(pieces(rows, u, anchor_filter(rows, u, filter_bits), settle), "pieces")
-    sent = found.filter("body is not null")
+    shared = frequent(rows, u)
+    found = staged(candidates(rows, u, shared).mapInArrow(_runs(u, shared, run_rows), RUN_SCHEMA), "runs")
+    sent = found.filter("head is not null")
     buckets = max(1, sent.count() // bucket_rows)
-    runs = sent.mapInArrow(_runs(buckets), RUN_SCHEMA).repartition("bucket").sortWithinPartitions("bucket", "run", "seq")
-    known = found.filter("body is null").select("id", "th", "start", "n")
-    return known.unionByName(runs.mapInArrow(_combine(u.window, u.k), "id long, th long, start int, n int"))
+    ranges = sent.repartitionByRange(buckets, "head").sortWithinPartitions("run", "seq")
+    return found.filter("head is null").select("id", "th", "start", "n").unionByName(ranges.mapInArrow(_combine(u.window, u.k), RANGES))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 400, filter_bits: int = FILTER_BITS, bucket_rows: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 400, run_rows: int = RUN_ROWS, bucket_rows: int = 10_000) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256."""
     u = Units(words=False, window=window, k=32 if window >= 64 else 4)
-    out = without(docs, repeated_windows(docs, id_col, text_col, u, filter_bits, bucket_rows), u, id_col, text_col)
+    out = without(docs, repeated_windows(docs, id_col, text_col, u, run_rows, bucket_rows), u, id_col, text_col)
     return out.select(F.col("given").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
