@@ -4,13 +4,15 @@ A document is its token ids and an end id. Only a document longer than the capac
 that holds the odd rest; full pieces are sequences already. The others are dealt at random over lanes of about lane_rows pieces. In
 each lane, best fit in decreasing order opens the bins; then the emptiest bins are dissolved: their documents move to fuller bins,
 or change places with one shorter document there, or two of them with one, so that the sum of squared fills grows with every step,
-until a bin is empty, no step is left or as few bins remain as the lane's tokens need. Lanes bound what a task holds; each
-ends with at most one bin that could not be filled from another lane.
+until no step is left or as few bins remain as the lane's tokens need. Nothing else ends the search, and all documents of a bin and all
+pairs of them are tried. Lanes bound what a task holds; each ends with at most one bin that could not be filled from another lane.
 
 Token ids come from the rank file of the byte-level BPE. White space that is never doubled needs no look-ahead in the splitting
 pattern, which then runs about twice as fast; texts with doubled white space take the full pattern.
 
-Null text counts as empty: one piece of the end id alone. Rows that repeat are packed as often as they come. An empty table gives no rows.
+Null text counts as empty: one piece of the end id alone. Null ids are packed like others. Rows that repeat are packed as often as they
+come. Of documents with equal lengths the one that was dealt first comes first. Very long texts are tokenised whole and cut. An empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -112,35 +115,42 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int, steps: int = 4000) -> list[list[int]]:
-    """Local search over the underfull bins. Every step makes the sum of squared fills larger, so it ends; steps bounds its time."""
+def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search over the underfull bins: out of the emptiest into fuller ones, until no bin has a step left.
+
+    Every step makes the sum of squared fills larger, so it ends. As few bins as the tokens need are not improved on.
+    """
     fewest = -(-int(lengths.sum()) // capacity)
     fill = np.array([lengths[b].sum() for b in bins], np.int64)
     where = np.empty(len(lengths), np.int64)
     for b, members in enumerate(bins):
         where[members] = b
-    alive, stuck = len(bins), np.zeros(len(bins), bool)
-    items = np.flatnonzero(fill[where] < capacity)  # documents of underfull bins
-    while steps > 0 and alive > fewest:
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
-        if len(open_bins) < 2:
-            break
-        low = open_bins[np.argmin(fill[open_bins])]
-        steps -= 1
-        if not _step(low, lengths, bins, fill, where, items, capacity):
-            stuck[low] = True
-        elif fill[low] == 0:
-            alive -= 1
+    alive, moved = len(bins), True
+    while moved and alive > fewest:
+        moved = False
+        heap = [(int(fill[b]), int(b)) for b in np.flatnonzero((fill > 0) & (fill < capacity))]
+        heapify(heap)
+        while heap and alive > fewest:
+            had, low = heappop(heap)
+            if had != fill[low] or (into := _step(low, lengths, bins, fill, where, capacity)) is None:
+                continue
+            moved = True
+            alive -= int(fill[low] == 0)
+            for b in (low, into):
+                if 0 < fill[b] < capacity:
+                    heappush(heap, (int(fill[b]), b))
     return [b for b in bins if b]
 
 
-def _step(low: int, lengths: np.ndarray, bins: list[list[int]], fill: np.ndarray, where: np.ndarray, items: np.ndarray, capacity: int) -> bool:
-    """One move out of bin low, or an exchange that leaves it emptier; False if there is none."""
+def _step(low: int, lengths: np.ndarray, bins: list[list[int]], fill: np.ndarray, where: np.ndarray, capacity: int) -> int | None:
+    """One move out of bin low, or the exchange of one or two of its documents for a shorter one that leaves it emptiest. The other bin is as full at least; None if there is no step."""
     free = capacity - fill
-    other = np.flatnonzero((fill > 0) & (free > 0) & (np.arange(len(fill)) != low))
-    mine = sorted(bins[low], key=lambda i: -lengths[i])
+    mine: dict[int, list[int]] = {}
+    for i in bins[low]:
+        mine.setdefault(int(lengths[i]), []).append(i)
+    sizes = sorted(mine, reverse=True)  # few: distinct lengths of one bin add up to its capacity at most
 
-    def shift(out: list[int], back: list[int], b: int) -> bool:
+    def shift(out: list[int], back: list[int], b: int) -> int:
         for i, a, z in [*((i, low, b) for i in out), *((i, b, low) for i in back)]:
             bins[a].remove(i)
             bins[z].append(i)
@@ -148,27 +158,31 @@ def _step(low: int, lengths: np.ndarray, bins: list[list[int]], fill: np.ndarray
         gain = int(lengths[out].sum()) - int(lengths[back].sum())
         fill[low] -= gain
         fill[b] += gain
-        return True
+        return int(b)
 
-    for i in mine:  # move: to the fullest bin with room
-        fits = other[free[other] >= lengths[i]]
+    fuller = (fill >= fill[low]) & (free > 0)
+    fuller[low] = False
+    other = np.flatnonzero(fuller)
+    for n in sizes:  # move: the longest that fits, to the fullest bin with room
+        fits = other[free[other] >= n]
         if len(fits):
-            return shift([i], [], fits[np.argmin(free[fits])])
-    theirs = items[(where[items] != low) & (free[where[items]] > 0) & (fill[where[items]] > 0)]
+            return shift(mine[n][:1], [], fits[np.argmin(free[fits])])
+    theirs = np.flatnonzero(fuller[where])
     if not len(theirs):
-        return False
-    size, space = lengths[theirs], free[where[theirs]]
-    pairs = [(i, j) for k, i in enumerate(mine[:24]) for j in mine[k + 1 : 24]]
-    best, found = 0, None
-    for out in [*((i,) for i in mine), *pairs]:  # one for one, then two for one
-        gain = int(lengths[list(out)].sum()) - size
-        gain = np.where((gain > 0) & (gain <= space) & (fill[where[theirs]] + gain > fill[low] - gain), gain, 0)
-        k = int(np.argmax(gain))
-        if gain[k] > best:
-            best, found = int(gain[k]), (list(out), int(theirs[k]))
-            if best == space[k]:
-                break
-    return bool(found) and shift(found[0], [found[1]], where[found[1]])
+        return None
+    theirs = theirs[np.argsort(lengths[theirs], kind="stable")]
+    size = lengths[theirs]
+    most = np.maximum.accumulate(size + free[where[theirs]])  # what may take the place of one of the documents up to here
+    out = {n: mine[n][:1] for n in sizes}
+    for k, n in enumerate(sizes):
+        for m in sizes[k:]:
+            if n + m not in out and (n != m or len(mine[n]) > 1):
+                out[n + m] = [mine[n][0], mine[m][-1]]
+    sums = np.fromiter(out, np.int64, len(out))
+    at = np.searchsorted(most, sums)  # for each, the shortest document whose place it may take
+    gain = np.where(at < len(size), sums - size[np.minimum(at, len(size) - 1)], 0)
+    k = int(np.argmax(gain))
+    return shift(out[int(sums[k])], [int(theirs[at[k]])], where[theirs[at[k]]]) if gain[k] > 0 else None
 
 
 def pack_lane(lane: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
