@@ -3,16 +3,18 @@
 1. Targets. The mix has as many words as the input. Sources, ordered by code point with null last, weigh 1, 2, 3 and so on
    again; a target stops at max_repeats times its source's size, and the excess is shared by weight among the others.
 2. Apportionment. The mix is so many blocks of block_words words. They go to the sources by the highest quotients
-   target / (2k + 1), and each source's blocks go in the same way to its shards by their sizes: integer quotas per shard.
-   The blocks that are sure to be won are counted in closed form and only the contested ones are ranked, so the work
-   is a few rows per source and shard, however many blocks there are.
+   target / (2k + 1), each source's blocks go in the same way to its wings (of 1,024 shards) by their sizes, and each
+   wing's to its shards: integer quotas per shard. The blocks that are sure to be won are counted in closed form and only the
+   contested ones are ranked, so the work is a few rows per source and shard, however many blocks there are.
 3. Selection. A shard's documents are laid out in seeded order and cut into equal blocks. A quota of whole passes takes every
    word so often; what is left of it takes the blocks that come first in a seeded permutation of the shard's blocks.
 
-A shard holds about shard_rows documents of all sources, so a source with a third of all rows is spread over all shards.
+A shard holds about shard_rows documents of all sources, so a source with a third of all rows is spread over all shards, and their
+number grows with the corpus.
 
-Null text and empty text have size 0 and are never taken; a null source is a source of its own. Rows that repeat are rows of
-their own. An empty table gives an empty mix. Ties in quotients go to the smaller source or shard.
+Null text and empty text have size 0 and are never taken; a null source is a source of its own. Null ids take part. Rows that repeat
+are rows of their own; only those with one id and one size share a shard. A very long text is many blocks of its shard. An empty table
+gives an empty mix. Ties in quotients go to the smaller source or shard. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import staged, whole_row, word_count
+from brightcask.llm.common import dropped, staged, whole_row, word_count
 
 #: A prime above any number of blocks of a shard, hence coprime to it: b -> b * STEP + start is a permutation of the blocks.
 STEP = 2147483647
@@ -49,44 +51,44 @@ def apportion(parties: DataFrame, group: Sequence[str], party: str, votes: str,
     """parties with won: the seats that Sainte-Lague's method gives each party of a group by its votes.
 
     With n parties, V votes and N seats, all quotients above V / (N - n/2) win and none below V / (N + n/2) does. Between
-    the two lie about two quotients per party; those alone are ranked.
+    the two lie about two quotients per party; those alone are ranked. A group's parties meet in one task, sorted once.
     """
     of = Window.partitionBy(*group)
-    n, total = F.count(F.lit(1)).over(of), F.sum(F.col(votes).cast("double")).over(of)
-    p = parties.withColumn("_n", n).withColumn("_v", total)
-    most = F.col(votes) * (F.col(seats) + F.col("_n") / 2) / F.col("_v")
-    least = F.col(votes) * (F.col(seats) - F.col("_n") / 2) / F.col("_v")
-    p = p.withColumn("_sure", F.when(F.col("_v") > 0, F.greatest(F.lit(0.0), F.floor(least + 0.5) - 1)).otherwise(0).cast("long"))
-    p = p.withColumn("_top", F.when(F.col("_v") > 0, F.greatest(F.lit(0.0), F.floor(most + 0.5) + 1)).otherwise(0).cast("long"))
+    p = parties.withColumns({"_n": F.count(F.lit(1)).over(of), "_v": F.sum(F.col(votes).cast("double")).over(of)})
+    bound = lambda side, step: F.when(F.col("_v") > 0, F.greatest(F.lit(0.0), F.floor(F.col(votes) * (F.col(seats) + side * F.col("_n") / 2) / F.col("_v") + 0.5) + step)).otherwise(0).cast("long")
+    p = p.withColumns({"_sure": bound(-1, -1), "_top": bound(1, 1)})
     p = p.withColumn("_left", F.col(seats) - F.sum("_sure").over(of))
-    contested = p.filter((F.col("_v") > 0) & (F.col(votes) > 0) & (F.col("_left") > 0))
-    quotients = F.transform(F.sequence("_sure", "_top"), lambda k: F.col(votes) / (2 * k + 1))
-    contested = contested.select(*group, party, "_left", F.explode(quotients).alias("_q"))
-    ranked = contested.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_q"), party)))
-    more = ranked.filter("_r <= _left").groupBy(*group, party).agg(F.count(F.lit(1)).alias("_more"))
-    out = p.join(more, [*group, party], "left")
-    return out.withColumn("won", F.col("_sure") + F.coalesce("_more", F.lit(0))).drop("_n", "_v", "_sure", "_top", "_left", "_more")
+    contested = F.when((F.col("_v") > 0) & (F.col(votes) > 0) & (F.col("_left") > 0), F.transform(F.sequence("_sure", "_top"), lambda k: F.col(votes) / (2 * k + 1)))
+    p = p.select(*parties.columns, "_sure", "_left", F.explode_outer(contested).alias("_q"))
+    ranked = p.withColumn("_r", F.row_number().over(of.orderBy(F.desc_nulls_last("_q"), party)))
+    won = F.first("_sure") + F.count_if(F.col("_q").isNotNull() & (F.col("_r") <= F.col("_left")))
+    keys = [*group, party]
+    return ranked.groupBy(*keys).agg(*[F.first(c).alias(c) for c in parties.columns if c not in keys], won.alias("won")).select(*parties.columns, "won")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, block_words: int = 128, shard_rows: int = 2000, max_shards: int = 4096, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, block_words: int = 128, shard_rows: int = 2000, wing_shards: int = 1024, seed: int = 7) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken (words of it in the mix, repeats counted)."""
     source = F.col(source_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), source.alias("source"), F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("key"), word_count(F.col(text_col)).alias("size"))
     slim = staged(slim, "sizes")
-    shards = max(1, min(max_shards, -(-slim.count() // shard_rows)))
-    slim = slim.withColumn("draw", F.xxhash64(F.col("id"), F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
-    held = staged(slim.groupBy("key", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("held")), "shards")
-    sources = source_targets(held.groupBy("key").agg(F.first("source").alias("source"), F.sum("held").alias("source_size")), weights, max_repeats)
+    shards = max(1, -(-slim.count() // shard_rows))
+    slim = slim.withColumn("draw", F.xxhash64(F.col("id"), F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("draw", "size"), F.lit(shards)))
+    held = staged(slim.groupBy("key", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("held")).withColumn("wing", F.expr(f"shard div {wing_shards}")), "shards")
+    wings = held.groupBy("key", "wing").agg(F.first("source").alias("source"), F.sum("held").alias("wing_held"))
+    sources = source_targets(wings.groupBy("key").agg(F.first("source").alias("source"), F.sum("wing_held").alias("source_size")), weights, max_repeats)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
-    sources = apportion(sources.withColumn("all", F.lit(0)).withColumn("seats", seats), ["all"], "key", "target", "seats")
-    shared = held.drop("source").join(sources.select("key", "source_size", "target", F.col("won").alias("blocks")), "key")
-    quota = apportion(shared, ["key"], "shard", "held", "blocks")
+    sources = apportion(sources.withColumn("all", F.lit(0)).withColumn("seats", seats), ["all"], "key", "target", "seats").select("key", "source_size", "target", F.col("won").alias("blocks"))
+    sources = staged(sources, "sources")
+    wings = apportion(wings.drop("source").join(sources, "key"), ["key"], "wing", "wing_held", "blocks")
+    shared = held.drop("source").join(wings.select("key", "wing", "source_size", "target", F.col("won").alias("blocks")), ["key", "wing"])
+    quota = apportion(shared, ["key", "wing"], "shard", "held", "blocks")
     quota = quota.withColumn("quota", F.least(F.col("won"), F.floor(F.lit(max_repeats) * F.col("held") / block_words)).cast("long")).withColumn("full", F.expr(f"held div {block_words}"))
     passes = F.when(F.col("held") == 0, 0).when(F.col("full") == 0, F.least(F.lit(max_repeats), F.round(F.col("won") * block_words / F.col("held")))).otherwise(F.floor(F.col("quota") * block_words / F.col("held"))).cast("long")
     quota = quota.withColumn("passes", passes)
     rest = F.round((F.col("quota") * block_words - F.col("passes") * F.col("held")) / block_words)
     quota = quota.withColumn("drawn", F.when((F.col("full") == 0) | (F.col("passes") >= max_repeats), 0).otherwise(F.least(F.col("full"), rest)).cast("long"))
     quota = staged(quota.select("key", "shard", "source_size", "target", "full", "passes", "drawn", F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest("full", F.lit(1))).alias("turn")), "quotas")
+    dropped(sources, held)
 
     end = F.sum("size").over(Window.partitionBy("key", "shard").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0))
     laid = slim.withColumn("end", end).join(quota, ["key", "shard"])
