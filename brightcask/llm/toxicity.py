@@ -10,7 +10,8 @@ whole text. Only labels outside the held-out fold are read, and of those only wh
 prior, their share. Id, language and source are never features.
 
 Null and empty texts get the score of a text without words. A null id belongs to a fold like any other and has no label. Without a
-confirmed toxic document nothing is known about toxicity, and every score is 0. Rows that repeat score alike.
+confirmed toxic document nothing is known about toxicity, and every score is 0. Rows that repeat score alike; of ids that repeat, all
+rows may be drawn, up to the same bounds. Very long texts are read whole. Empty tables give empty results; columns of docs stay as they are.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _columns(chosen: np.ndarray):
         column[chosen] = np.arange(len(chosen))
         for batch in batches:
             cols = [column[features(t.as_py())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], names=["toxic", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], names=["at"])
 
     return run
 
@@ -128,9 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not positives or not others:
         return None
     chosen = telling(*counts, positives, others)
-    rows = sample.mapInArrow(_columns(chosen), "toxic boolean, at array<int>").toArrow()
-    of = lambda kind, most: [np.asarray(x.values, np.int64) for x, t in zip(rows.column("at"), rows.column("toxic").to_pylist(), strict=True) if t is kind][:most]
-    return fit(of(True, max_positive), of(False, max_unlabelled), chosen, min(max(toxic / n, 1e-3), 1 - 1e-3))
+
+    def drawn(rows: DataFrame, most: int) -> list[np.ndarray]:
+        """The features of at most so many rows, the limit being Spark's: ids that repeat may draw more."""
+        few = rows.select("text").mapInArrow(_columns(chosen), "at array<int>").repartition(1).limit(most).toArrow()
+        return [np.asarray(x.values, np.int64) for x in few.column("at")]
+
+    return fit(drawn(confirmed, max_positive), drawn(plain, max_unlabelled), chosen, min(max(toxic / n, 1e-3), 1 - 1e-3))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
