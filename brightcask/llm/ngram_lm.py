@@ -208,7 +208,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ba
     batches = max(1, -(-size // batch_bytes))
     held_out = max(1, -(-batches // DEV_FOLDS))
     buckets = 2 * batches
-    draw = F.xxhash64("id", F.octet_length("text"))
+    draw = F.xxhash64("id", "text")
     rows = rows.withColumn("batch", F.when(F.col("fold") == DEV, batches + F.pmod(draw, F.lit(held_out))).otherwise(F.pmod(draw, F.lit(batches))).cast("int"))
 
     asked = rows.groupBy("batch").applyInArrow(_ask(buckets), "bucket int, batch int, keys binary, n array<int>")
