@@ -14,6 +14,7 @@ line, very long lines as one sequence. Empty tables give empty results; other co
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -69,7 +70,7 @@ def pattern_spans(text: str) -> dict[str, list[Span]]:
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, runs once; other characters as they are."""
-    kinds = ["0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word[:64]]
+    kinds = ["0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word]
     return "".join(c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1])
 
 
@@ -100,6 +101,8 @@ def labelled_table(rows: int = 800, seed: int = 17) -> list[list[tuple[str, str]
     syllables = ["the", "an", "er", "ti", "on", "ou", "ing", "é", "ße", "ción", "la", "wh", "re", "ä", "st", "nd"]
     plain = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 6))))
     hexed = lambda n: "".join(pick("0123456789abcdef") for _ in range(n))
+    ascii_ = lambda: plain().encode("ascii", "ignore").decode() or "a"
+    host = lambda: pick(["", "", f"{ascii_()}.", f"{ascii_()}-"]) + ascii_() + digits(int(rng.integers(0, 2))) + pick([".com", ".example.com", ".org", ".net", ".co.uk", ".de", ".example.net"])
 
     def filler() -> str:
         w = plain()
@@ -118,20 +121,20 @@ def labelled_table(rows: int = 800, seed: int = 17) -> list[list[tuple[str, str]
             return pick(["|", "-", "=", "&", "/", "+", "*"])
         if form < 0.95:
             return pick([digits(1), digits(2), digits(4), f"{digits(1)}.", f"{digits(1)}.{digits(1)}.", f"{digits(1)}.{digits(1)}", f"({digits(1)})", f"{digits(2)}%", f"{digits(2)},", f"{digits(2)}-{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}"])
-        return pick([f"({w})", f'"{w}"', f"{w}'s", f"{w}-{plain()}", f"{w.upper()}-{plain().upper()}", f"<{w}>", f"www.{plain()}.com", f"http://{plain()}.org/{plain()}", f"{w}{digits(1)}"])
+        return pick([f"({w})", f'"{w}"', f"{w}'s", f"{w}-{plain()}", f"{w.upper()}-{plain().upper()}", f"<{w}>", f"www.{plain()}.com", f"http://{plain()}.org/{plain()}", f"www.{host()}/{ascii_()}?{ascii_()}={digits(3)}&{ascii_()}={ascii_()}", f"https://{host()}/{ascii_()}-{digits(2)}.html", f"{w}{digits(1)}"])
 
     def personal() -> list[tuple[str, str]]:
         kind = pick(KINDS)
         end = pick(["", "", "", ".", ","])
         if kind == "email":
-            words = [pick([f"{plain()}.{digits(2)}", plain(), f"{plain()}_{plain()}", f"{plain()}+{digits(1)}"]).encode("ascii", "ignore").decode() + "x@" + pick(["mail", "post"]) + digits(int(rng.integers(0, 2))) + pick([".example.com", ".org", ".net", ".co.uk"]) + end]
+            words = [pick([f"{plain()}.{digits(2)}", plain(), f"{plain()}_{plain()}", f"{plain()}+{digits(1)}"]).encode("ascii", "ignore").decode() + "x@" + host() + end]
         elif kind == "ip":
             words = [".".join(str(int(x)) for x in rng.integers(0, 256, 4)) + end]
         elif kind == "card":
             words = pick([[digits(16)], [digits(16)], [digits(4) for _ in range(4)], ["-".join(digits(4) for _ in range(4))], [digits(19)]])
             words = [*words[:-1], words[-1] + end]
         elif kind == "phone":
-            words = pick([[f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(4), digits(3)], [f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"]])
+            words = pick([[f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(4), digits(3)], [f"+{digits(2)}", digits(2), digits(4), digits(4)], [f"+{digits(2)}", digits(1), digits(2), digits(2), digits(2), digits(2)], [f"+{digits(1)}-{digits(3)}-{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"]])
             words = [*words[:-1], words[-1] + end]
         else:
             form, key = pick(["pair", "quoted", "bare", "id"]), pick(sorted(KEY_WORDS))
@@ -203,6 +206,12 @@ def _pad(lines: list[list[int]], size: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def default_model() -> Field:
+    """The field as trained on the labelled table, once for a process."""
+    return train(labelled_table())
+
+
 def train(table: list[list[tuple[str, str]]], steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Gradient ascent (Adam) of the log-likelihood; expectations by the forward-backward recursions over all lines at once."""
     k, label = len(LABELS), {x: i for i, x in enumerate(LABELS)}
@@ -366,9 +375,9 @@ def written(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Field | None = None) -> DataFrame:
-    """One row per row of docs: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(labelled_table()))  # a few thousand weights
-    names = ["id", *(f"n_{k}" for k in PATTERN_KINDS), "base_sha256", "spans"]
+    """One row per row of docs: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all spans, the field's too)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())  # a few thousand weights
+    names = ["id", *(f"n_{k}" for k in PATTERN_KINDS), "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fresh(shared.value)
@@ -376,24 +385,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                counts, digests, spans = [], [], []
+                counts, digests, spans, totals = [], [], [], []
                 for text, found in zip(texts, field_spans(model, texts), strict=True):
                     by_kind = pattern_spans(text)
                     base = [s for k in PATTERN_KINDS for s in by_kind[k]]
                     counts.append([len(by_kind[k]) for k in PATTERN_KINDS])
                     digests.append(hashlib.sha256(written(base).encode()).hexdigest())
-                    spans.append(written(_add(base, found)))
+                    both = _add(base, found)
+                    spans.append(written(both))
+                    totals.append(len(both))
                 cols = np.array(counts, np.int64).reshape(-1, 4).T
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, cols), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, cols), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(totals, pa.int64())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {', '.join(f'n_{k} long' for k in PATTERN_KINDS)}, base_sha256 string, spans string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {', '.join(f'n_{k} long' for k in PATTERN_KINDS)}, base_sha256 string, spans string, n_spans long")
     return out.withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Field | None = None) -> DataFrame:
     """docs with every span of its text replaced by its kind in brackets; all columns and rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
     def clean(texts):
         model = fresh(shared.value)
