@@ -134,6 +134,7 @@ def column_correction(t: Tables) -> DataFrame:
 STATEMENTS = [
     ("select 1", True), ("with x as (select 1 a) select * from x", True), ("select replace(a, 'update', 'b') from t", True), ("select 'drop table t; --' as s", True), ("select 1;", True),
     ("drop table t", False), ("select 1; delete from t", False), ("with x as (select 1) insert into t select * from x", False), ("select reflect('java.lang.System', 'exit')", False), ("", False), ("values (1)", False), ("-- note\nselect 1", True), ("/* a */ update t set a = 1", False),
+    ("select `reflect`('java.lang.System', 'getProperty', 'user.home')", False), ("select * from text.`/etc/hostname`", False), ("select * from `text`.`/etc/hostname`", False), ("select system.builtin.reflect('a', 'b')", False), ("select `a b`, `update` from t", True),
 ]
 
 

@@ -11,13 +11,18 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import ParseException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Statements that change something, and functions that reach beyond the data.
 FORBIDDEN = {"insert", "update", "delete", "merge", "drop", "create", "alter", "truncate", "grant", "revoke", "call", "set", "reset", "cache", "uncache", "refresh", "load", "msck", "analyze", "add", "use", "copy", "attach", "detach", "pragma", "vacuum", "execute"}
 REACHING = {"reflect", "java_method", "try_reflect"}
-QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: A format before a quoted name makes Spark read a path.
+PATH = re.compile(r"\b(?:parquet|orc|csv|json|text|avro|xml|binaryfile|delta|jdbc|sqlite|duckdb)`?\s*\.\s*`", re.I)
+SKIPPED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+FILES = "spark.sql.runSQLOnFiles"
 
 
 @dataclass(frozen=True)
@@ -44,8 +49,9 @@ def extract(text: str) -> str:
 
 
 def check(sql: str) -> Verdict:
-    """Whether sql is one reading statement, as far as its words tell."""
-    bare = QUOTED.sub(lambda m: " " if m[0][:2] in ("--", "/*") else " ? ", sql).strip().rstrip(";").strip()
+    """Whether sql is one reading statement, as far as its words tell. A name in backquotes may be a function or a file too."""
+    kept = SKIPPED.sub(lambda m: " " if m[0][:2] in ("--", "/*") else " ? ", sql)
+    bare = re.sub(r"`(?:[^`]|``)*`", " ? ", kept).strip().rstrip(";").strip()
     words = re.findall(r"[^\W\d]\w*", bare.lower())
     if not words:
         return Verdict(False, sql, "empty")
@@ -53,9 +59,13 @@ def check(sql: str) -> Verdict:
         return Verdict(False, sql, "not a SELECT")
     if ";" in bare:
         return Verdict(False, sql, "more than one statement")
+    if PATH.search(kept):
+        return Verdict(False, sql, "a file is no table")
+    if m := re.search(rf"\b({'|'.join(REACHING)})\s*\(", kept.lower().replace("`", "")):
+        return Verdict(False, sql, f"forbidden: {m[1]}")
     # A word followed by a parenthesis is a function, as in replace(...); a statement's is not.
     for m in re.finditer(r"(?<![.\w])([^\W\d]\w*)(\s*\()?", bare.lower()):
-        if m[1] in REACHING and m[2] or m[1] in FORBIDDEN and not m[2] and m[1] not in ("set", "add", "use", "load", "cache", "call"):
+        if m[1] in FORBIDDEN and not m[2] and m[1] not in ("set", "add", "use", "load", "cache", "call"):
             return Verdict(False, sql, f"forbidden: {m[1]}")
     return Verdict(True, sql)
 
@@ -70,24 +80,71 @@ def unique_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def run(spark: SparkSession, text: str, cap: int = 1000, seconds: float = 8.0) -> Answer:
-    """Rows of a SELECT, at most cap of them."""
-    verdict = check(extract(text))
-    if not verdict.ok:
-        return Answer([], False, f"sql_validation_failed: {verdict.reason}")
+# The codes of an error, by which a caller tells them apart.
+CODES = ("sql_validation_failed", "sql_execution_failed", "unknown_column", "unknown_table", "timeout", "empty_question", "unknown_source", "source_unavailable", "no_answer", "internal_error")
+CONDITIONS = {"UNRESOLVED_COLUMN": "unknown_column", "UNRESOLVED_MAP_KEY": "unknown_column", "TABLE_OR_VIEW_NOT_FOUND": "unknown_table", "SCHEMA_NOT_FOUND": "unknown_table", "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY": "sql_validation_failed"}
+
+
+def code_of(error: Exception) -> str:
+    """The code of what Spark raised, by the condition that it names."""
+    if isinstance(error, ParseException):
+        return "sql_validation_failed"
+    condition = error.getCondition() or "" if isinstance(error, PySparkException) else ""
+    return CONDITIONS.get(condition.split(".")[0], "sql_execution_failed" if isinstance(error, PySparkException) else "internal_error")
+
+
+def edge(df: DataFrame) -> DataFrame:
+    """df as a caller outside of Spark takes it: decimals as doubles, dates and times as ISO text, bytes as base64, maps and intervals as text."""
+
+    def out(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            return c.cast("double")
+        if isinstance(f.dataType, T.DateType):
+            return F.date_format(c, "yyyy-MM-dd")
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        if isinstance(f.dataType, T.BinaryType):
+            return F.base64(c)
+        if isinstance(f.dataType, T.MapType):
+            return F.to_json(c)
+        if isinstance(f.dataType, (T.DayTimeIntervalType, T.YearMonthIntervalType)):
+            return c.cast("string")
+        return c
+
+    return df.select(*[out(f).alias(f.name) for f in df.schema.fields])
+
+
+def capped(df: DataFrame, cap: int = 1000, seconds: float = 8.0) -> Answer:
+    """The first rows of df, at most cap of them, within so many seconds."""
+    context = df.sparkSession.sparkContext
     tag, fired = f"brightcask-{uuid.uuid4().hex}", threading.Event()
-    timer = threading.Timer(seconds, lambda: (fired.set(), spark.sparkContext.cancelJobsWithTag(tag)))
-    spark.sparkContext.addJobTag(tag)
+    timer = threading.Timer(seconds, lambda: (fired.set(), context.cancelJobsWithTag(tag)))
+    context.addJobTag(tag)
     timer.start()
     try:
-        rows = unique_names(spark.sql(verdict.sql)).limit(cap + 1).collect()
-    except ParseException as e:
-        return Answer([], False, f"sql_validation_failed: {e.getCondition()}")
-    except AnalysisException as e:
-        return Answer([], False, f"sql_execution_failed: {e.getCondition()}")
+        rows = edge(unique_names(df)).limit(cap + 1).collect()
     except Exception as e:  # a cancelled job surfaces in many ways; the timer says which it is
-        return Answer([], False, "timeout" if fired.is_set() else f"sql_execution_failed: {type(e).__name__}")
+        return Answer([], False, "timeout" if fired.is_set() else _told(e))
     finally:
         timer.cancel()
-        spark.sparkContext.removeJobTag(tag)
+        context.removeJobTag(tag)
     return Answer([r.asDict(recursive=True) for r in rows[:cap]], len(rows) > cap)
+
+
+def _told(e: Exception) -> str:
+    return f"{code_of(e)}: {e.getCondition() if isinstance(e, PySparkException) else type(e).__name__}"
+
+
+def run(spark: SparkSession, text: str, cap: int = 1000, seconds: float = 8.0) -> Answer:
+    """Rows of a SELECT, at most cap of them. From the first run on, SQL of this session reads tables and views but no paths."""
+    verdict = check(extract(text))
+    if not verdict.ok:
+        return Answer([], False, f"sql_validation_failed: {verdict.reason}")
+    if spark.conf.get(FILES, "true") != "false":
+        spark.conf.set(FILES, "false")
+    try:
+        df = spark.sql(verdict.sql)
+    except PySparkException as e:
+        return Answer([], False, _told(e))
+    return capped(df, cap, seconds)

@@ -20,9 +20,28 @@ def test_run_caps_and_tells(spark):
     assert not got.truncated and len(got.rows) == 5
 
 
+@pytest.mark.parametrize("sql", ["select `reflect`('java.lang.System','getProperty','user.home')", "select * from text.`/etc/hostname`", "select * from `text` . `/etc/hostname`", "select /* x */ java_method ('a', 'b')"])
+def test_run_reaches_neither_files_nor_the_jvm(spark, sql):
+    got = admission.run(spark, sql)
+    assert got.rows == [] and got.error.startswith("sql_validation_failed")
+
+
+def test_paths_are_closed_to_sql(spark):
+    admission.run(spark, "select 1")
+    with pytest.raises(Exception, match="UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY|TABLE_OR_VIEW_NOT_FOUND"):
+        spark.sql("select * from text.`/etc/hostname`").collect()
+
+
+def test_values_at_the_edge(spark):
+    row = admission.run(spark, "select cast(1.25 as decimal(5, 2)) d, date'2024-02-01' t, timestamp_ntz'2024-02-01 03:04:05' ts, map('a', 1) m, x'00ff' b").rows[0]
+    assert row == {"d": 1.25, "t": "2024-02-01", "ts": "2024-02-01T03:04:05.000000", "m": '{"a":1}', "b": "AP8="}
+
+
 def test_run_maps_errors(spark):
     assert admission.run(spark, "drop table x").error.startswith("sql_validation_failed")
-    assert "UNRESOLVED_COLUMN" in admission.run(spark, "select nope from range(1)").error
+    assert admission.run(spark, "select nope from range(1)").error.startswith("unknown_column: UNRESOLVED_COLUMN")
+    assert admission.run(spark, "select 1 from nowhere").error.startswith("unknown_table")
+    assert admission.run(spark, "select 1 / 0 as x").error.startswith("sql_execution_failed: DIVIDE_BY_ZERO")
     assert admission.run(spark, "select (1 from").error.startswith("sql_validation_failed")
 
 
