@@ -1,15 +1,16 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (lower case, digits as 0, white space runs as one space) and hashed. For each host, the distinct documents
-(by whole text, so that copies of a document count once) with a line are counted; a line in more than max(min_docs,
-share * the host's distinct documents) of them is boilerplate. A document that loses more than max_lost of its words to such
-lines is depleted and rejected, as is one that fails the base rules.
+(by whole text, so that copies of a document count once) with a line are counted; a line in more of them than the host's limit is
+boilerplate. The limit is a share of the host's distinct documents, but min_docs at least and most_docs at most, so that a host with
+a third of all documents is judged like a small one. A document that loses more than max_lost of its words to such lines is depleted
+and rejected, as is one that fails the base rules.
 
 Per document, only hashes and word counts of its distinct lines travel. Counting goes through partial aggregates, so a line in a
 third of all documents reaches its counter as one row per task and text. The boilerplate table is joined, not collected.
 
-Null text has no words and fails the base rules. A null host is a host of its own. Rows that repeat are judged each. Empty tables
-give empty results; other columns are not read.
+Null text has no words and fails the base rules. A null host is a host of its own. Null ids are judged like others, and rows that
+repeat each. Very long texts are read whole, one at a time. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -92,21 +93,21 @@ def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
     return staged(rows.withColumn("tag", F.monotonically_increasing_id()), "line-profile")
 
 
-def boilerplate(profiles: DataFrame, min_docs: int = 10, share: float = 0.05) -> DataFrame:
+def boilerplate(profiles: DataFrame, min_docs: int = 10, share: float = 0.05, most_docs: int = 100) -> DataFrame:
     """(host, line, n_docs) of the lines above the host's limit."""
     hosts = profiles.groupBy("host").agg(F.count_distinct("digest").alias("host_docs"))
     counts = profiles.select("host", "digest", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("digest").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    return counts.join(hosts, "host").filter(F.col("n_docs") > F.lit(share) * F.col("host_docs")).drop("host_docs")
+    return counts.join(hosts, "host").filter(F.col("n_docs") > F.least(F.lit(share) * F.col("host_docs"), F.lit(most_docs))).drop("host_docs")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, min_docs: int = 10, share: float = 0.05, max_lost: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, min_docs: int = 10, share: float = 0.05, most_docs: int = 100, max_lost: float = 0.5) -> DataFrame:
     """One row per row of docs: id_col, BASE, base_failed, n_lost_words, kept."""
     profiles = profile(docs, id_col, text_col, host_col)
-    common = staged(boilerplate(profiles, min_docs, share).select("host", "line"), "boilerplate")
+    common = staged(boilerplate(profiles, min_docs, share, most_docs).select("host", "line"), "boilerplate")
     lines = profiles.select("tag", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("at")).select("tag", "host", F.col("at.lines").alias("line"), F.col("at.line_words").alias("words"))
     lost = lines.join(common, ["host", "line"], "left_semi").groupBy("tag").agg(F.sum("words").alias("n_lost_words"))
     out = profiles.drop("lines", "line_words").join(lost, "tag", "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0).cast("long")))

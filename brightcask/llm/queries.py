@@ -85,7 +85,7 @@ ORACLES: dict[str, str] = {
         l2 as (select *, lower(line) as low, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
         k as (select *, regexp_replace(array_to_string(regexp_extract_all(low, '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') as key from l2 where n > 0),
         hosts as (select host, count(distinct text) as host_docs from d group by host),
-        common as (select host, key from k join hosts using (host) group by host, key, host_docs having count(distinct text) > 10 and count(distinct text) > 0.05 * host_docs),
+        common as (select host, key from k join hosts using (host) group by host, key, host_docs having count(distinct text) > 10 and count(distinct text) > least(0.05 * host_docs, 100)),
         lost as (select doc_id, sum(n)::bigint as n_lost_words from k semi join common using (host, key) group by doc_id),
         dup as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from k group by doc_id),
         pos as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) > 2),
