@@ -7,7 +7,7 @@ of its hashes, so what is broadcast is bounded by the parameter (2 x 2^25 bits:
 When there are far more rows than bits, the filter lets more rows through to the shuffle; results stay exact.
 
 Null text counts as the empty text. Of equal texts the smallest id stays, a null id last; of rows with equal text and equal id,
-exactly one stays. Empty tables give empty results. Other columns, whatever their names, are untouched.
+exactly one stays. Very long texts are hashed whole. Empty tables give empty results. Other columns, whatever their names, are untouched.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ max_bucket are taken apart by the midpoints of their members: two members are wi
 of it on either side meets in one value; that takes a fixed number of rows per member and no comparison of pairs.
 
 Null text and text without words have fingerprint zero and are linked like any other. A null id takes part; a component whose ids
-are all null has a null id. Empty tables give empty results.
+are all null has a null id. Rows that repeat have one fingerprint and so one component. Very long texts are read whole, their hashes
+counted part by part. Empty tables give empty results; other columns are not read, and keep_one leaves them as they are.
 """
 
 from __future__ import annotations
