@@ -61,6 +61,13 @@ def scatter_pairs(t: Tables) -> DataFrame:
     return t.part.select("p_size", "p_retailprice")
 
 
+@query("""select c_mktsegment, min(c_acctbal) as least, round(quantile_cont(c_acctbal, 0.25), 4) as q1, round(quantile_cont(c_acctbal, 0.5), 4) as median, round(quantile_cont(c_acctbal, 0.75), 4) as q3, max(c_acctbal) as most from customer group by 1""")
+def boxplot_of_given_quartiles(t: Tables) -> DataFrame:
+    """A result that holds quartiles already goes into its boxes as it is."""
+    given = boxplot_stats(t).withColumnsRenamed({"least": "min_balance", "q1": "balance_q1", "q3": "balance_q3", "most": "max_balance"})
+    return charts.marks(given, next(c for c in charts.choose(given, "boxplot") if c.kind == "boxplot"))
+
+
 @query("""with y as (select year(o_orderdate) as y, month(o_orderdate) as m, count(*) as n_orders from orders group by 1, 2)
           select y, m, n_orders, make_date(y, m, 1) as period from y""")
 def period_axis(t: Tables) -> DataFrame:
@@ -69,7 +76,7 @@ def period_axis(t: Tables) -> DataFrame:
 
 
 @query("""select * from (values ('by segment', 'comparison', 'bar'), ('over months', 'trend', 'line'), ('months by status', 'trend', 'multi_line'), ('shares', 'part_to_whole', 'pie'),
-          ('balances', 'histogram', 'histogram'), ('balances by segment', 'boxplot', 'boxplot'), ('size and price', 'correlation', 'scatter'), ('weekday and hour', 'heatmap', 'heatmap'), ('stacked', 'composition', 'stacked_bar'), ('listing', 'table', 'table'), ('area', 'area', 'area')) v(result, intent, chart)""")
+          ('balances', 'histogram', 'histogram'), ('balances by segment', 'boxplot', 'boxplot'), ('size and price', 'correlation', 'scatter'), ('weekday and hour', 'heatmap', 'heatmap'), ('stacked', 'composition', 'stacked_bar'), ('listing', 'table', 'table'), ('area', 'area', 'area'), ('over months', 'unknown', 'line'), ('months by status', 'comparison', 'bar'), ('months by status', 'top_n', 'bar'), ('months by status', 'area', 'area'), ('size and price', 'unknown', 'scatter'), ('quartiles', 'boxplot', 'boxplot'), ('names', 'unknown', 'table')) v(result, intent, chart)""")
 def chart_selection_cases(t: Tables) -> DataFrame:
     """The chart chosen for each of these results and intents."""
     orders, customers = t.orders, t.customer
@@ -85,6 +92,11 @@ def chart_selection_cases(t: Tables) -> DataFrame:
         ("stacked", "composition", orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("total"))),
         ("listing", "table", customers.select("c_name", "c_acctbal")),
         ("area", "area", time_series(t, [])),
+        ("over months", "unknown", time_series(t, [])),
+        *[("months by status", i, time_series(t, ["o_orderstatus"])) for i in ("comparison", "top_n", "area")],
+        ("size and price", "unknown", t.part.select(F.col("p_size").cast("double").alias("p_size"), "p_retailprice")),
+        ("quartiles", "boxplot", boxplot_stats(t)),
+        ("names", "unknown", t.nation.select("n_name")),
     ]
     rows = [(name, intent, charts.choose(df, intent)[0].kind) for name, intent, df in cases]
     return t.spark.createDataFrame(rows, "result string, intent string, chart string")

@@ -1,73 +1,180 @@
-"""Which chart a result gets. Sizes and signs come from one aggregation over the result; the rows stay in Spark."""
+"""Which chart a result gets. Sizes and signs come from one aggregation over the result; the rows stay in Spark.
+
+Each form of chart says which fields it would take, or none if the result does not suit it. Forms are then asked in order: the one that
+the caller prefers, those that the question's intent names, those that the result's own shape suggests, and the table if there is no other.
+A table that is asked for comes first.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.functions.wording import meant, on_axis
 from brightcask.plans import transforms
-from brightcask.plans.profile import FieldProfile, profiles
+from brightcask.plans.profile import FieldProfile, profiles, statistic_fields
+
+# How many categories, series and cells a reader can take in, and rows that make a line or a distribution.
+SLICES, SERIES, STACKS, BOXES, CELLS, LINE_ROWS, RAW_ROWS, INLINE = 8, 8, 8, 20, 40, 3, 5, 100
+LONG_LABEL, MANY_LABELS = 12, 5
+
+#: For each intent the forms that answer it, best first.
+ASKED = {
+    "table": ("table",), "heatmap": ("heatmap",), "correlation": ("scatter",), "boxplot": ("boxplot",), "histogram": ("histogram",), "distribution": ("histogram", "boxplot"),
+    "part_to_whole": ("pie",), "composition": ("stacked_bar",), "area": ("area",), "trend": ("multi_line", "line"), "series": ("multi_line", "line"), "top_n": ("bar",), "comparison": ("bar",), "statistics": ("table",),
+}
+#: What a result is drawn as if the question says nothing that suits it.
+SUGGESTED = ("bar", "line", "scatter", "histogram")
 
 
 @dataclass(frozen=True)
 class Candidate:
     kind: str
-    score: float
     x: str | None = None
     y: str | None = None
     color: str | None = None
+    why: str = "suggested"  # preferred, asked, suggested or fallback
+
+
+@dataclass(frozen=True)
+class Result:
+    """What the forms look at: fields by role, the question's own first; rows, distinct values and signs."""
+
+    rows: int
+    distinct: dict[str, int]
+    positive: set[str]
+    measures: tuple[FieldProfile, ...]
+    times: tuple[FieldProfile, ...]
+    dims: tuple[FieldProfile, ...]
+    axes: tuple[str, ...]  # discrete fields in the order of x and y
+    box: dict[str, str]  # columns that are a box plot's statistics already
+
+    @property
+    def y(self) -> str | None:
+        return self.measures[0].name if self.measures else None
+
+    @property
+    def raw(self) -> str | None:
+        """A measure whose rows are the values themselves, with enough of them for a distribution."""
+        return self.y if self.measures and self.measures[0].default != "none" and self.rows >= RAW_ROWS else None
+
+    def within(self, name: str, most: int, least: int = 2) -> bool:
+        return least <= self.distinct[name] <= most
+
+
+Form = Callable[[Result], Candidate | None]
+FORMS: dict[str, Form] = {}
+
+
+def form(f: Form) -> Form:
+    FORMS[f.__name__.rstrip("_")] = f
+    return f
+
+
+@form
+def table(r: Result) -> Candidate | None:
+    return Candidate("table")
+
+
+@form
+def boxplot(r: Result) -> Candidate | None:
+    by = r.dims[0].name if r.dims and r.within(r.dims[0].name, BOXES) else None
+    if r.box:
+        return Candidate("boxplot", r.dims[0].name if r.dims else None)
+    return Candidate("boxplot", by, r.raw) if r.raw else None
+
+
+@form
+def histogram(r: Result) -> Candidate | None:
+    return Candidate("histogram", r.raw) if r.raw else None
+
+
+@form
+def heatmap(r: Result) -> Candidate | None:
+    few = [a for a in r.axes if r.within(a, CELLS, 1)]
+    return Candidate("heatmap", few[0], few[1], r.y) if r.y and len(few) > 1 else None
 
 
-def sizes(df: DataFrame, fields: list[FieldProfile]) -> dict[str, int | bool]:
-    """Rows; distinct values of each discrete field; whether each measure is never negative."""
-    exprs = [F.count(F.lit(1)).alias("rows")]
-    exprs += [F.count_distinct(F.col(f"`{f.name}`")).alias(f"distinct {f.name}") for f in fields if f.role in ("dimension", "id", "text", "time")]
-    exprs += [F.coalesce(F.min(F.col(f"`{f.name}`")) >= 0, F.lit(False)).alias(f"positive {f.name}") for f in fields if f.role == "measure"]
-    return df.agg(*exprs).first().asDict()
+@form
+def scatter(r: Result) -> Candidate | None:
+    if len(r.measures) > 1:
+        return Candidate("scatter", r.measures[0].name, r.measures[1].name)
+    return None
 
 
-def choose(df: DataFrame, intent: str = "unknown", preferred: str | None = None, most: int = 3) -> list[Candidate]:
-    """The best charts for the result, best first; a table is always possible."""
+@form
+def pie(r: Result) -> Candidate | None:
+    return Candidate("pie", r.dims[0].name, r.y) if r.dims and r.y in r.positive and r.within(r.dims[0].name, SLICES) else None
+
+
+@form
+def stacked_bar(r: Result) -> Candidate | None:
+    first = [*r.dims, *r.times]
+    parts = [d.name for d in r.dims if d != first[0] and r.within(d.name, STACKS)] if first else []
+    if r.y and len(r.dims) == 1 and r.times and r.within(r.dims[0].name, STACKS):
+        return Candidate("stacked_bar", r.times[0].name, r.y, r.dims[0].name)
+    return Candidate("stacked_bar", first[0].name, r.y, parts[0]) if r.y and parts else None
+
+
+@form
+def multi_line(r: Result) -> Candidate | None:
+    if not (r.times and r.y and r.rows >= LINE_ROWS):
+        return None
+    if r.dims and r.within(r.dims[0].name, SERIES):
+        return Candidate("multi_line", r.times[0].name, r.y, r.dims[0].name)
+    return Candidate("multi_line", r.times[0].name) if len(r.measures) > 1 else None
+
+
+@form
+def area(r: Result) -> Candidate | None:
+    return Candidate("area", r.times[0].name, r.y) if r.times and r.y and r.rows >= LINE_ROWS else None
+
+
+@form
+def line(r: Result) -> Candidate | None:
+    return Candidate("line", r.times[0].name, r.y) if r.times and r.y else None
+
+
+@form
+def bar(r: Result) -> Candidate | None:
+    return Candidate("bar", r.dims[0].name, r.y) if r.dims and r.y else None
+
+
+def looked_at(df: DataFrame, question: str = "") -> Result:
+    """One aggregation over the result. Fields that the question names come before others of their role."""
     fields = profiles(df)
-    n = sizes(df, fields)
-    rows = n["rows"]
-    measures = [f for f in fields if f.role == "measure"]
-    times = [f for f in fields if f.role == "time"]
-    dims = [f for f in fields if f.role in ("dimension", "id")]
-    y = measures[0].name if measures else None
-    x = dims[0].name if dims else None
-    t = times[0].name if times else None
-    few = lambda f, lo, hi: lo <= n[f"distinct {f.name}"] <= hi
-    raw = bool(measures) and measures[0].default != "none" and rows >= 5
-    found: list[Candidate] = [Candidate("table", 1.0 if intent == "table" else 0.6)]
-    if intent == "boxplot" and raw:
-        found.append(Candidate("boxplot", 0.94, x if dims and few(dims[0], 2, 20) else None, y))
-    if intent in ("histogram", "distribution") and raw:
-        found.append(Candidate("histogram", 0.92, y, None))
-    axes = [f for f in (*times, *dims) if few(f, 1, 40)]
-    if intent == "heatmap" and len(axes) >= 2 and y:
-        found.append(Candidate("heatmap", 0.93, axes[0].name, axes[1].name, y))
-    if len(measures) >= 2:
-        found.append(Candidate("scatter", 0.94 if intent == "correlation" else 0.45, measures[0].name, measures[1].name))
-    if intent == "part_to_whole" and y and dims and few(dims[0], 2, 8) and n[f"positive {y}"]:
-        found.append(Candidate("pie", 0.91, x, y))
-    if intent == "composition" and y and len(dims) >= 2 and few(dims[1], 2, 8):
-        found.append(Candidate("stacked_bar", 0.90, x, y, dims[1].name))
-    if t and y:
-        if dims and few(dims[0], 2, 8) and rows >= 3:
-            found.append(Candidate("multi_line", 0.92, t, y, x))
-        if len(measures) >= 2:
-            found.append(Candidate("multi_line", 0.91, t, None))
-        if intent == "area" and rows >= 3:
-            found.append(Candidate("area", 0.90, t, y))
-        found.append(Candidate("line", 0.90 if intent == "trend" else 0.55, t, y))
-    if x and y:
-        found.append(Candidate("bar", 0.88 if intent in ("comparison", "top_n") else 0.70, x, y))
-    if preferred:
-        found = [Candidate(c.kind, 0.98, c.x, c.y, c.color) if c.kind == preferred else c for c in found]
-    return sorted(found, key=lambda c: -c.score)[:most]
+    role = lambda *names: sorted((f for f in fields if f.role in names), key=lambda f: (f.role == "id", f.name != meant([g.name for g in fields if g.role in names], question)) if question else f.role == "id")
+    measures, times, dims = role("measure"), role("time"), role("dimension", "id")
+    discrete = [f.name for f in (*dims, *times)] if not times else [f.name for f in (*times, *dims)]
+    # Distinct values matter only up to a few: a set of so many is kept for each field, and rows are not multiplied.
+    few = {f: F.approx_count_distinct(F.col(f"`{f}`"), 0.02) for f in discrete}
+    exprs = [F.count(F.lit(1)).alias("rows"), *[c.alias(f"n {f}") for f, c in few.items()], *[F.coalesce(F.min(F.col(f"`{f.name}`")) >= 0, F.lit(False)).alias(f"+ {f.name}") for f in measures]]
+    n = df.agg(*exprs).first().asDict()
+    x, y = (on_axis(discrete, question, a) if question else None for a in "xy")
+    axes = [a for a in (x, *[d for d in discrete if d not in (x, y)]) if a]
+    axes = [*axes[:1], *([y] if y and y != x else []), *axes[1:]] if y else axes
+    return Result(n["rows"], {f: n[f"n {f}"] for f in discrete}, {f.name for f in measures if n[f"+ {f.name}"]}, tuple(measures), tuple(times), tuple(dims), tuple(axes), statistic_fields(df.columns))
+
+
+def choose(df: DataFrame, intent: str = "unknown", preferred: str | None = None, most: int = 3, question: str = "") -> list[Candidate]:
+    """The best charts for the result, best first."""
+    r = looked_at(df, question)
+
+    def offered() -> Iterator[Candidate]:
+        for why, kinds in (("preferred", (preferred,) if preferred in FORMS else ()), ("asked", ASKED.get(intent, ())), ("suggested", SUGGESTED), ("fallback", ("table",))):
+            for kind in kinds:
+                if found := FORMS[kind](r):
+                    yield replace(found, why=why)
+
+    found: dict[str, Candidate] = {}
+    for c in offered():
+        found.setdefault(c.kind, c)
+    if len(found) > 1 and found["table"].why == "fallback":
+        del found["table"]
+    return list(found.values())[:most]
 
 
 def marks(df: DataFrame, chart: Candidate) -> DataFrame:
@@ -75,6 +182,8 @@ def marks(df: DataFrame, chart: Candidate) -> DataFrame:
     how = {f.name: f.default for f in profiles(df)}
     if chart.kind == "histogram":
         return transforms.histogram(df, chart.x)
+    if chart.kind == "boxplot" and chart.y is None:
+        return transforms.given_boxes(df, chart.x, statistic_fields(df.columns))
     if chart.kind == "boxplot":
         return transforms.boxplot(df, chart.y, [chart.x] if chart.x else [])
     if chart.kind == "pie":
@@ -90,3 +199,30 @@ def marks(df: DataFrame, chart: Candidate) -> DataFrame:
     if chart.kind in ("bar", "line", "area", "multi_line"):
         return transforms.bars(df, chart.x, chart.y, how[chart.y], chart.color)
     return df
+
+
+def axis_type(field: FieldProfile) -> str:
+    """How an axis reads a field: a year or another bare number of a period is ordinal and gets no thousands separator."""
+    if field.kind in ("date", "datetime"):
+        return "temporal"
+    if field.role == "time":
+        return "ordinal"
+    return "quantitative" if field.role == "measure" else "nominal"
+
+
+def spec(df: DataFrame, chart: Candidate, title: str = "") -> dict:
+    """The chart as a plain dictionary, with the type of each axis, room for labels and the marks that fit inline.
+
+    Marks are charts' few rows; of those above the limit the first are inline and truncated says so.
+    """
+    fields = {f.name: f for f in profiles(df)}
+    data = marks(df, chart)
+    rows = data.limit(INLINE + 1).collect()
+    out: dict = {"title": title, "mark": chart.kind, "encoding": {}, "values": [r.asDict(recursive=True) for r in rows[:INLINE]], "truncated": len(rows) > INLINE}
+    for channel in ("x", "y", "color"):
+        if name := getattr(chart, channel):
+            out["encoding"][channel] = {"field": name, "type": axis_type(fields[name])}
+    if chart.x and out["encoding"]["x"]["type"] != "quantitative" and chart.x in data.columns:
+        texts = [str(r[chart.x]) for r in rows]
+        out["encoding"]["x"]["turned"] = len(texts) > MANY_LABELS or max(map(len, texts), default=0) > LONG_LABEL
+    return out

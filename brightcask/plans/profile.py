@@ -5,6 +5,7 @@ Roles go by type first and whole words of the name second: a number named update
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -84,11 +85,47 @@ def profiles(df: DataFrame) -> list[FieldProfile]:
     return [field_profile(f) for f in df.schema.fields]
 
 
+# Names of columns that are statistics already, by words and their beginnings.
+STATISTIC_WORDS = {
+    "q1": ("q1", "p25", "percentile_25", "percentile25", "quartile_1", "нижний_квартиль", "первый_квартиль"),
+    "median": ("median", "q2", "p50", "percentile_50", "percentile50", "медиана"),
+    "avg": ("avg", "average", "mean", "среднее", "средний", "средняя"),
+    "q3": ("q3", "p75", "percentile_75", "percentile75", "quartile_3", "верхний_квартиль", "третий_квартиль"),
+    "min": ("min", "minimum", "least", "минимум", "минимальный"),
+    "max": ("max", "maximum", "most", "максимум", "максимальный"),
+}
+
+
+def statistic_of(name: str) -> str | None:
+    """Which statistic a column's name says that it is, by whole words."""
+    padded = f"_{'_'.join(words(name))}_"
+    return next((stat for stat, forms in STATISTIC_WORDS.items() if any(f"_{f}_" in padded for f in forms)), None)
+
+
+def statistic_fields(names: list[str]) -> dict[str, str]:
+    """By statistic: the first column that is one. Empty unless both quartiles and a middle are there, which a box plot needs."""
+    found: dict[str, str] = {}
+    for n in names:
+        if stat := statistic_of(n):
+            found.setdefault(stat, n)
+    return found if {"q1", "q3"} <= found.keys() and {"median", "avg"} & found.keys() else {}
+
+
 def statistics(df: DataFrame) -> DataFrame:
-    """(name, n_rows, n_values, n_distinct, least, most) for each column: one aggregation over df. least and most are text."""
-    columns = df.columns
-    of = lambda c: F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count(F.col(f"`{c}`")).alias("n_values"), F.count_distinct(F.col(f"`{c}`")).alias("n_distinct"), F.min(F.col(f"`{c}`")).cast("string").alias("least"), F.max(F.col(f"`{c}`")).cast("string").alias("most"))
-    return df.agg(F.array(*[of(c) for c in columns]).alias("all")).select(F.inline("all"))
+    """(name, n_rows, n_values, n_distinct, least, most) for each column; least and most are text.
+
+    Each column is counted by value, reading that column alone, and the counts are summed up: partial aggregates all along, so exact
+    distinct counts multiply no rows and keep no set of values.
+    """
+    zero = F.lit(0).cast("long")
+
+    def of(f: T.StructField) -> DataFrame:
+        column = F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+        values = df.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        known = F.col("v").isNotNull()
+        return values.agg(F.lit(f.name).alias("name"), F.coalesce(F.sum("n"), zero).alias("n_rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), zero).alias("n_values"), F.count_if(known).alias("n_distinct"), F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("most"))
+
+    return functools.reduce(DataFrame.unionByName, map(of, df.schema.fields))
 
 
 def sniffed(df: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ no marks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SKETCH = 100_000  # accuracy of the sketch that narrows quantiles down
 AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
-MAX_SERIES = 6  # measures folded into one chart
 
 
 def bars(df: DataFrame, x: str, y: str, how: str = "sum", color: str | None = None, digits: int = 2) -> DataFrame:
@@ -37,17 +37,50 @@ def histogram(df: DataFrame, y: str, bins: int = 20) -> DataFrame:
     return counted.select((F.col("_bin") * F.col("_step")).alias("bin_start"), ((F.col("_bin") + 1) * F.col("_step")).alias("bin_end"), "n")
 
 
+def quantiles(df: DataFrame, y: str, by: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """(by, q0, q1 ...): exact quantiles, interpolated between the two values around each place; null values are left out. at ascends.
+
+    A group may hold a third of all rows, so no task takes a group's values. A sketch tells for each place two values that it lies
+    between, a few hundred-thousandths of the rows apart. Rows are then counted, between such values by value and elsewhere by stretch, in
+    partial aggregates, and the running count over those few counts finds the places exactly.
+    """
+    names = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, by, strict=True)], F.col(y).cast("double").alias("_y")).filter("_y is not null")
+    bound = lambda side: F.percentile_approx("_y", F.array(*[F.lit(min(1.0, max(0.0, p + side * 4 / SKETCH))) for p in at]), F.lit(SKETCH))
+    ends = rows.groupBy(*names).agg(F.count("*").alias("_n"), bound(-1).alias("_lo"), bound(1).alias("_hi"))
+    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"e.{n}")) for n in names]
+    met = rows.alias("r").join(ends.alias("e"), same) if names else rows.alias("r").crossJoin(F.broadcast(ends).alias("e"))  # without groups, one row
+    above, over = (F.size(F.filter(c, lambda b: f(b))) for c, f in (("_lo", lambda b: b <= F.col("_y")), ("_hi", lambda b: b < F.col("_y"))))
+    few = F.col("_n") <= SKETCH  # all counted by value
+    counts = met.select(*[F.col(f"r.{n}") for n in names], "_n", F.when(few, 0).otherwise(above + over).alias("_zone"), F.when(few | (above > over), F.col("_y")).alias("_y")).groupBy(*names, "_n", "_zone", "_y").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_zone", "_y"))
+    counts = counts.withColumn("_upto", upto)
+    holds = lambda place: F.max(F.when((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")), F.col("_y")))
+    places = [F.lit(float(p)) * (F.col("_n") - 1) for p in at]
+    sides = [c.alias(f"{n}{i}") for i, p in enumerate(places) for n, c in (("_a", holds(F.floor(p))), ("_b", holds(F.ceil(p))))]
+    found = counts.groupBy(*names, "_n").agg(*sides)
+    value = lambda i: F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (places[i] - F.floor(places[i]))
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], *[value(i).alias(f"q{i}") for i in range(len(at))])
+
+
 def boxplot(df: DataFrame, y: str, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Least, quartiles and most; whiskers reach the extremes."""
-    stats = {"least": F.min(y), "q1": F.percentile(y, F.lit(0.25)), "median": F.percentile(y, F.lit(0.5)), "q3": F.percentile(y, F.lit(0.75)), "most": F.max(y)}
-    return df.groupBy(*by).agg(*[F.round(c, digits).alias(n) for n, c in stats.items()])
+    found = quantiles(df, y, by, (0.0, 0.25, 0.5, 0.75, 1.0))
+    return found.select(*by, *[F.round(f"q{i}", digits).alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))])
+
+
+def given_boxes(df: DataFrame, x: str | None, columns: Mapping[str, str]) -> DataFrame:
+    """The marks of a result that holds quartiles already: (x, least, q1, median, q3, most), as they are."""
+    middle = columns.get("median", columns.get("avg"))
+    at = {"least": columns.get("min", columns["q1"]), "q1": columns["q1"], "median": middle, "q3": columns["q3"], "most": columns.get("max", columns["q3"])}
+    return df.select(*([x] if x else []), *[F.col(f"`{c}`").alias(n) for n, c in at.items()])
 
 
 def shares(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
-    """(x, y, share): parts of a whole. The total is taken over the groups, not over the rows."""
+    """(x, y, share): parts of a whole. The total is one row of its own, so the groups stay spread."""
     parts = df.groupBy(x).agg(F.sum(y).alias("_y"))
-    total = F.sum("_y").over(Window.partitionBy(F.lit(0)))
-    return parts.select(x, F.round("_y", 2).alias(y), F.round(F.try_divide(F.col("_y"), total), digits).alias("share"))
+    total = df.agg(F.sum(y).alias("_total"))  # one row
+    return parts.crossJoin(F.broadcast(total)).select(x, F.round("_y", 2).alias(y), F.round(F.try_divide(F.col("_y"), F.col("_total")), digits).alias("share"))
 
 
 def stack(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
@@ -58,11 +91,13 @@ def stack(df: DataFrame, x: str, y: str, color: str) -> DataFrame:
 
 
 def fold(df: DataFrame, x: str, measures: Sequence[str]) -> DataFrame:
-    """(x, series, value): wide measures as one long series, at most MAX_SERIES of them."""
-    return df.unpivot([x], list(measures)[:MAX_SERIES], "series", "value")
+    """(x, series, value): wide measures as one long series, all of them."""
+    return df.unpivot([x], list(measures), "series", "value")
 
 
 def period(df: DataFrame, year: str, month: str, out: str = "period") -> DataFrame:
-    """df with year and month as one date; null where they make none."""
+    """df with year and month as one date if every row's make one; as it is, without the column, if any row's do not."""
     valid = F.col(month).between(1, 12) & F.col(year).between(1, 9999)
-    return df.withColumn(out, F.when(valid, F.make_date(F.col(year).cast("int"), F.col(month).cast("int"), F.lit(1))))
+    if not df.agg(F.coalesce(F.every(F.coalesce(valid, F.lit(False))), F.lit(True))).first()[0]:
+        return df
+    return df.withColumn(out, F.make_date(F.col(year).cast("int"), F.col(month).cast("int"), F.lit(1)))
