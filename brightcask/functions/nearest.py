@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def edits(a: Column, b: Column) -> Column:
+    """Edit distance in which one swap of neighbouring letters counts as one edit."""
+    swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+    swaps = F.when(F.length(a) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.levenshtein(swapped(i), b)))) + 1
+    return F.least(F.levenshtein(a, b), swaps)
+
+
 def nearest_values(words: DataFrame, df: DataFrame, column: str, most: int = 2) -> DataFrame:
-    """(word, meant, distance): for each of a few words, the column's value within so many edits; none if two are as near.
+    """(word, meant, distance): for each word, the column's value within so many edits; none if two are as near.
 
-    The words are the broadcast side; the column goes in as its distinct values.
+    Words meet only values whose length is within so many letters of their own, by a join on the length; the column goes in as its distinct
+    values. Words of up to four letters may have one edit.
     """
-    values = df.select(F.col(column).cast("string").alias("meant")).filter("meant is not null").distinct()
-    near = values.crossJoin(F.broadcast(words.select("word"))).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("meant")).cast("long")).filter(F.col("distance") <= F.when(F.length("word") <= 4, 1).otherwise(most))
+    values = df.select(F.col(column).cast("string").alias("meant")).filter("meant is not null").distinct().withColumn("size", F.length("meant"))
+    asked = words.select("word").distinct().withColumn("size", F.explode(F.sequence(F.greatest(F.length("word") - most, F.lit(0)), F.length("word") + most)))
+    limit = F.when(F.length("word") <= 4, 1).otherwise(most)
+    near = asked.join(values, "size").withColumn("distance", edits(F.lower("word"), F.lower("meant")).cast("long")).filter(F.col("distance") <= limit)
     best = near.groupBy("word").agg(F.min("distance").alias("distance"))
     return near.join(best, ["word", "distance"]).groupBy("word", "distance").agg(F.min("meant").alias("meant"), F.count("*").alias("n")).filter("n = 1").select("word", "meant", "distance")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightcask.operators.registry import Tables, query
+from brightcask.plans import transforms
 
 
 def revenue():
@@ -75,8 +76,8 @@ def scalar_subquery(t: Tables) -> DataFrame:
           select p_brand, round(revenue, 2) as revenue from b where revenue > (select avg(revenue) from b)""")
 def above_average_groups(t: Tables) -> DataFrame:
     brands = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(revenue().alias("revenue"))
-    mean = brands.agg(F.avg("revenue").alias("mean"))
-    return brands.crossJoin(F.broadcast(mean)).filter("revenue > mean").select("p_brand", F.round("revenue", 2).alias("revenue"))
+    mean = F.avg("revenue").over(Window.partitionBy())  # one row for each brand
+    return brands.withColumn("mean", mean).filter("revenue > mean").select("p_brand", F.round("revenue", 2).alias("revenue"))
 
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
@@ -86,7 +87,8 @@ def exists_subquery(t: Tables) -> DataFrame:
 
 @query("""select c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) as q1, round(quantile_cont(c_acctbal, 0.5), 4) as median, round(quantile_cont(c_acctbal, 0.75), 4) as q3 from customer group by 1""")
 def quantiles(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(*[F.round(F.percentile("c_acctbal", F.lit(p)), 4).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    found = transforms.quantiles(t.customer, "c_acctbal", ["c_mktsegment"], (0.25, 0.5, 0.75))
+    return found.select("c_mktsegment", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 @query("""select extract(year from o_orderdate) as year, o_orderstatus, count(*) as n_orders from orders group by extract(year from o_orderdate), o_orderstatus""")

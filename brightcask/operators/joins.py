@@ -17,9 +17,13 @@ def join_two(t: Tables) -> DataFrame:
           from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
           join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name""")
 def join_multihop(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    places = lines.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return places.groupBy("r_name").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    """Lines are summed by order, orders by customer and customers by nation, each before the join to the next table."""
+    sums = [F.sum("n_lines").alias("n_lines"), F.sum("revenue").alias("revenue")]
+    per_order = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    per_customer = per_order.join(t.orders, "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*sums)
+    per_nation = per_customer.join(t.customer, "c_custkey").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(*sums)
+    places = per_nation.join(t.nation, "n_nationkey").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return places.groupBy("r_name").agg(F.sum("n_lines").alias("n_lines"), F.round(F.sum("revenue"), 2).alias("revenue"))
 
 
 @query("select c_custkey, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey group by c_custkey")
@@ -84,12 +88,12 @@ def join_theta_range(t: Tables) -> DataFrame:
     return t.part.join(F.broadcast(bands), (F.col("p_retailprice") >= F.col("lo")) & (F.col("p_retailprice") < F.col("hi"))).groupBy("band").agg(F.count("*").alias("n_parts"))
 
 
-@query("""select a.s_nationkey as nationkey, a.s_suppkey as first_supplier, b.s_suppkey as second_supplier from supplier a join supplier b
-          on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey""")
+@query("""select a.o_custkey as custkey, a.o_orderkey as first_order, b.o_orderkey as second_order from orders a join orders b
+          on a.o_custkey = b.o_custkey and date_trunc('month', a.o_orderdate) = date_trunc('month', b.o_orderdate) and a.o_orderkey < b.o_orderkey""")
 def join_self(t: Tables) -> DataFrame:
-    a = t.supplier.select(F.col("s_nationkey").alias("nationkey"), F.col("s_suppkey").alias("first_supplier"))
-    b = t.supplier.select(F.col("s_nationkey").alias("nationkey"), F.col("s_suppkey").alias("second_supplier"))
-    return a.join(b, "nationkey").filter("first_supplier < second_supplier")
+    """Orders of one customer in one month: a key of few rows each."""
+    of = lambda name: t.orders.select(F.col("o_custkey").alias("custkey"), F.date_trunc("month", "o_orderdate").alias("month"), F.col("o_orderkey").alias(name))
+    return of("first_order").join(of("second_order"), ["custkey", "month"]).filter("first_order < second_order").drop("month")
 
 
 @query("select vec_id, pos - 1 as pos, x from (select vec_id, unnest(range(1, 5)) as pos, unnest(embedding[1:4]) as x from embeddings)")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from brightcask.functions.intent import intent
 from brightcask.functions.nearest import nearest_values
 from brightcask.operators.registry import Tables, query
-from brightcask.plans import admission, profile
-from brightcask.plans.questions import Measure, Question, ask
+from brightcask.functions.wording import several_statistics
+from brightcask.plans import admission, answers, profile
+from brightcask.plans.questions import Measure, Question, ask, grained
 from brightcask.sources import catalog
 from brightcask.sources.catalog import ForeignKey
 from brightcask.streaming import events
@@ -123,6 +124,13 @@ def value_correction(t: Tables) -> DataFrame:
     return nearest_values(words, t.customer, "c_mktsegment")
 
 
+@query("""with w(word) as (values ('BUIDLING'), ('MACHNIERY'), ('HOUSEHODL'), ('NOTHING')), v as (select distinct c_mktsegment as meant from customer)
+          select word, meant, damerau_levenshtein(lower(word), lower(meant)) as distance from w, v where damerau_levenshtein(lower(word), lower(meant)) <= 2""")
+def value_correction_of_swaps(t: Tables) -> DataFrame:
+    """Swapped neighbours are one edit."""
+    return nearest_values(t.spark.createDataFrame([("BUIDLING",), ("MACHNIERY",), ("HOUSEHODL",), ("NOTHING",)], "word string"), t.customer, "c_mktsegment")
+
+
 @query("""select * from (values ('o_totlprice', 'o_totalprice', 1::bigint), ('o_custky', 'o_custkey', 1)) v(word, meant, distance)""")
 def column_correction(t: Tables) -> DataFrame:
     """Mistyped columns of orders against the catalog."""
@@ -155,3 +163,59 @@ def windowed_event_counts(t: Tables) -> DataFrame:
 def event_sessions(t: Tables) -> DataFrame:
     out = events.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("select c_mktsegment, c_acctbal from customer where c_acctbal > 0")
+def ask_raw_values_for_a_distribution(t: Tables) -> DataFrame:
+    """A distribution asks for the values themselves: the summing question is taken back to its rows."""
+    q = Question([Measure("c_acctbal", "customer", "c_acctbal", "sum")], by=[("customer", "c_mktsegment")], filters=[("customer", "c_acctbal > 0")])
+    return _ask(t, grained(q, "boxplot"))
+
+
+@query("select o_orderpriority, round(sum(o_totalprice), 2) as total from orders where o_orderstatus = 'F' group by 1")
+def ask_with_mistyped_columns(t: Tables) -> DataFrame:
+    """o_totlprice, o_orderpriorty and o_ordrstatus are no columns: the nearest ones are asked for."""
+    q = Question([Measure("total", "orders", "o_totlprice", "sum")], by=[("orders", "o_orderpriorty")], filters=[("orders", "o_ordrstatus = 'F'")])
+    return _ask(t, answers.with_columns(t.spark, catalog.folder("sales", t.folder, SALES), q)[0])
+
+
+@query("select count(1) as n_customers, round(avg(c_acctbal), 2) as mean from customer where c_mktsegment = 'MACHINERY'")
+def ask_with_a_mistyped_value(t: Tables) -> DataFrame:
+    """No segment is called MACHNIERY: the nearest value is asked for."""
+    q = Question([Measure("n_customers", "customer"), Measure("mean", "customer", "c_acctbal", "avg")], filters=[("customer", "c_mktsegment = 'MACHNIERY'")])
+    return _ask(t, answers.with_values(t.spark, catalog.folder("sales", t.folder, SALES), q)[0])
+
+
+@query("""with r as (select 'regions' as result, count(*) as n_rows from region union all select 'orders', count(*) from orders union all select 'free orders', count(*) from orders where o_totalprice < 0)
+          select result, n_rows, least(n_rows, 100) as shown, case when n_rows = 0 then 'failed' when n_rows > 100 then 'partial_success' else 'success' end as status,
+                 case when n_rows = 0 then 'empty_result' when n_rows > 100 then 'row_limit_exceeded' end as code from r""")
+def result_statuses(t: Tables) -> DataFrame:
+    """Whole, cut and empty results."""
+    return answers.statuses({"regions": t.region, "orders": t.orders, "free orders": t.orders.filter("o_totalprice < 0")})
+
+
+@query("""select table_name, column_name, case when regexp_matches(column_name, '(^|_)(id|uuid)$|^(id|uuid)_|key$') then 'id'
+                 when data_type in ('DATE', 'TIMESTAMP', 'TIMESTAMP WITH TIME ZONE') then 'time'
+                 when data_type in ('BIGINT', 'INTEGER', 'SMALLINT', 'DOUBLE', 'FLOAT') then 'measure'
+                 when regexp_matches(column_name, '(^|_)(description|comment|note)') then 'text' else 'dimension' end as role
+          from duckdb_columns() where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""")
+def column_roles(t: Tables) -> DataFrame:
+    """The role of every column of the source, from its schema."""
+    source = catalog.folder("sales", t.folder, [*SALES, "events"])
+    rows = [(name, f.name, f.role) for name in source.visible() for f in profile.profiles(source.table(t.spark, name))]
+    return t.spark.createDataFrame(rows, "table_name string, column_name string, role string")
+
+
+@query("""with q as (select distinct 'least and most ' || p_brand || ' price' as question from part union all select distinct 'average size of ' || p_type from part)
+          select question, (regexp_matches(question, '\\b(least|lowest|min)')::int + regexp_matches(question, '\\b(most|highest|max)')::int + regexp_matches(question, '\\b(average|avg|mean)')::int) >= 2 as several from q""")
+def questions_for_several_statistics(t: Tables) -> DataFrame:
+    least = t.part.select(F.concat(F.lit("least and most "), "p_brand", F.lit(" price")).alias("question")).distinct()
+    mean = t.part.select(F.concat(F.lit("average size of "), "p_type").alias("question")).distinct()
+    return least.unionByName(mean).select("question", several_statistics(F.col("question")).alias("several"))
+
+
+@query("""select o_orderkey, o_totalprice::double as o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000') as o_orderdate, (o_totalprice::decimal(18, 2))::double as rounded from orders where o_orderstatus = 'P'""")
+def values_at_the_edge(t: Tables) -> DataFrame:
+    """Decimals and times as callers outside of Spark take them."""
+    rows = t.orders.filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_totalprice").cast("decimal(18, 2)").alias("rounded"))
+    return admission.edge(rows)

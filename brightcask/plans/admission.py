@@ -80,9 +80,9 @@ def unique_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-# The codes of an error, by which a caller tells them apart.
-CODES = ("sql_validation_failed", "sql_execution_failed", "unknown_column", "unknown_table", "timeout", "empty_question", "unknown_source", "source_unavailable", "no_answer", "internal_error")
-CONDITIONS = {"UNRESOLVED_COLUMN": "unknown_column", "UNRESOLVED_MAP_KEY": "unknown_column", "TABLE_OR_VIEW_NOT_FOUND": "unknown_table", "SCHEMA_NOT_FOUND": "unknown_table", "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY": "sql_validation_failed"}
+# The codes of errors and warnings, by which a caller tells them apart.
+CODES = ("model_not_loaded", "schema_not_found", "ambiguous_query", "sql_generation_failed", "sql_validation_failed", "sql_execution_failed", "timeout", "empty_result", "row_limit_exceeded", "metadata_incomplete")
+CONDITIONS = {"PATH_NOT_FOUND": "schema_not_found", "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY": "sql_validation_failed"}
 
 
 def code_of(error: Exception) -> str:
@@ -90,7 +90,7 @@ def code_of(error: Exception) -> str:
     if isinstance(error, ParseException):
         return "sql_validation_failed"
     condition = error.getCondition() or "" if isinstance(error, PySparkException) else ""
-    return CONDITIONS.get(condition.split(".")[0], "sql_execution_failed" if isinstance(error, PySparkException) else "internal_error")
+    return CONDITIONS.get(condition.split(".")[0], "sql_execution_failed")
 
 
 def edge(df: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ Joins follow foreign keys from the measure's table to the tables of dimensions a
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightcask.plans.transforms import AGGREGATIONS
@@ -37,6 +37,12 @@ class Question:
     above_average: bool = False
     top: int | None = None
     digits: int = 2
+    raw: bool = False  # the measures' rows themselves, as distributions and comparisons of single things need them
+
+
+def grained(q: Question, intent: str) -> Question:
+    """The question at the grain that its intent needs: distributions and correlations look at rows, not at sums of them."""
+    return replace(q, raw=True, having=None, above_average=False) if intent in ("boxplot", "histogram", "distribution", "correlation") else q
 
 
 def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Question) -> DataFrame:
@@ -53,6 +59,9 @@ def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Ques
             if fk.parent not in joined:
                 df = df.join(_filtered(spark, source, fk.parent, q), F.col(fk.column) == F.col(fk.parent_column))
                 joined.add(fk.parent)
+    if q.raw:
+        out = df.select(*[F.col(c) for _, c in q.by], *[F.round(F.expr(m.expression), q.digits).alias(m.name) for m in q.measures])
+        return out.orderBy(F.desc(q.measures[0].name), *[c for _, c in q.by]).limit(q.top) if q.top else out
     groups: list[Column] = [F.col(c) for _, c in q.by]
     if q.grain:
         groups.append(F.date_trunc(q.grain[2], q.grain[1]).cast("timestamp_ntz").alias(q.grain[2]))
@@ -61,7 +70,7 @@ def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Ques
     if q.having:
         out = out.filter(q.having)
     if q.above_average:
-        out = out.crossJoin(F.broadcast(out.agg(F.avg(first).alias("_mean")))).filter(F.col(first) > F.col("_mean")).drop("_mean")
+        out = out.withColumn("_mean", F.avg(first).over(Window.partitionBy())).filter(F.col(first) > F.col("_mean")).drop("_mean")  # one row for each group
     return out.orderBy(F.desc(first), *[c for _, c in q.by]).limit(q.top) if q.top else out
 
 

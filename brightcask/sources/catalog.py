@@ -13,6 +13,7 @@ from brightcask.sources import readers
 
 HIDDEN = ("stg_", "int_")  # Fixed values: prefixes and ends of helper tables that are not shown.
 HIDDEN_ENDS = ("_tmp",)
+HIDDEN_PARTS = ("bridge_smoke",)
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class Source:
     keys: list[ForeignKey] = field(default_factory=list)
 
     def visible(self) -> list[str]:
-        return [t for t in self.tables if not t.startswith(HIDDEN) and not t.endswith(HIDDEN_ENDS)]
+        return [t for t in self.tables if not t.startswith(HIDDEN) and not t.endswith(HIDDEN_ENDS) and not any(p in t for p in HIDDEN_PARTS)]
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         kind, options = self.tables[name]
@@ -72,21 +73,29 @@ def candidates(spark: SparkSession, source: Source) -> list[ForeignKey]:
 
 def verified(spark: SparkSession, source: Source, within: list[ForeignKey] | None = None) -> DataFrame:
     """(table_name, column_name, parent, parent_column, orphans) of candidates whose parent column has no value twice and holds all of
-    the child's. Parents and children are compared by their distinct values, so a key shared by many rows counts once.
+    the child's. Each parent column is tested once; children go in as their distinct values, so a key shared by many rows counts once.
     """
     pairs = candidates(spark, source) if within is None else within
     schema = "table_name string, column_name string, parent string, parent_column string, orphans long"
+    parents = {(fk.parent, fk.parent_column) for fk in pairs}
+    unique = {p for p in parents if unique_column(source.table(spark, p[0]), p[1])}
     out = None
     for fk in pairs:
-        parent = source.table(spark, fk.parent).groupBy(F.col(fk.parent_column).alias("k")).agg(F.count("*").alias("n"))
-        child = source.table(spark, fk.table).filter(F.col(fk.column).isNotNull()).select(F.col(fk.column).alias("k")).distinct().withColumn("child", F.lit(1))
-        met = parent.join(child, "k", "full")
-        found = met.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count_if(F.col("n").isNull()).alias("orphans")).filter("most = 1 and orphans = 0")
+        if (fk.parent, fk.parent_column) not in unique:
+            continue
+        child = source.table(spark, fk.table).select(F.col(fk.column).alias("k")).filter("k is not null").distinct()
+        found = child.join(source.table(spark, fk.parent).select(F.col(fk.parent_column).alias("k")), "k", "left_anti").agg(F.count("*").alias("orphans")).filter("orphans = 0")
         row = found.select(*[F.lit(v).alias(n) for n, v in (("table_name", fk.table), ("column_name", fk.column), ("parent", fk.parent), ("parent_column", fk.parent_column))], "orphans")
         out = row if out is None else out.unionByName(row)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def unique_column(df: DataFrame, column: str) -> bool:
+    """Whether no value comes twice, by one aggregation; a column without values is none that others could refer to."""
+    most = df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n")).filter("k is not null").agg(F.max("n")).first()[0]
+    return most == 1
+
+
 def join_path(keys: list[ForeignKey], start: str, goal: str) -> list[ForeignKey] | None:
     """The shortest way from one table to another along keys to parents; None if there is none."""
     ways: deque[tuple[str, list[ForeignKey]]] = deque([(start, [])])

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+BATCH = 10_000  # rows
 FILES = ("parquet", "orc", "csv", "json", "text")
 SQLITE_TYPES = {"INT": "bigint", "CHAR": "string", "CLOB": "string", "TEXT": "string", "REAL": "double", "FLOA": "double", "DOUB": "double", "NUM": "double", "DEC": "double", "BOOL": "boolean", "BLOB": "binary"}
 
@@ -22,8 +21,8 @@ class RowRange(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, parts: int, names: list[str], booleans: set[int]) -> None:
-        self.path, self.table, self.parts, self.names, self.booleans = path, table, parts, names, booleans
+    def __init__(self, path: str, table: str, parts: int, names: list[str], booleans: set[int], kinds: list | None = None) -> None:
+        self.path, self.table, self.parts, self.names, self.booleans, self.kinds = path, table, parts, names, booleans, kinds
 
     def partitions(self) -> list[RowRange]:
         with _opened(self.path) as db:
@@ -33,11 +32,16 @@ class SqliteReader(DataSourceReader):
         step = max(1, -(-(hi - lo + 1) // self.parts))
         return [RowRange(a, min(a + step - 1, hi)) for a in range(lo, hi + 1, step)]
 
-    def read(self, partition: RowRange) -> Iterator[tuple]:
+    def read(self, partition: RowRange):
+        """Arrow batches of so many rows."""
+        import pyarrow as pa
+
         columns = ", ".join(f'"{n}"' for n in self.names)
         with _opened(self.path) as db:
-            for row in db.execute(f'select {columns} from "{self.table}" where rowid between ? and ?', (partition.lo, partition.hi)):
-                yield tuple(bool(v) if i in self.booleans and v is not None else v for i, v in enumerate(row))
+            rows = db.execute(f'select {columns} from "{self.table}" where rowid between ? and ?', (partition.lo, partition.hi))
+            while some := rows.fetchmany(BATCH):
+                cols = [[bool(v) if v is not None else None for v in c] if i in self.booleans else list(c) for i, c in enumerate(zip(*some, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, self.kinds, strict=True)], names=self.names)
 
 
 class SqliteSource(DataSource):
@@ -56,7 +60,9 @@ class SqliteSource(DataSource):
 
     def reader(self, schema) -> SqliteReader:
         booleans = {i for i, (_, t) in enumerate(self._declared()) if t == "boolean"}
-        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), booleans)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), booleans, to_arrow_schema(schema).types)
 
 
 def _opened(path: str):
@@ -67,6 +73,15 @@ def _opened(path: str):
     return contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
 
 
+def sqlite_keys(path: str) -> tuple[dict[str, list[str]], list[tuple[str, str, str, str]]]:
+    """Declared keys of a SQLite file: primary key columns by table, and (table, column, parent, parent column)."""
+    with _opened(path) as db:
+        tables = [r[0] for r in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by rowid")]
+        primary = {t: [c[1] for c in sorted(db.execute(f'pragma table_info("{t}")'), key=lambda c: c[5]) if c[5]] for t in tables}
+        foreign = [(t, k[3], k[2], k[4] or (primary.get(k[2]) or [k[3]])[0]) for t in tables for k in db.execute(f'pragma foreign_key_list("{t}")')]
+    return primary, foreign
+
+
 class DuckReader(SqliteReader):
     def partitions(self) -> list[RowRange]:
         with _duck(self.path) as db:

@@ -61,3 +61,49 @@ def test_join_path_and_hidden_tables():
     assert [k.parent for k in catalog.join_path(keys, "expense", "event")] == ["budget", "event"]
     assert catalog.join_path(keys, "event", "expense") is None
     assert catalog.folder("s", "/x", ["a", "stg_b", "c_tmp", "int_d"]).visible() == ["a"]
+
+
+def test_registry_of_sources(spark, tmp_path):
+    import json
+
+    from brightcask.sources.registry import Registry, UnknownSource, fixed
+
+    spark.range(3).write.parquet(f"{tmp_path}/root/found/t.parquet")
+    entries = {"_about": "notes", "sales": {"engine": "parquet", "tables": {"nation": "/root/testdata/sf0.001/nation.parquet"}, "keys": [["nation", "n_regionkey", "region", "r_regionkey"]]}, "gone": {"engine": "parquet", "tables": {"t": f"{tmp_path}/nowhere"}}, "off": {"engine": "parquet", "disabled": True}}
+    (tmp_path / "sources.json").write_text(json.dumps(entries))
+    registry = Registry.read(f"{tmp_path}/sources.json", f"{tmp_path}/root")
+    assert registry.get("sales").keys[0].parent == "region" and registry.get("found").table(spark, "t").count() == 3
+    for name in ("off", "none", "_about"):
+        with pytest.raises(UnknownSource):
+            registry.get(name)
+    states = {r.source_id: r for r in registry.states(spark).collect()}
+    assert states["sales"].state == "ready" and states["sales"]["columns"] > 0 and states["gone"].state == "PATH_NOT_FOUND" and states["off"].state == "disabled"
+    assert fixed(spark, {"tiny": ("a int", [(1,)])})["tiny"].first().a == 1 and spark.table("tiny").count() == 1
+
+
+def test_artifacts_and_exports(spark, tmp_path):
+    from brightcask.sources import artifacts
+
+    kept = artifacts.Artifacts(f"{tmp_path}/kept")
+    df = spark.createDataFrame([(1, 'a "b"', None), (2, "x,y", 1.5)], "id int, name string, x double")
+    table, spec = kept.save("r1", "table", df), kept.save("r1", "chart_spec", {"mark": "bar"})
+    assert kept.load(spark, table).count() == 2 and kept.load(spark, spec) == {"mark": "bar"} and spec.startswith("r1-chart_spec-")
+    for bad in ("../x", "a/b", ""):
+        with pytest.raises(ValueError):
+            kept.load(spark, bad)
+    text = artifacts.csv_text(df, {"name": "Имя", "x": "id"})
+    assert text == artifacts.MARK + 'id,Имя,id 2\n1,"a ""b""",\n2,"x,y",1.5\n'
+    import json
+
+    assert json.loads(artifacts.json_text(df, {"name": "Имя"}))["columns"][1] == {"id": "name", "label": "Имя"}
+
+
+def test_sqlite_keys(spark, tmp_path):
+    import sqlite3
+
+    from brightcask.sources import readers
+
+    with sqlite3.connect(tmp_path / "k.db") as db:
+        db.execute("create table parent (id integer primary key, name text)")
+        db.execute("create table child (a int, b int, parent_id int references parent(id), primary key (a, b))")
+    assert readers.sqlite_keys(f"{tmp_path}/k.db") == ({"parent": ["id"], "child": ["a", "b"]}, [("child", "parent_id", "parent", "id")])
