@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that tell an intent, in English and as Russian stems; the first intent that matches counts.
-INTENTS = [
-    ("heatmap", r"heat ?map|теплов|матриц"),
-    ("correlation", r"correlation|scatter|dot plot|point chart|[xy] axis|коррел|точеч|рассе[яи]"),
-    ("boxplot", r"box ?plot|ящик|выброс"),
-    ("histogram", r"histogram|гистограмм"),
-    ("part_to_whole", r"pie|donut|share|part-to-whole|кругов|сектор|дол[яи]"),
-    ("composition", r"stacked|накоплен|разбив|вклад|состав"),
-    ("area", r"area (chart|graph)|област|площадн"),
-    ("trend", r"trend|month|monthly|decade|динамик|тренд|месяц|месяч|помесяч|ежемесяч|по дня|по год|десятилет"),
-    ("top_n", r"top|топ|лучшие|лидер"),
-    ("comparison", r"category|сравн|категор|по сегмент"),
-    ("distribution", r"distribution|распредел"),
-    ("table", r"table|list|таблиц|список"),
+# The words that tell an intent, in English and as Russian stems. They must be these, for questions rely on them; the first
+# intent that matches counts.
+WORDS = [
+    ("heatmap", ["теплов", "heatmap", "heat map", "матриц"]),
+    ("correlation", ["коррел", "correlation", "scatter", "dot plot", "point chart", "точеч", "точк", "рассеян", "рассеив"]),
+    ("boxplot", ["boxplot", "box plot", "ящик", "выброс"]),
+    ("histogram", ["гистограмм", "histogram"]),
+    ("part_to_whole", ["кругов", "pie", "donut", "сектор", "доля", "доли", "share", "part-to-whole"]),
+    ("composition", ["stacked", "накоплен", "разбив", "вклад", "состав"]),
+    ("area", ["area chart", "area graph", "област", "площадн"]),
+    ("trend", ["динамик", "тренд", "trend", "month", "monthly", "месяц", "месяч", "помесяч", "ежемесяч", "по дня", "по год", "decade", "десятилет"]),
+    ("top_n", ["топ", "top", "лучшие", "лидер"]),
+    ("comparison", ["сравн", "category", "категор", "по сегмент"]),
+    ("distribution", ["распредел", "distribution", "histogram"]),
+    ("table", ["таблиц", "table", "список", "list"]),
 ]
+#: A question that names an axis asks for points, too.
+AXIS = r"[xy][\s-]*axis"
 
 
 def intent(question: Column) -> Column:
-    """The first of INTENTS with a word that begins so; unknown if there is none or no question."""
+    """The first intent that a word of the question begins like; unknown if there is none or no question."""
     text = F.lower(question)
     out = F.lit("unknown")
-    for name, words in reversed(INTENTS):
-        out = F.when(text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})"), name).otherwise(out)
+    for name, words in reversed(WORDS):
+        starts = "|".join([*words, AXIS] if name == "correlation" else words)
+        out = F.when(text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{starts})"), name).otherwise(out)
     return F.coalesce(out, F.lit("unknown"))

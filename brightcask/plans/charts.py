@@ -1,4 +1,4 @@
-"""Which chart a result gets. Sizes and signs come from one aggregation over the result; the rows stay in Spark.
+"""Which chart a result gets. Sizes and signs come from aggregations over the result; the rows stay in Spark.
 
 Each form of chart says which fields it would take, or none if the result does not suit it. Forms are then asked in order: the one that
 the caller prefers, those that the question's intent names, those that the result's own shape suggests, and the table if there is no other.
@@ -7,6 +7,7 @@ A table that is asked for comes first.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -143,16 +144,21 @@ def bar(r: Result) -> Candidate | None:
     return Candidate("bar", r.dims[0].name, r.y) if r.dims and r.y else None
 
 
+def _few(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Distinct values of each field, counted exactly up to one more than any form takes: partial aggregates of that field alone."""
+    counts = [df.select(F.col(f"`{n}`").alias("v")).filter("v is not null").distinct().limit(CELLS + 1).agg(F.lit(n).alias("name"), F.count("v").alias("n")) for n in names]
+    return {f"n {r.name}": r.n for r in functools.reduce(DataFrame.unionByName, counts).collect()} if counts else {}
+
+
 def looked_at(df: DataFrame, question: str = "") -> Result:
-    """One aggregation over the result. Fields that the question names come before others of their role."""
+    """Sizes and signs of the result. Fields that the question names come before others of their role."""
     fields = profiles(df)
     role = lambda *names: sorted((f for f in fields if f.role in names), key=lambda f: (f.role == "id", f.name != meant([g.name for g in fields if g.role in names], question)) if question else f.role == "id")
     measures, times, dims = role("measure"), role("time"), role("dimension", "id")
     discrete = [f.name for f in (*dims, *times)] if not times else [f.name for f in (*times, *dims)]
-    # Distinct values matter only up to a few: a set of so many is kept for each field, and rows are not multiplied.
-    few = {f: F.approx_count_distinct(F.col(f"`{f}`"), 0.02) for f in discrete}
-    exprs = [F.count(F.lit(1)).alias("rows"), *[c.alias(f"n {f}") for f, c in few.items()], *[F.coalesce(F.min(F.col(f"`{f.name}`")) >= 0, F.lit(False)).alias(f"+ {f.name}") for f in measures]]
-    n = df.agg(*exprs).first().asDict()
+    signs = [F.coalesce(F.min(F.col(f"`{f.name}`")) >= 0, F.lit(False)).alias(f"+ {f.name}") for f in measures]
+    n = df.agg(F.count(F.lit(1)).alias("rows"), *signs).first().asDict()
+    n |= _few(df, discrete)
     x, y = (on_axis(discrete, question, a) if question else None for a in "xy")
     axes = [a for a in (x, *[d for d in discrete if d not in (x, y)]) if a]
     axes = [*axes[:1], *([y] if y and y != x else []), *axes[1:]] if y else axes

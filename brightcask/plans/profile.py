@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words and stems that name time, free text and periods.
-TIME_WORDS = {"date", "time", "month", "year", "day", "week", "quarter", "decade", "ts", "timestamp", "weekday", "hour"}
+# Words and stems that name time, free text and periods. They must be these, for column names rely on them.
+TIME_WORDS = ("date", "time", "month", "year", "day", "week", "quarter", "decade")
 TIME_STEMS = ("дата", "время", "месяц", "год", "день", "недел", "квартал", "десятилет")
 TEXT_STEMS = ("description", "comment", "note", "описан", "коммент")
-PERIODS = (("day", "day"), ("week", "week"), ("month", "month"), ("quarter", "quarter"), ("decade", "year"), ("year", "year"), ("день", "day"), ("недел", "week"), ("месяц", "month"), ("квартал", "quarter"), ("год", "year"))
+PERIODS = (("day", "day"), ("день", "day"), ("week", "week"), ("недел", "week"), ("month", "month"), ("месяц", "month"), ("quarter", "quarter"), ("квартал", "quarter"), ("decade", "year"), ("десятилет", "year"), ("year", "year"), ("год", "year"))
+#: Further words for time, and names that say a number is an aggregate already.
+MORE_TIME = ("ts", "timestamp", "weekday", "hour")
 AGGREGATES = re.compile(r"^(count|sum|avg|mean|min|max|total|n)_|_(count|sum|avg|total)$")
 
 
@@ -53,8 +55,8 @@ def role_of(name: str, kind: str) -> str:
     ws = words(name)
     if ws and (ws[0] in ("id", "uuid") or ws[-1] in ("id", "uuid", "key") or ws[-1].endswith("key")):
         return "id"
-    named_time = any(w in TIME_WORDS or w.startswith(TIME_STEMS) for w in ws)
-    if kind in ("date", "datetime") or (named_time and kind == "string") or (kind == "number" and ws and (ws[-1] in TIME_WORDS or ws[-1].startswith(TIME_STEMS))):
+    named_time = any(w in TIME_WORDS + MORE_TIME or w.startswith(TIME_STEMS) for w in ws)
+    if kind in ("date", "datetime") or (named_time and kind == "string") or (kind == "number" and ws and (ws[-1] in TIME_WORDS + MORE_TIME or ws[-1].startswith(TIME_STEMS))):
         return "time"
     if kind == "number":
         return "measure"
