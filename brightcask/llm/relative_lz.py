@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightcask.llm.common import staged
-from brightcask.llm.repeats import RANGES, Units, candidates, found_pieces, frequent, joined, slim, without
+from brightcask.llm.repeats import RANGES, Units, candidates, chunks, found, frequent, joined, slim, without
 
 BLOCK_ROWS = 50_000
 PIECES = "anchor long, id long, th long, start int, n int, body binary"
@@ -112,34 +112,38 @@ def _rows(cols: list, kinds: list[pa.DataType], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in names.split(", ")])
 
 
-def _cut(body: bytes, first: int, words: int) -> bytes:
-    parts = body.split(b" ")
-    return body if first == 0 and words == len(parts) else b" ".join(parts[first : first + words])
+def _bodies(words: pa.Array, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The n words from each of first on, joined by spaces."""
+    cuts = np.append(0, np.cumsum(n))
+    at = np.arange(cuts[-1]) + np.repeat(first - cuts[:-1], n)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(at)).cast(pa.binary())), pa.scalar(b" ", pa.binary()))
 
 
 def _own(u: Units, shared, block_rows: int):
     """Candidates in; PIECES out: what the task finds among its own (without a body), and what it sends on."""
 
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, i, th, start, _, _, body = zip(*held, strict=True)
-        block = Block(pa.array(body, pa.binary()), u.window)
-        i, th, start = (np.array(x, np.int64) for x in (i, th, start))
+    def settle(held: list[list]) -> Iterator[pa.RecordBatch]:
+        anchor, i, th, start = (np.concatenate([x[c] for x in held]) for c in range(4))
+        block = Block(pa.concat_arrays([x[4] for x in held]), u.window)
         gone = block.parse(i)
         piece, first, n = block.runs(gone)
-        found = joined(i[piece], th[piece], start[piece] + first, n)
-        yield _rows([found[1], *found, pa.nulls(len(found[0]), pa.binary())], KINDS, PIECES)
+        known = joined(i[piece], th[piece], start[piece] + first, n)
+        yield _rows([known[1], *known, pa.nulls(len(known[0]), pa.binary())], KINDS, PIECES)
         piece, first, n = block.runs(~gone)
-        bodies = [_cut(body[p], f, m + u.window - 1) for p, f, m in zip(piece.tolist(), first.tolist(), n.tolist(), strict=True)]
-        yield _rows([np.array(anchor, np.int64)[piece], i[piece], th[piece], start[piece] + first, n, bodies], KINDS, PIECES)
+        yield _rows([anchor[piece], i[piece], th[piece], start[piece] + first, n, _bodies(block.words, block.start[piece] + first, n + u.window - 1)], KINDS, PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, held = np.unpackbits(shared.value), []
+        common, held, many = np.unpackbits(shared.value), [], 0
         for batch in batches:
-            held += found_pieces(batch, u, common)
-            if len(held) >= block_rows:
-                yield from settle(held)
-                held = []
-        if held:
+            for part in chunks(batch):
+                chunk, (text, first, n, _, anchor) = found(part, u, common)
+                i, th = (part.column(c).to_numpy() for c in ("id", "th"))
+                held.append([anchor, i[text], th[text], first - chunk.start[text], _bodies(chunk.words, first, n + u.window - 1)])
+                many += len(text)
+                if many >= block_rows:
+                    yield from settle(held)
+                    held, many = [], 0
+        if many:
             yield from settle(held)
 
     return run
@@ -185,13 +189,13 @@ def _blocks(window: int, block_rows: int):
 def duplicate_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, block_rows: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
     shared = frequent(rows, u)
-    found = staged(candidates(rows, u, shared).mapInArrow(_own(u, shared, block_rows), PIECES), "pieces")
-    blocks = found.filter("body is not null").repartition("anchor").sortWithinPartitions("anchor", "id")
-    return found.filter("body is null").select("id", "th", "start", "n").unionByName(blocks.mapInArrow(_blocks(u.window, block_rows), RANGES))
+    pieces = staged(candidates(rows, u, shared).mapInArrow(_own(u, shared, block_rows), PIECES), "pieces")
+    blocks = pieces.filter("body is not null").repartition("anchor").sortWithinPartitions("anchor", "id")
+    return pieces.filter("body is null").select("id", "th", "start", "n").unionByName(blocks.mapInArrow(_blocks(u.window, block_rows), RANGES))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256."""
-    u = Units(words=True, window=window, k=8 if window > 8 else 1)
+    u = Units(words=True, window=window, k=4 if window > 4 else 1)
     out = without(docs, duplicate_windows(docs, id_col, text_col, u, block_rows), u, id_col, text_col)
     return out.select(F.col("given").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")

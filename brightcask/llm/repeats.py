@@ -11,7 +11,7 @@ k-grams that are frequent in a sample of documents are anchors only of windows t
 then has pieces of its own text alone, equal in all of them, and windows that reach beyond it have an anchor that is rare. The sample
 decides only where the work is done: windows that are equal have equal anchors whatever it holds.
 
-Null and empty texts have no windows. Texts are read whole, however long: long ones in segments that overlap by a window. Rows that
+Null and empty texts have no windows. Texts are read whole, however long: windows in segments that overlap by a window. Rows that
 repeat, with or without an id, are rows of their own. An empty table gives an empty result; other columns are not read.
 """
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ from brightcask.llm.common import dropped, staged
 
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 POS_BITS = 28
+PIECE_WINDOWS = 32  # of words, at most
 CELL_BITS = 22  # classes of k-grams whose frequency is kept: 512 KB of flags
 RANGES = "id long, th long, start int, n int"
 
@@ -44,17 +46,6 @@ class Units:
     window: int
     k: int
 
-    def read(self, text: str | None) -> tuple[np.ndarray, bytes, np.ndarray | None]:
-        """A number for each unit, and the text in which unit i starts at offsets[i] (bytes: at i)."""
-        data = (text or "").encode()
-        if not self.words:
-            return _BYTE[np.frombuffer(data, np.uint8)], data, None
-        words = data.split()
-        known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-        offsets = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=offsets[1:])
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), b" ".join(words), offsets
-
 
 _BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +65,7 @@ def kgrams(unit: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(unit: np.ndarray, u: Units, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: its anchor's place and hash. unit: numbers of one document's units; common: flags by class of k-gram."""
+    """For each window: its anchor's place and hash. unit: a number for each unit; common: flags by class of k-gram."""
     h = kgrams(unit, u.k)
     place = np.uint64((1 << POS_BITS) - 1)
     rank = (h >> np.uint64(1)) | (common[h >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(63))
@@ -89,11 +80,52 @@ def anchors(unit: np.ndarray, u: Units, common: np.ndarray) -> tuple[np.ndarray,
     return at, h[at].view(np.int64)
 
 
-def segments(unit: np.ndarray, u: Units, common: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first window, places, hashes) over a document's windows, at most so many at once; places count from the document's start."""
-    for first in range(0, len(unit) - u.window + 1, most):
-        at, h = anchors(unit[first : first + most + u.window - 1], u, common)
-        yield first, at + first, h
+class Chunk:
+    """Some texts one after another: a number for each unit, where each text starts, and the words or the bytes themselves."""
+
+    def __init__(self, texts: pa.Array, u: Units) -> None:
+        if u.words:
+            split = pc.ascii_split_whitespace(texts)
+            full = pc.greater(pc.binary_length(split.values), 0)  # white space at an edge makes an empty word
+            self.words = split.values.filter(full)
+            self.start = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]
+            coded = self.words.dictionary_encode()
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+            self.unit = hashes[coded.indices.to_numpy()]
+        else:
+            parts = [t.encode() for t in texts.to_pylist()]
+            self.data = b"".join(parts)
+            self.start = np.append(0, np.cumsum([len(x) for x in parts], dtype=np.int64))
+            self.unit = _BYTE[np.frombuffer(self.data, np.uint8)]
+
+    def pieces(self, u: Units, common: np.ndarray, most: int = 1 << 20) -> list[np.ndarray]:
+        """(text, place of the first window, windows, place of the anchor, anchor) for stretches of windows with one anchor; at most so many windows are looked at at once."""
+        text = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        out = [[np.empty(0, np.int64)] * 5]
+        for first in range(0, len(self.unit) - u.window + 1, most):
+            at, h = anchors(self.unit[first : first + most + u.window - 1], u, common)
+            i = np.arange(first, first + len(h))
+            inside = text[i] == text[i + u.window - 1]
+            i, at, h = i[inside], at[inside] + first, h[inside]
+            if not len(i):
+                continue
+            # Where words go on and on alike every window has an anchor of its own, but with one hash, which is all that words need.
+            new = np.append(True, (i[1:] != i[:-1] + 1) | ((h[1:] != h[:-1]) if u.words else (at[1:] != at[:-1])))
+            if u.words:
+                since = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+                new |= since % PIECE_WINDOWS == 0
+            new = np.flatnonzero(new)
+            out.append([text[i[new]], i[new], np.diff(np.append(new, len(i))), at[new], h[new]])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about so many bytes of text."""
+    part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) // most
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cut, cut[1:], strict=False):
+        if z > a:
+            yield batch.slice(a, z - a)
 
 
 # ---- which k-grams are frequent
@@ -105,8 +137,8 @@ def _counted(u: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                unit = u.read(text.as_py())[0]
+            for part in chunks(batch):
+                unit = Chunk(part.column("text"), u).unit
                 if len(unit) >= u.k:
                     np.add.at(n, (kgrams(unit, u.k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(n > 1)
@@ -135,21 +167,21 @@ def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("th", F.xxhash64("text")).withColumn("doc", F.xxhash64("id", "th"))
 
 
+def _of(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """A number for an anchor in a text; a chance clash only makes a window go further than it need."""
+    return _mix(anchor.view(np.uint64) + text.astype(np.uint64) * _MUL)
+
+
 def _sightings(u: Units, shared: Broadcast):
     """(anchor, doc, n) for each row's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(shared.value)
         for batch in batches:
-            hs, ids, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                seen = [h[np.append(True, at[1:] != at[:-1])] for _, at, h in segments(u.read(text.as_py())[0], u, common)]
-                if seen:
-                    h, n = np.unique(np.concatenate(seen), return_counts=True)
-                    hs.append(h)
-                    ids.append(np.full(len(h), doc))
-                    ns.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns)], names=["anchor", "doc", "n"])
+            for part in chunks(batch):
+                text, _, _, _, anchor = Chunk(part.column("text"), u).pieces(u, common)
+                _, at, n = np.unique(_of(text, anchor), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), part.column("doc").take(pa.array(text[at])), pa.array(n)], names=["anchor", "doc", "n"])
 
     return run
 
@@ -167,20 +199,14 @@ def candidates(rows: DataFrame, u: Units, shared: Broadcast) -> DataFrame:
     return rows.join(of, "doc").select("id", "th", "text", "anchors")
 
 
-def found_pieces(batch: pa.RecordBatch, u: Units, common: np.ndarray) -> Iterator[tuple]:
-    """(anchor, id, th, start, n, at, body): windows start, start + 1 ... of a row around one place of one of its repeated anchors; at: bytes of the body before it."""
-    for i, th, text, known in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("anchors"), strict=True):
-        unit, body, offsets = u.read(text.as_py())
-        known = np.sort(known.values.to_numpy())
-        for first, at, h in segments(unit, u, common):
-            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            ends = np.append(new[1:], len(at))
-            anchor = h[new]
-            hit = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
-            for a, z, place, key in zip((first + new[hit]).tolist(), (first + ends[hit]).tolist(), at[new[hit]].tolist(), anchor[hit].tolist(), strict=True):
-                stop = z + u.window - 1
-                part = body[a:stop] if offsets is None else body[offsets[a] : offsets[stop] - 1]
-                yield key, i, th, a, z - a, place - a, part
+def found(part: pa.RecordBatch, u: Units, common: np.ndarray) -> tuple[Chunk, list[np.ndarray]]:
+    """A chunk of candidates, and those of its pieces (see Chunk.pieces) whose anchor is repeated."""
+    chunk = Chunk(part.column("text"), u)
+    pieces = chunk.pieces(u, common)
+    lists = part.column("anchors")
+    known = _of(np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy())
+    hit = np.isin(_of(pieces[0], pieces[4]), known)
+    return chunk, [x[hit] for x in pieces]
 
 
 def joined(i: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightcask.llm.common import staged
-from brightcask.llm.repeats import RANGES, Units, candidates, found_pieces, frequent, joined, slim, without
+from brightcask.llm.repeats import RANGES, Units, candidates, chunks, found, frequent, joined, slim, without
 
-RUN_ROWS = 30_000
+RUN_ROWS = 20_000
 RUN_SCHEMA = "head binary, run long, seq int, shared int, rest binary, before binary, id long, th long, start int, n int"
 
 
@@ -59,7 +59,7 @@ def _runs(u: Units, shared, run_rows: int):
     The first k bytes of a suffix are its head. Of the pieces that are equal in a run, one goes on with n = 0: nothing is to be learnt of it.
     """
 
-    def batch(out: list[tuple]) -> pa.RecordBatch:
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         cols = zip(*out, strict=True) if out else [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
@@ -82,18 +82,23 @@ def _runs(u: Units, shared, run_rows: int):
             for x in same:
                 out.append((None, None, None, None, None, None, *x))
             same = []
-        found = [x for x in out if x[0] is None]
-        cols = joined(*(np.array([x[c] for x in found], np.int64) for c in range(6, 10)))
-        yield batch([x for x in out if x[0] is not None])
-        yield batch([(None, None, None, None, None, None, *x) for x in zip(*(c.tolist() for c in cols), strict=True)])
+        twice = [x for x in out if x[0] is None]
+        cols = joined(*(np.array([x[c] for x in twice], np.int64) for c in range(6, 10)))
+        yield rows_of([x for x in out if x[0] is not None])
+        yield rows_of([(None, None, None, None, None, None, *x) for x in zip(*(c.tolist() for c in cols), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, part, number, rows = np.unpackbits(shared.value), TaskContext.get().partitionId(), 0, []
-        for b in batches:
-            rows += ((body[at:], body[:at], i, th, start, n) for _, i, th, start, n, at, body in found_pieces(b, u, common))
-            if len(rows) >= run_rows:
-                yield from code(rows, (part << 24) + number)
-                number, rows = number + 1, []
+        for batch in batches:
+            for some in chunks(batch):
+                chunk, (text, first, n, place, _) = found(some, u, common)
+                i, th = (some.column(c).to_numpy()[text].tolist() for c in ("id", "th"))
+                data, start = chunk.data, (first - chunk.start[text]).tolist()
+                for a, m, p, *x in zip(first.tolist(), n.tolist(), place.tolist(), i, th, start, strict=True):
+                    rows.append((data[p : a + m + u.window - 1], data[a:p], *x, m))
+                if len(rows) >= run_rows:
+                    yield from code(rows, (part << 24) + number)
+                    number, rows = number + 1, []
         yield from code(rows, (part << 24) + number)
 
     return run
@@ -222,11 +227,11 @@ def _combine(window: int, k: int):
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, u: Units, run_rows: int, bucket_rows: int) -> DataFrame:
     rows = slim(docs, id_col, text_col)
     shared = frequent(rows, u)
-    found = staged(candidates(rows, u, shared).mapInArrow(_runs(u, shared, run_rows), RUN_SCHEMA), "runs")
-    sent = found.filter("head is not null")
+    runs = staged(candidates(rows, u, shared).mapInArrow(_runs(u, shared, run_rows), RUN_SCHEMA), "runs")
+    sent = runs.filter("head is not null")
     buckets = max(1, sent.count() // bucket_rows)
     ranges = sent.repartitionByRange(buckets, "head").sortWithinPartitions("run", "seq")
-    return found.filter("head is null").select("id", "th", "start", "n").unionByName(ranges.mapInArrow(_combine(u.window, u.k), RANGES))
+    return runs.filter("head is null").select("id", "th", "start", "n").unionByName(ranges.mapInArrow(_combine(u.window, u.k), RANGES))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 400, run_rows: int = RUN_ROWS, bucket_rows: int = 10_000) -> DataFrame:
