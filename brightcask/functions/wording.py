@@ -28,9 +28,10 @@ def stems(text: str) -> set[str]:
 
 
 def likeness(name: str, question: str) -> int:
-    """How many words of a field's name a question has, as they are or by another name."""
-    asked, named = stems(question), stems(name)
-    return 2 * len(asked & named) + sum(any(w[:5] in asked for w in group) and any(w[:5] in named for w in group) for group in SAME)
+    """How many words of a question are in a field's name, as they are or by another name."""
+    asked, named, whole = stems(question), stems(name), name.lower()
+    here = sum(w in named or len(w) > 3 and w in whole for w in asked)
+    return 2 * here + sum(any(w[:5] in asked for w in group) and any(w[:5] in named for w in group) for group in SAME)
 
 
 def meant(names: Sequence[str], question: str) -> str | None:

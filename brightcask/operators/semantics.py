@@ -9,7 +9,7 @@ from brightcask.functions.intent import intent
 from brightcask.functions.nearest import nearest_values
 from brightcask.operators.registry import Tables, query
 from brightcask.functions.wording import several_statistics
-from brightcask.plans import admission, answers, profile
+from brightcask.plans import admission, answers, guesses, profile
 from brightcask.plans.questions import Measure, Question, ask, grained
 from brightcask.sources import catalog
 from brightcask.sources.catalog import ForeignKey
@@ -219,3 +219,18 @@ def values_at_the_edge(t: Tables) -> DataFrame:
     """Decimals and times as callers outside of Spark take them."""
     rows = t.orders.filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_totalprice").cast("decimal(18, 2)").alias("rounded"))
     return admission.edge(rows)
+
+
+@query("select o_orderpriority, round(sum(o_totalprice), 2) as o_totalprice from orders group by 1 order by 2 desc, 1 limit 10")
+def guess_of_a_ranking(t: Tables) -> DataFrame:
+    return guesses.guess(t.spark, catalog.folder("sales", t.folder, SALES), "Top priorities of orders by total price")
+
+
+@query("select date_trunc('month', o_orderdate)::timestamp as month, count(1) as n_rows from orders group by 1")
+def guess_of_a_trend(t: Tables) -> DataFrame:
+    return guesses.guess(t.spark, catalog.folder("sales", t.folder, SALES), "How many orders, by month of the order date")
+
+
+@query("select count(*) filter (o_orderdate < now()) as before_now, current_database() is not null as in_a_database, current_user is not null as as_a_user from orders")
+def system_functions(t: Tables) -> DataFrame:
+    return t.orders.agg(F.count_if(F.col("o_orderdate").cast("timestamp") < F.current_timestamp()).alias("before_now")).select("before_now", F.current_database().isNotNull().alias("in_a_database"), F.current_user().isNotNull().alias("as_a_user"))

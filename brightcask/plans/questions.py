@@ -46,15 +46,20 @@ def grained(q: Question, intent: str) -> Question:
 
 
 def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Question) -> DataFrame:
+    """The answer as a DataFrame. Rows are summed up by the keys that lead out of the measures' table before they are joined to its parents."""
     start = q.measures[0].table
     if any(m.table != start for m in q.measures):
         raise AmbiguousQuestion("measures of one question come from one table")
     needed = [t for t, _ in (*q.by, *q.filters)] + ([q.grain[0]] if q.grain else [])
-    df, joined = _filtered(spark, source, start, q), {start}
-    for goal in dict.fromkeys(needed):
-        way = join_path(list(keys), start, goal)
-        if way is None:
-            raise AmbiguousQuestion(f"no keys lead from {start} to {goal}")
+    ways = {goal: join_path(list(keys), start, goal) for goal in dict.fromkeys(needed)}
+    if unreached := [goal for goal, way in ways.items() if way is None]:
+        raise AmbiguousQuestion(f"no keys lead from {start} to {unreached[0]}")
+    df, joined, early = _filtered(spark, source, start, q), {start}, not q.raw and any(ways.values())
+    if early:
+        own = [c for t, c in q.by if t == start] + ([q.grain[1]] if q.grain and q.grain[0] == start else [])
+        out = [way[0].column for way in ways.values() if way]
+        df = df.groupBy(*dict.fromkeys([*own, *out])).agg(*[c for i, m in enumerate(q.measures) for c in _parts(m, i)])
+    for way in ways.values():
         for fk in way:
             if fk.parent not in joined:
                 df = df.join(_filtered(spark, source, fk.parent, q), F.col(fk.column) == F.col(fk.parent_column))
@@ -65,7 +70,7 @@ def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Ques
     groups: list[Column] = [F.col(c) for _, c in q.by]
     if q.grain:
         groups.append(F.date_trunc(q.grain[2], q.grain[1]).cast("timestamp_ntz").alias(q.grain[2]))
-    out = df.groupBy(*groups).agg(*[_aggregate(m, q.digits) for m in q.measures])
+    out = df.groupBy(*groups).agg(*[_aggregate(m, q.digits, _whole(m, i) if early else AGGREGATIONS[m.how](F.expr(m.expression))) for i, m in enumerate(q.measures)])
     first = q.measures[0].name
     if q.having:
         out = out.filter(q.having)
@@ -74,6 +79,20 @@ def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Ques
     return out.orderBy(F.desc(first), *[c for _, c in q.by]).limit(q.top) if q.top else out
 
 
+def _parts(m: Measure, i: int) -> list[Column]:
+    """What a group's rows come to before the joins, from which _whole makes the measure."""
+    value = F.expr(m.expression)
+    if m.how == "avg":
+        return [F.sum(value).alias(f"_m{i}"), F.count(value).alias(f"_n{i}")]
+    return [AGGREGATIONS[m.how](value).alias(f"_m{i}")]
+
+
+def _whole(m: Measure, i: int) -> Column:
+    if m.how == "avg":
+        return F.try_divide(F.sum(f"_m{i}"), F.sum(f"_n{i}"))
+    return AGGREGATIONS["sum" if m.how == "count" else m.how](f"_m{i}")
+
+
 def _filtered(spark: SparkSession, source: Source, table: str, q: Question) -> DataFrame:
     df = source.table(spark, table)
     for t, condition in q.filters:
@@ -82,6 +101,5 @@ def _filtered(spark: SparkSession, source: Source, table: str, q: Question) -> D
     return df
 
 
-def _aggregate(m: Measure, digits: int) -> Column:
-    value = AGGREGATIONS[m.how](F.expr(m.expression))
+def _aggregate(m: Measure, digits: int, value: Column) -> Column:
     return (value if m.how == "count" else F.round(value, digits)).alias(m.name)

@@ -161,3 +161,38 @@ def test_spec_types_axes(spark):
     by_year = charts.spec(df.select("year", "x"), charts.Candidate("line", "year", "x"))
     assert by_year["encoding"]["x"]["type"] == "ordinal" and by_year["encoding"]["y"]["type"] == "quantitative" and not by_year["truncated"]
     assert charts.spec(df.select("name", "x"), charts.Candidate("bar", "name", "x"))["encoding"]["x"] == {"field": "name", "type": "nominal", "turned": True}
+
+
+def test_answers_correct_what_is_mistyped(spark):
+    from brightcask.operators.semantics import KEYS, SALES
+    from brightcask.plans import answers
+
+    source = catalog.folder("sales", "/root/testdata/sf0.001", SALES)
+    count = lambda *filters: Question([Measure("n", "customer")], by=[("customer", "c_mktsegment")], filters=list(filters))
+    good = answers.answer(spark, source, KEYS, count())
+    assert good.status == "success" and good.n_rows == 5 and not good.corrections and {f.role for f in good.fields} == {"dimension", "measure"}
+    column = answers.answer(spark, source, KEYS, Question([Measure("n", "customer")], by=[("customer", "c_mktsegmnet")]))
+    assert column.corrections == [("c_mktsegmnet", "c_mktsegment")] and column.rows and column.n_rows == 5
+    value = answers.answer(spark, source, KEYS, count(("customer", "c_mktsegment = 'BUIDLING'")))
+    assert value.corrections == [("BUIDLING", "BUILDING")] and [r["c_mktsegment"] for r in value.rows] == ["BUILDING"]
+    none = answers.answer(spark, source, KEYS, count(("customer", "c_mktsegment = 'nothing of the kind'")))
+    assert (none.status, none.error.code, none.rows) == ("failed", "empty_result", [])
+    bad = answers.answer(spark, source, KEYS, Question([Measure("n", "customer")], by=[("customer", "quite_another_thing")]))
+    assert (bad.status, bad.error.code) == ("failed", "sql_execution_failed")
+    lost = answers.answer(spark, source, [], Question([Measure("n", "orders")], by=[("part", "p_brand")]))
+    assert lost.error.code == "ambiguous_query"
+    long = answers.answer(spark, source, KEYS, Question([Measure("n", "orders")], by=[("orders", "o_custkey")]), inline=3)
+    assert long.status == "partial_success" and len(long.rows) == 3 < long.n_rows and long.warnings[0].code == "row_limit_exceeded"
+
+
+def test_completed_metadata(spark):
+    from brightcask.plans import answers
+    from brightcask.plans.profile import FieldProfile
+
+    df = spark.createDataFrame([(2024, 1.0, "x")], "order_year int, total double, k string").selectExpr("*", "interval 1 day as gap")
+    given = [FieldProfile("order_year", "number", "measure", None, ("sum",), "sum"), FieldProfile("total", "number", "measure", None, ("none",), "none"), FieldProfile("gone", "number", "measure", None, (), "sum")]
+    fields, warnings = answers.completed(df, given)
+    by = {f.name: f for f in fields}
+    assert by["order_year"].role == "time" and by["order_year"].default == "none" and by["total"].default == "none" and by["k"].role == "dimension"
+    assert [w.code for w in warnings] == ["metadata_incomplete"] * 2
+    assert answers.missing_columns(df, ["K", "nope"]) == ["nope"]
