@@ -327,3 +327,42 @@ def test_dense_cluster_is_one_component(spark):
     for most in (20_000, 8):
         tied = components(simhash.links(df, 4, most)).collect()
         assert len({r.v for r in tied if (r.u ^ base).bit_count() <= 3 or (r.v ^ base).bit_count() <= 3}) == 1
+
+
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    rows = [(7, f"{prose(k, 20)} scumbag") for k in range(40)] + [(8, prose(1000 + k, 20)) for k in range(60)] + [(100 + k, prose(2000 + k, 20)) for k in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (9, 0), (None, 1), (100, None)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, *_: seen.update(p=len(p), u=len(u)))
+    toxicity.train(corpus, labels, max_positive=10, max_unlabelled=30)
+    assert 0 < seen["p"] <= 10 and 0 < seen["u"] <= 30
+
+
+def test_packing_ties_and_many_short_documents(spark):
+    docs = spark.createDataFrame([(k % 50, "a b c" if k % 3 else None) for k in range(3000)], "doc_id long, text string").repartition(2).cache()
+    got, again = (sorted(map(tuple, packing.pack(docs, lane_rows=500, capacity=64).collect())) for _ in range(2))
+    assert got == again and len(got) == 3000
+    fills = Counter()
+    for _, _, _, n, _, sequence, _ in got:
+        fills[sequence] += n
+    tokens = sum(fills.values())
+    assert max(fills.values()) <= 64 and len(fills) <= -(-tokens // 64) + 6  # a bin for each lane
+
+
+def test_improve_leaves_no_step():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        lengths = rng.integers(1, 40, int(rng.integers(5, 60)))
+        bins = packing.improve(lengths, packing.best_fit(lengths, 64), 64)
+        fill = [int(lengths[b].sum()) for b in bins]
+        if len(bins) <= -(-int(lengths.sum()) // 64):
+            continue
+        for a, low in enumerate(bins):
+            for b, other in enumerate(bins):
+                if a == b or fill[b] < fill[a] or fill[b] == 64:
+                    continue
+                room = 64 - fill[b]
+                assert all(lengths[i] > room for i in low)
+                outs = [int(lengths[i]) for i in low] + [int(lengths[i] + lengths[j]) for k, i in enumerate(low) for j in low[k + 1 :]]
+                assert not any(0 < o - int(lengths[j]) <= room for o in outs for j in other)
