@@ -135,7 +135,7 @@ def _own(u: Units, shared, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, held, many = np.unpackbits(shared.value), [], 0
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, u):
                 chunk, (text, first, n, _, anchor) = found(part, u, common)
                 i, th = (part.column(c).to_numpy() for c in ("id", "th"))
                 held.append([anchor, i[text], th[text], first - chunk.start[text], _bodies(chunk.words, first, n + u.window - 1)])

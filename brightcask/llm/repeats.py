@@ -119,8 +119,9 @@ class Chunk:
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def chunks(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in parts of about so many bytes of text."""
+def chunks(batch: pa.RecordBatch, u: Units) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about a million units: arrays over them stay small."""
+    most = (4 if u.words else 1) << 20
     part = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) // most
     cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, z in zip(cut, cut[1:], strict=False):
@@ -137,7 +138,7 @@ def _counted(u: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, u):
                 unit = Chunk(part.column("text"), u).unit
                 if len(unit) >= u.k:
                     np.add.at(n, (kgrams(unit, u.k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
@@ -178,7 +179,7 @@ def _sightings(u: Units, shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(shared.value)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, u):
                 text, _, _, _, anchor = Chunk(part.column("text"), u).pieces(u, common)
                 _, at, n = np.unique(_of(text, anchor), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), part.column("doc").take(pa.array(text[at])), pa.array(n)], names=["anchor", "doc", "n"])

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from brightcask.llm.common import staged
 from brightcask.llm.repeats import RANGES, Units, candidates, chunks, found, frequent, joined, slim, without
 
-RUN_ROWS = 20_000
+RUN_ROWS = 10_000
 RUN_SCHEMA = "head binary, run long, seq int, shared int, rest binary, before binary, id long, th long, start int, n int"
 
 
@@ -90,7 +90,7 @@ def _runs(u: Units, shared, run_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, part, number, rows = np.unpackbits(shared.value), TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            for some in chunks(batch):
+            for some in chunks(batch, u):
                 chunk, (text, first, n, place, _) = found(some, u, common)
                 i, th = (some.column(c).to_numpy()[text].tolist() for c in ("id", "th"))
                 data, start = chunk.data, (first - chunk.start[text]).tolist()
