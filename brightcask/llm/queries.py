@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brightcask.llm.common import documents
 from brightcask.llm.exact_dedup import exact_duplicates
+from brightcask.llm.fill_in_middle import digests as fill_in_middle
+from brightcask.llm.lexical_search import rank
 from brightcask.llm.line_quality import judge
 from brightcask.llm.mixing import mix
 from brightcask.llm.ngram_lm import score as score_texts
@@ -16,6 +18,7 @@ from brightcask.llm.pii import find as find_personal
 from brightcask.llm.relative_lz import remove_repeats
 from brightcask.llm.simhash import near_groups
 from brightcask.llm.suffix_sort import remove_repeats as remove_repeated_bytes
+from brightcask.llm.token_counts import token_counts
 from brightcask.llm.toxicity import judge as judge_toxicity
 
 
@@ -59,6 +62,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_dedup": op2_exact_dedup,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_sort": op9_suffix_sort,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +128,26 @@ ORACLES: dict[str, str] = {
         kept as (select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from each_word anti join gone using (doc_id, i) group by doc_id)
         select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
         from w left join kept using (doc_id)""",
+    "op12_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || doc_id::varchar) as sha from documents),
+        u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units, [('0x' || sha[8 * i + 1:8 * i + 8])::bigint for i in [0, 1, 2, 3]] as h from d),
+        c as (select *, len(units) as n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as z,
+                     case when text = '' or regexp_matches(text, '<[PSM]>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from u),
+        p as (select *, coalesce(array_to_string(units[1:a], ''), '') as pre, coalesce(array_to_string(units[a + 1:z], ''), '') as mid, coalesce(array_to_string(units[z + 1:], ''), '') as suf from c)
+        select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+               sha256(text) as restored_sha256
+        from p""",
+    "op13_lexical_search": r"""
+        with words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null),
+        d as (select doc_id, w, len(w) as n from words where len(w) > 0),
+        total as (select count(*) as docs, sum(n)::bigint as words from d),
+        each as (select doc_id, n, unnest(w) as term from d),
+        tf as (select doc_id, n, term, count(*) as tf from each group by all),
+        items as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from tf, total group by term, docs),
+        hits as (select item_id, doc_id, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))) as gain
+                 from items join tf using (term) join weights using (term), total),
+        scores as (select item_id, doc_id, sum(gain)::bigint as score from hits group by all having sum(gain) > 0)
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score from scores qualify rank <= 20""",
 }
