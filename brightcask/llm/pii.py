@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 PATTERN_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*PATTERN_KINDS, "secret")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A run from which no match starts is passed over as a whole: no later start in it could match either. Group 1 tells matches from runs.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+IP = re.compile(r"[0-9]++(\.[0-9]+\.[0-9]+\.[0-9]+)?")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Labels of the field: nothing, and the first and further words of each kind.
@@ -54,8 +56,8 @@ def pattern_spans(text: str) -> dict[str, list[Span]]:
     """Spans by kind. A match that fails its check is dropped and not tried again."""
     out: dict[str, list[Span]] = {k: [] for k in PATTERN_KINDS}
     if "@" in text:
-        out["email"] = [("email", *m.span()) for m in EMAIL.finditer(text)]
-    out["ip"] = [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
+        out["email"] = [("email", *m.span()) for m in EMAIL.finditer(text) if m[1]]
+    out["ip"] = [("ip", *m.span()) for m in IP.finditer(text) if m[1] and all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -361,12 +363,21 @@ def _passes(found: str, kind: str) -> bool:
 
 def _add(base: list[Span], found: list[Span]) -> list[Span]:
     """All spans, by kind as listed and then start; found ones only where they overlap no other."""
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []  # of what is taken, in order and apart
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = list(base)
     for kind, a, b in found:
-        if not any(x < b and a < y for x, y in taken):
+        at = bisect_right(ends, a)
+        if at == len(starts) or starts[at] >= b:
             out.append((kind, a, b))
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
