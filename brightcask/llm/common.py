@@ -99,3 +99,20 @@ def word_count(text: Column) -> Column:
 def whole_row(df: DataFrame, **more: Column) -> DataFrame:
     """The row as one struct column beside computed columns, so that no name of the caller's can clash."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def text_mark(text: Column) -> Column:
+    """A text's 64-bit hash, null being the empty text. With the id it names a row: ids may be null or come again with another text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_order(id_col: str, mark: str) -> Column:
+    """(none, id, mark): by id, rows without one last."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark"))
+
+
+def only_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that named has (id, mark) of, one for each."""
+    rows = whole_row(docs, key=docs[id_col], text=text_mark(docs[text_col]))
+    met = rows.join(named, F.col("key").eqNullSafe(F.col("id")) & (F.col("text") == F.col("mark")))
+    return met.dropDuplicates(["key", "text"]).select("row.*")

@@ -13,7 +13,7 @@ A shard holds about shard_rows documents of all sources, so a source with a thir
 number grows with the corpus.
 
 Null text and empty text have size 0 and are never taken; a null source is a source of its own. Null ids take part. Rows that repeat
-are rows of their own; only those with one id and one size share a shard. A very long text is many blocks of its shard. An empty table
+are rows of their own; only those with one id and one text share a shard. A very long text is many blocks of its shard. An empty table
 gives an empty mix. Ties in quotients go to the smaller source or shard. Other columns, whatever their names, are not read.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import dropped, staged, whole_row, word_count
+from brightcask.llm.common import dropped, staged, text_mark, whole_row, word_count
 
 #: A prime above any number of blocks of a shard, hence coprime to it: b -> b * STEP + start is a permutation of the blocks.
 STEP = 2147483647
@@ -68,11 +68,20 @@ def apportion(parties: DataFrame, group: Sequence[str], party: str, votes: str,
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, block_words: int = 128, shard_rows: int = 2000, wing_shards: int = 1024, seed: int = 7) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken (words of it in the mix, repeats counted)."""
-    source = F.col(source_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), source.alias("source"), F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("key"), word_count(F.col(text_col)).alias("size"))
+    laid = laid_out(docs, id_col, text_col, source_col, weights, max_repeats, block_words, shard_rows, wing_shards, seed)
+    return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+
+
+def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeats: int, block_words: int, shard_rows: int, wing_shards: int, seed: int) -> DataFrame:
+    """(id, mark, key, size, source_size, target, taken) of each row of docs; mark stands for its text, key for its source."""
+    slim = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size"))
     slim = staged(slim, "sizes")
     shards = max(1, -(-slim.count() // shard_rows))
-    slim = slim.withColumn("draw", F.xxhash64(F.col("id"), F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("draw", "size"), F.lit(shards)))
+    slim = slim.withColumn("draw", F.xxhash64("id", "mark", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("draw", "size"), F.lit(shards)))
     held = staged(slim.groupBy("key", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("held")).withColumn("wing", F.expr(f"shard div {wing_shards}")), "shards")
     wings = held.groupBy("key", "wing").agg(F.first("source").alias("source"), F.sum("held").alias("wing_held"))
     sources = source_targets(wings.groupBy("key").agg(F.first("source").alias("source"), F.sum("wing_held").alias("source_size")), weights, max_repeats)
@@ -90,9 +99,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quota = staged(quota.select("key", "shard", "source_size", "target", "full", "passes", "drawn", F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest("full", F.lit(1))).alias("turn")), "quotas")
     dropped(sources, held)
 
-    end = F.sum("size").over(Window.partitionBy("key", "shard").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("size").over(Window.partitionBy("key", "shard").orderBy("draw", "id", "mark").rowsBetween(Window.unboundedPreceding, 0))
     laid = slim.withColumn("end", end).join(quota, ["key", "shard"])
-    return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(block_words).alias("taken"))
+    return laid.select("id", "mark", "key", "size", "source_size", "target", _taken(block_words).alias("taken"))
 
 
 def _taken(block_words: int) -> Column:
@@ -103,10 +112,16 @@ def _taken(block_words: int) -> Column:
                              least(end, (b + 1) * {block_words}) - greatest(end - size, b * {block_words}), 0L)))""")
 
 
-def mixed_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: whole documents, the odd part of one taken with that chance, by a seeded draw."""
-    share = mixed.groupBy(F.col(id_col).alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
-    rows = whole_row(docs, key=docs[id_col])
-    times = F.floor(F.col("_share") + F.pmod(F.xxhash64(F.col("key"), F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)).cast("int")
-    met = rows.join(share, F.col("key").eqNullSafe(F.col("_id")))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, block_words: int = 128, shard_rows: int = 2000, wing_shards: int = 1024, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: whole documents, the odd part of one taken with that chance, by a seeded draw.
+
+    A row is known by its id, its text's hash and its source, so null and repeated ids have shares and draws of their own. Rows that are
+    alike in all three share their words; each draws by its place in the input as well.
+    """
+    laid = laid_out(docs, id_col, text_col, source_col, weights, max_repeats, block_words, shard_rows, wing_shards, seed)
+    share = laid.groupBy("id", "mark", F.col("key").alias("of")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"), F.count(F.lit(1)).alias("_alike"))
+    rows = whole_row(docs, key=docs[id_col], text=text_mark(docs[text_col]), source=source_key(docs[source_col]), place=F.monotonically_increasing_id())
+    draw = F.xxhash64("key", "text", "source", F.when(F.col("_alike") > 1, F.col("place")).otherwise(0), F.lit(seed + 1))
+    times = F.floor(F.col("_share") + F.pmod(draw, F.lit(1 << 20)) / (1 << 20)).cast("int")
+    met = rows.join(share, F.col("key").eqNullSafe(F.col("id")) & (F.col("text") == F.col("mark")) & (F.col("source") == F.col("of")))
     return met.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

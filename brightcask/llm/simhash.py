@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightcask.llm.common import staged, whole_row
+from brightcask.llm.common import only_rows, row_order, staged, text_mark
 from brightcask.llm.components import components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprint(text: str | None, words_in: int = 4) -> int:
 def _fingerprints(words_in: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([fingerprint(t.as_py(), words_in) for t in b.column("text")], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array([fingerprint(t.as_py(), words_in) for t in b.column("text")], pa.int64())], names=["id", "mark", "fp"])
 
     return run
 
@@ -158,22 +158,24 @@ def links(fps: DataFrame, radius: int = 4, max_bucket: int = 20_000) -> DataFram
     return near.unionByName(mids.join(least, "mid").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 4, words_in: int = 4, max_bucket: int = 20_000) -> DataFrame:
-    """One row per row of docs: id_col, fingerprint, component_id."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = staged(slim.mapInArrow(_fingerprints(words_in), f"id {docs.schema[id_col].dataType.simpleString()}, fp long"), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+def grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, words_in: int, max_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, of): rows (id, fp) of docs, and of (fp, first): the row (none, id, mark) that comes first in the fingerprint's component."""
+    slim = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    rows = staged(slim.mapInArrow(_fingerprints(words_in), f"id {docs.schema[id_col].dataType.simpleString()}, mark long, fp long"), "fingerprints")
+    nodes = staged(rows.groupBy("fp").agg(F.min(row_order("id", "mark")).alias("first")), "nodes")
     tied = components(links(nodes.select("fp"), radius, max_bucket))
     placed = staged(nodes.join(tied.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root")), "placed")
-    ids = staged(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    of = staged(placed.join(ids, "root").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with the smallest id of their component, one row for each; a component without ids keeps nothing else."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    first = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("key")).distinct()
-    rows = whole_row(docs, key=docs[id_col])
-    met = rows.join(first.withColumnRenamed("key", "first"), F.col("key").eqNullSafe(F.col("first")))
-    return met.dropDuplicates(["key"]).select("row.*")
+    ids = staged(placed.groupBy("root").agg(F.min("first").alias("first")), "component-firsts")
+    return rows, staged(placed.drop("first").join(ids, "root").select("fp", "first"), "components")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 4, words_in: int = 4, max_bucket: int = 20_000) -> DataFrame:
+    """One row per row of docs: id_col, fingerprint, component_id."""
+    rows, of = grouped(docs, id_col, text_col, radius, words_in, max_bucket)
+    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 4, words_in: int = 4, max_bucket: int = 20_000) -> DataFrame:
+    """Of each component of docs the row that comes first: by id, null last, then by the text's hash. Rows of other components stay, whatever ids they share."""
+    _, of = grouped(docs, id_col, text_col, radius, words_in, max_bucket)
+    return only_rows(docs, of.select("first.id", "first.mark").distinct(), id_col, text_col)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brightcask.llm import exact_dedup, line_quality, mixing, ngram_lm, packing, pii, relative_lz, simhash, suffix_sort, toxicity
+from brightcask.llm import exact_dedup, line_quality, mixing, ngram_lm, packing, pii, relative_lz, shingle_join, simhash, suffix_sort, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["digest", "kept", "score", "fp", "size", "tag", "row", "key", "id"]
@@ -74,8 +74,32 @@ def test_mix(docs, none, rows):
     assert {round(r.target, 6) for r in got} == {round(x, 6) for x in target.values()}
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs, block_words=8, shard_rows=5).collect()), key=str)
     assert mixing.mix(none).count() == 0
-    assert mixing.mixed_rows(docs, mixing.mix(docs)).columns == docs.columns
-    assert mixing.mixed_rows(none, mixing.mix(none)).count() == 0
+    assert mixing.mixed_rows(docs).columns == docs.columns
+    assert mixing.mixed_rows(none).count() == 0
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_mixed_rows_of_null_and_repeated_ids(spark, alike):
+    """Rows without ids, or with one id, are drawn each for itself, also where their texts are all the same."""
+    rng = np.random.default_rng(8)
+    text = lambda i: "w " * 100 if alike else " ".join(["w"] * int(rng.integers(50, 150))) + f" t{i}"
+    rows = [(None if i % 2 else 7, text(i), "en", "abc"[i % 3], 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    held, taken = dict.fromkeys("abc", 0), dict.fromkeys("abc", 0)
+    for r in rows:
+        held[r[3]] += len(words(r[1]))
+    for r in mixing.mixed_rows(docs, shard_rows=100).collect():
+        taken[r.source] += len(words(r.text))
+    target = {s: sum(held.values()) * (k + 1) / 6 for k, s in enumerate("abc")}
+    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] for s in "abc"), (taken, target)
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingle_join.keep_one])
+def test_rows_of_unlinked_texts_stay_whatever_their_ids(spark, keep):
+    own = [(None, prose(60 + i, 80)) for i in range(3)] + [(7, prose(70, 80)), (7, prose(71, 80)), (8, prose(72, 80))]
+    copies = [(None, own[0][1]), (7, own[3][1]), (9, own[5][1])]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in own + copies], SCHEMA).repartition(3)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in keep(docs).collect()))) == sorted(map(str, own))
 
 
 def test_apportionment_is_sainte_lague(spark):
@@ -366,3 +390,40 @@ def test_improve_leaves_no_step():
                 assert all(lengths[i] > room for i in low)
                 outs = [int(lengths[i]) for i in low] + [int(lengths[i] + lengths[j]) for k, i in enumerate(low) for j in low[k + 1 :]]
                 assert not any(0 < o - int(lengths[j]) <= room for o in outs for j in other)
+
+
+def test_patterns_of_personal_data_are_those_of_the_plain_expressions():
+    import random
+    import re
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    draw = random.Random(3)
+    for _ in range(30_000):
+        text = "".join(draw.choice("ab1.2@-_% é") for _ in range(draw.randint(0, 24)))
+        got = pii.pattern_spans(text)
+        assert [s[1:] for s in got["email"]] == [m.span() for m in email.finditer(text)]
+        assert [s[1:] for s in got["ip"]] == [m.span() for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + " b@c", "1." * 500_000, "a@b." * 250_000, "+1" + " " * 1_000_000])
+def test_patterns_of_personal_data_in_a_megabyte(text):
+    import time
+
+    began = time.perf_counter()
+    pii.pattern_spans(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_found_spans_are_added_where_they_overlap_none():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(2000):
+        spans = lambda n: [(draw.choice(pii.KINDS), a := draw.randrange(60), a + draw.randint(1, 8)) for _ in range(n)]
+        base, found = spans(draw.randint(0, 6)), spans(draw.randint(0, 8))
+        want, taken = list(base), [s[1:] for s in base]
+        for k, a, b in found:
+            if all(b <= x or y <= a for x, y in taken):
+                want.append((k, a, b))
+                taken.append((a, b))
+        assert pii._add(base, found) == sorted(want, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))

@@ -141,6 +141,7 @@ def edges(spark):
     texts = [None, "", " \n ", "one", "One  two", "one two", prose(1, 200), prose(1, 200), prose(1, 199) + " zz", prose(2, 30000), "y" * 20000, prose(3, 60), prose(4, 60) + "\n" + prose(5, 80)]
     rows = [(i, t, "en", ("a", "b", None)[i % 3], 0) for i, t in enumerate(texts)]
     rows += [(6, texts[6], "en", "a", 0), (6, texts[6], "en", "a", 0), (None, texts[11], None, None, None), (None, None, None, None, None), (None, prose(9, 50), None, "c", None)]
+    rows += [(i, prose(20 + k, 60), None, "c", None) for k, i in enumerate((None, None, None, 7, 7, 8))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for c in ("score", "row", "key", "times", "digest", "maybe", "first", "id", "component_id", "_share", "tag"):
         df = df.selectExpr("*", f"'x' as {c}")
