@@ -151,6 +151,33 @@ def guard_cases(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(s, admission.check(s).ok) for s, _ in STATEMENTS], "statement string, admitted boolean")
 
 
+@query("""with d as (select source, text from documents) select 'in a literal' as form, source, count(*) as n, count(*) as n_admitted from d group by source
+          union all select 'in a raw literal', source, count(*), count(*) from d where not contains(text, '''') group by source
+          union all select 'after a comment', source, count(*), 0 from d where not contains(text, chr(10)) group by source
+          union all select 'behind a quoted name', source, count(*), 0 from d group by source""")
+def admitted_statements(t: Tables) -> DataFrame:
+    """Statements around the documents' texts: whatever a text says inside of a literal, it is admitted; what follows a comment's or a literal's end is not."""
+    text, call = F.coalesce("text", F.lit("")), "reflect('java.lang.System', 'getProperty', 'user.home')"
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    forms = [
+        ("in a literal", F.lit(True), F.concat(F.lit("select '"), escaped, F.lit("' as x from documents"))),
+        ("in a raw literal", ~F.contains(text, F.lit("'")), F.concat(F.lit("select r'"), text, F.lit("\\' as x from documents"))),
+        ("after a comment", ~F.contains(text, F.lit("\n")), F.concat(F.lit("select 1 --"), text, F.lit(f"\r, {call}"))),
+        ("behind a quoted name", F.lit(True), F.concat(F.lit("select '"), escaped, F.lit(f"', x as `it's`, {call}, x as `it's too`"))),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("form"), on.alias("on"), s.alias("statement")) for n, on, s in forms])).alias("f")
+    asked = t.documents.select("source", each).filter("f.on").select("source", "f.form", admission.admitted(F.col("f.statement")).alias("ok"))
+    return asked.groupBy("form", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_admitted"))
+
+
+@query("select event_type, count(*) as n_events, round(sum(value), 4) as total from events where value is not null and event_type = 'view' group by 1")
+def ask_with_a_mistyped_column_among_words_of_sql(t: Tables) -> DataFrame:
+    """event_typ is no column; is, not and null are no columns either, and stay, as do the names in a literal."""
+    source = catalog.folder("events", t.folder, ["events"])
+    q = Question([Measure("n_events", "events"), Measure("total", "events", "value", "sum")], by=[("events", "event_typ")], filters=[("events", "value is not null and event_typ = 'view' and 'event_typ' <> ''")], digits=4)
+    return ask(t.spark, source, [], answers.with_columns(t.spark, source, q)[0])
+
+
 @query("select date_trunc('hour', ts)::timestamp as window_start, event_type, count(*) as n_events, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_event_counts(t: Tables) -> DataFrame:
     """The streaming query on the batch table."""

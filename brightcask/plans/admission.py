@@ -1,7 +1,7 @@
 """Running a SELECT for someone else: one statement that only reads, a row cap that tells when it cuts, and a time limit.
 
-The text is checked by its words outside of literals, quoted names and comments; Spark then parses and resolves it. The cap is put on the
-DataFrame, never into the text, so a LIMIT inside the query neither counts for it nor hides it.
+The text is checked by its words outside of literals, quoted names and comments; Spark then parses and resolves it, and what
+its functions come down to is checked in the plan. The cap is put on the DataFrame, never into the text, so a LIMIT inside the query neither counts for it nor hides it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ FORBIDDEN = {"insert", "update", "delete", "merge", "drop", "create", "alter", "
 REACHING = {"reflect", "java_method", "try_reflect"}
 #: A format before a quoted name makes Spark read a path.
 PATH = re.compile(r"\b(?:parquet|orc|csv|json|text|avro|xml|binaryfile|delta|jdbc|sqlite|duckdb)`?\s*\.\s*`", re.I)
-SKIPPED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+#: What Spark reads as one piece: raw literals, which know no escapes, literals, quoted names, and comments, which any kind of line end ends.
+PIECES = re.compile(r"""(?P<text>(?<!\w)[rR](?:'[^']*'|"[^"]*")|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")|(?P<name>`(?:[^`]|``)*`)|(?P<note>--[^\r\n]*|/\*.*?\*/)""", re.S)
+#: The expression that calls methods of the JVM, whatever the function is called that comes down to it.
+CALLS = "CallMethodViaReflection"
 FILES = "spark.sql.runSQLOnFiles"
 
 
@@ -39,6 +42,11 @@ class Answer:
     error: str | None = None
 
 
+def admitted(statements: Column) -> Column:
+    """check() of a column of statements."""
+    return F.pandas_udf(lambda some: some.map(lambda s: check(s or "").ok), "boolean")(statements)
+
+
 def extract(text: str) -> str:
     """The statement in a text that may have words around it."""
     if fenced := re.search(r"```(?:sql)?\s*(.*?)```", text, re.S | re.I):
@@ -50,7 +58,7 @@ def extract(text: str) -> str:
 
 def check(sql: str) -> Verdict:
     """Whether sql is one reading statement, as far as its words tell. A name in backquotes may be a function or a file too."""
-    kept = SKIPPED.sub(lambda m: " " if m[0][:2] in ("--", "/*") else " ? ", sql)
+    kept = PIECES.sub(lambda m: m[0] if m["name"] else " " if m["note"] else " ? ", sql)
     bare = re.sub(r"`(?:[^`]|``)*`", " ? ", kept).strip().rstrip(";").strip()
     words = re.findall(r"[^\W\d]\w*", bare.lower())
     if not words:
@@ -70,6 +78,12 @@ def check(sql: str) -> Verdict:
     return Verdict(True, sql)
 
 
+def reaches_out(df: DataFrame) -> bool:
+    """Whether the plan that Spark has made of a statement calls into the JVM, subqueries included: what functions come down to, not their names."""
+    plan = getattr(df, "_jdf", None)
+    return plan is not None and f"expressions.{CALLS}" in re.sub(r'"value":"(?:[^"\\]|\\.)*"', "", plan.queryExecution().analyzed().toJSON())
+
+
 def unique_names(df: DataFrame) -> DataFrame:
     """df with _2, _3 after names that come again."""
     seen: dict[str, int] = {}
@@ -145,6 +159,8 @@ def run(spark: SparkSession, text: str, cap: int = 1000, seconds: float = 8.0) -
         spark.conf.set(FILES, "false")
     try:
         df = spark.sql(verdict.sql)
+        if reaches_out(df):
+            return Answer([], False, "sql_validation_failed: forbidden: a method of the JVM")
     except PySparkException as e:
         return Answer([], False, _told(e))
     return capped(df, cap, seconds)

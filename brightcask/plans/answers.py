@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightcask.functions.nearest import nearest_values
+from brightcask.plans.admission import PIECES
 from brightcask.plans.profile import FieldProfile, field_profile, profiles
 from brightcask.plans.questions import AmbiguousQuestion, Question, ask
 from brightcask.sources.catalog import ForeignKey, Source, columns
@@ -118,23 +119,44 @@ def _nearest(spark: SparkSession, words: Sequence[str], df: DataFrame, column: s
     return {r.word: r.meant for r in nearest_values(asked, df, column).collect() if r.word != r.meant}
 
 
+def unresolved(df: DataFrame, text: str) -> str | None:
+    """The name in an expression over df that Spark finds no column for; None if there is none. Nothing is run."""
+    try:
+        df.select(F.expr(text))
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return (e.getMessageParameters() or {}).get("objectName", "").split(".")[-1].strip("`") or None
+    return None
+
+
+def renamed(text: str, name: str, better: str) -> str:
+    """text with a column's name replaced where it stands as a name: not in literals, not before a parenthesis, not as a part of others."""
+    bare = rf"(?<![\w`]){re.escape(name)}(?![\w`]|\s*\()"
+    return re.sub(rf"{PIECES.pattern}|(?P<found>{bare})", lambda m: f"`{better}`" if m["found"] or m["name"] == f"`{name}`" else m[0], text, flags=re.S)
+
+
 def with_columns(spark: SparkSession, source: Source, q: Question) -> tuple[Question, list[tuple[str, str]]]:
-    """q with the names that no column has replaced by the nearest column's, table by table."""
+    """q with the names for which Spark finds no column replaced by the nearest column of their table. Names of functions, words of SQL and
+    what stands in literals stay as they are; a name with no nearest column stays, too."""
     known = columns(spark, source)
-    named: dict[str, set[str]] = {}
-    texts = [*((m.table, m.expression) for m in q.measures), *q.by, *q.filters, *([(q.grain[0], q.grain[1])] if q.grain else [])]
-    for table, text in texts:
-        named.setdefault(table, set()).update(re.findall(r"[^\W\d]\w*", re.sub(r"'(?:[^']|'')*'", " ", text)))
     done: list[tuple[str, str]] = []
-    better: dict[tuple[str, str], str] = {}
-    for table, names in named.items():
-        own = known.filter(F.col("table_name") == table)
-        have = {r.column_name.lower() for r in own.select("column_name").collect()}  # one row for each column of a table
-        for word, meant in _nearest(spark, [n for n in names if n.lower() not in have], own, "column_name").items():
-            better[table, word] = meant
-            done.append((word, meant))
-    fix = lambda table, text: re.sub(r"[^\W\d]\w*", lambda m: better.get((table, m[0]), m[0]), text)
-    return replace(q, measures=[replace(m, expression=fix(m.table, m.expression)) for m in q.measures], by=[(t, fix(t, c)) for t, c in q.by], filters=[(t, fix(t, c)) for t, c in q.filters], grain=(q.grain[0], fix(q.grain[0], q.grain[1]), q.grain[2]) if q.grain else None), done
+
+    def fixed(table: str, text: str) -> str:
+        df, seen = source.table(spark, table), set()
+        while (name := unresolved(df, text)) and name not in seen:
+            seen.add(name)
+            if better := _nearest(spark, [name], known.filter(F.col("table_name") == table), "column_name").get(name):
+                text = renamed(text, name, better)
+                done.append((name, better))
+        return text
+
+    def column(table: str, name: str) -> str:
+        return fixed(table, f"`{name}`").strip("`")
+
+    return replace(
+        q, measures=[replace(m, expression=fixed(m.table, m.expression)) for m in q.measures], by=[(t, column(t, c)) for t, c in q.by], filters=[(t, fixed(t, c)) for t, c in q.filters],
+        grain=(q.grain[0], column(q.grain[0], q.grain[1]), q.grain[2]) if q.grain else None,
+    ), done
 
 
 def with_values(spark: SparkSession, source: Source, q: Question) -> tuple[Question, list[tuple[str, str]]]:

@@ -196,3 +196,32 @@ def test_completed_metadata(spark):
     assert by["order_year"].role == "time" and by["order_year"].default == "none" and by["total"].default == "none" and by["k"].role == "dimension"
     assert [w.code for w in warnings] == ["metadata_incomplete"] * 2
     assert answers.missing_columns(df, ["K", "nope"]) == ["nope"]
+
+
+HOME = "reflect('java.lang.System', 'getProperty', 'user.home')"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"select 1 --\r, {HOME} as h", f"select r'\\', {HOME} as h, 'x'", f'select R"\\", {HOME} as h, "x"', f"select id as `a'b`, {HOME} as h, id as `c'd` from range(1)", f"select (select max({HOME}) from range(1)) as h", f"select `try_reflect`{HOME[7:]}"],
+)
+def test_statements_that_call_the_jvm_are_refused(spark, text):
+    got = admission.run(spark, text)
+    assert got.rows == [] and got.error.startswith("sql_validation_failed")
+
+
+def test_a_call_is_seen_in_the_plan(spark):
+    assert admission.reaches_out(spark.sql(f"select * from range(3) where id in (select length({HOME}) from range(2))"))
+    assert not admission.reaches_out(spark.sql("select 'expressions.CallMethodViaReflection' as s, max(id) from range(3)"))
+
+
+@pytest.mark.parametrize("text", ["select r'a\\' as x", "select 'it''s' as x -- reflect(\n", "select 1 as `drop` /* delete */", "select 'a\\'b; drop' as x"])
+def test_what_only_looks_like_more_is_admitted(spark, text):
+    assert admission.run(spark, text).error is None
+
+
+def test_only_names_without_a_column_are_corrected():
+    from brightcask.plans.answers import renamed
+
+    text = "is_t is null and t > 1 and `t` < 2 and max(t) = t(1) and x = 't' and r't' = 't.t'"
+    assert renamed(text, "t", "tt") == "is_t is null and `tt` > 1 and `tt` < 2 and max(`tt`) = t(1) and x = 't' and r't' = 't.t'"
