@@ -35,7 +35,7 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]]
 
 
 def _load() -> None:
-    from brightcask.operators import aggregates, charts, joins, rows, scalars, semantics, windows  # noqa: F401
+    from brightcask.operators import aggregates, charts, joins, keys, rows, scalars, semantics, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

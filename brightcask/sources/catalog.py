@@ -1,19 +1,23 @@
-"""Data sources as namespaces of lazily read tables, with keys found by Spark jobs over the data."""
+"""Data sources as namespaces of lazily read tables, with keys found by their names and as inclusions of their values."""
 
 from __future__ import annotations
 
+import functools
+import re
 from collections import deque
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightcask.sources import readers
 
 HIDDEN = ("stg_", "int_")  # Fixed values: prefixes and ends of helper tables that are not shown.
 HIDDEN_ENDS = ("_tmp",)
 HIDDEN_PARTS = ("bridge_smoke",)
+BITS = 62  # columns to a number that says which columns hold a value
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Source:
     name: str
     tables: Mapping[str, tuple[str, Mapping[str, str]]]
     keys: list[ForeignKey] = field(default_factory=list)
+    primary: Mapping[str, list[str]] = field(default_factory=dict)  # the primary keys that are declared, by table
 
     def visible(self) -> list[str]:
         return [t for t in self.tables if not t.startswith(HIDDEN) and not t.endswith(HIDDEN_ENDS) and not any(p in t for p in HIDDEN_PARTS)]
@@ -45,10 +50,20 @@ def folder(name: str, path: str, tables: list[str]) -> Source:
     return Source(name, {t: ("parquet", {"path": f"{path}/{t}.parquet"}) for t in tables})
 
 
-def columns(spark: SparkSession, source: Source) -> DataFrame:
-    """(table_name, column_name, position, data_type) of the visible tables; only schemas are read."""
-    rows = [(t, f.name, i, f.dataType.simpleString()) for t in source.visible() for i, f in enumerate(source.table(spark, t).schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string")
+def database(name: str, path: str) -> Source:
+    """A source of all tables of a SQLite or DuckDB file, with the keys that it declares."""
+    kind = "duckdb" if path.endswith(".duckdb") else "sqlite"
+    primary, foreign = (readers.duckdb_keys if kind == "duckdb" else readers.sqlite_keys)(path)
+    return Source(name, {t: (kind, {"path": path, "table": t}) for t in primary}, [ForeignKey(*k) for k in foreign], primary)
+
+
+def columns(spark: SparkSession, source: Source, marks: bool = False) -> DataFrame:
+    """(table_name, column_name, position, data_type) of the visible tables; only schemas are read. With marks also primary_key, and in
+    refers_to the table and column that a key leads to, as far as the source declares them."""
+    to = {(k.table, k.column): f"{k.parent}.{k.parent_column}" for k in source.keys}
+    rows = [(t, f.name, i, f.dataType.simpleString(), f.name in source.primary.get(t, ()), to.get((t, f.name))) for t in source.visible() for i, f in enumerate(source.table(spark, t).schema.fields)]
+    out = spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string, primary_key boolean, refers_to string")
+    return out if marks else out.drop("primary_key", "refers_to")
 
 
 def samples(spark: SparkSession, source: Source, table: str, rows: int = 3) -> DataFrame:
@@ -56,44 +71,139 @@ def samples(spark: SparkSession, source: Source, table: str, rows: int = 3) -> D
     return source.table(spark, table).limit(rows)
 
 
-def stem(column: str) -> str:
-    """A key column's name without its table's prefix: o_custkey and c_custkey are both custkey."""
-    return column.split("_", 1)[-1].lower()
+#: Words before and after the thing that a key column names, and what tables are called besides.
+REFERS, KEY_ENDS, TABLE_ENDS = r"(?:link_to_|ref_|fk_)", r"(?:id|key|uuid)", ("_data", "_table")
+
+
+def own_prefix(names: list[str]) -> str:
+    """What all columns of a table begin with, up to a first underscore: o_ for o_orderkey, o_custkey ..."""
+    first = {n.split("_", 1)[0] for n in names}
+    return f"{first.pop()}_" if len(first) == 1 and len(names) > 1 and all("_" in n for n in names) else ""
+
+
+def thing(column: str, prefix: str = "") -> str | None:
+    """What a key column is the key of, by its name: cust for o_custkey, member for link_to_member, nothing for id; None if it names no key."""
+    name = column.lower().removeprefix(prefix)
+    found = re.fullmatch(rf"{REFERS}?(?P<a>.*?)_?{KEY_ENDS}|{REFERS}(?P<b>.+)", name)
+    return None if not found else found["b"] if found["a"] is None else found["a"]
 
 
-def candidates(spark: SparkSession, source: Source) -> list[ForeignKey]:
-    """Pairs of columns whose names say that one refers to the other: equal stems that end in key or id."""
-    named: dict[str, list[tuple[str, str]]] = {}
+def names_table(word: str | None, table: str) -> int:
+    """How surely a word means a table: 3 its name or its singular, 2 one with an end that says nothing, 1 its beginning, 0 not at all."""
+    table = table.lower()
+    if not word:
+        return 0
+    for sure, name in ((3, table), *((2, table.removesuffix(e)) for e in TABLE_ENDS if table.endswith(e))):
+        if word in (name, name.removesuffix("s"), name.removesuffix("es"), re.sub("ies$", "y", name)) or name in (f"{word}s", word.removesuffix("s")):
+            return sure
+    return int(len(word) > 2 and table.startswith(word))
+
+
+def evidence(child: tuple[str, str | None], parent: tuple[str, str | None], known: int) -> int:
+    """How much the names of two columns (table, thing) say for the first to refer to the second; known: how surely the thing means any table."""
+    (t, what), (p, own) = child, parent
+    mine, its = names_table(what, t), names_table(what, p)
+    if not what or t == p or mine >= max(its, 1) or own is None:
+        return 0  # no thing, or the key of its own table
+    if its and its == known and (own == "" or own == what or names_table(own, p)):
+        return 10 + its  # names the parent, and is met by the parent's own key
+    return 5 if own == what and not known else 0  # both name one thing that has no table
+
+
+def candidates(spark: SparkSession, source: Source) -> list[tuple[ForeignKey, int]]:
+    """Pairs of columns whose names say that one refers to the other, and how surely. Only schemas are read."""
+    keys = []
     for t in source.visible():
-        for c in source.table(spark, t).columns:
-            if stem(c).endswith(("key", "id")):
-                named.setdefault(stem(c), []).append((t, c))
-    return [ForeignKey(t, c, p, d) for same in named.values() for t, c in same for p, d in same if t != p]
+        names = source.table(spark, t).columns
+        keys += [(t, c, what) for c in names if (what := thing(c, own_prefix(names))) is not None]
+    known = {w: max((names_table(w, t) for t in source.visible()), default=0) for _, _, w in keys}
+    return [(ForeignKey(t, c, p, d), sure) for t, c, w in keys for p, d, o in keys if (sure := evidence((t, w), (p, o), known[w]))]
+
 
+def families(df: DataFrame) -> dict[str, str]:
+    """Columns that can be keys, as whole numbers or as text; values of the two are never the same."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return {n: "number" if isinstance(k, T.IntegralType) else "text" for n, k in kinds.items() if isinstance(k, (T.IntegralType, T.StringType))}
 
-def verified(spark: SparkSession, source: Source, within: list[ForeignKey] | None = None) -> DataFrame:
-    """(table_name, column_name, parent, parent_column, orphans) of candidates whose parent column has no value twice and holds all of
-    the child's. Each parent column is tested once; children go in as their distinct values, so a key shared by many rows counts once.
+
+def _sketched(spark: SparkSession, source: Source, columns: list[tuple[str, str]]) -> DataFrame:
+    """(at, family, n, sketch) of each column, at being its place in columns: a pass over each table, as partial aggregates of bounded size."""
+    out = []
+    for t in dict.fromkeys(t for t, _ in columns):
+        df = source.table(spark, t)
+        family = families(df)
+        mine = [(i, c) for i, (of, c) in enumerate(columns) if of == t]
+        value = lambda c, family=family: F.col(f"`{c}`").cast("bigint" if family[c] == "number" else "string")
+        row = lambda i, c, family=family, value=value: F.struct(F.lit(i).alias("at"), F.lit(family[c]).alias("family"), F.count(value(c)).alias("n"), F.theta_sketch_agg(value(c)).alias("sketch"))
+        out.append(df.agg(F.array(*[row(i, c) for i, c in mine]).alias("all")).select(F.inline("all")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def possible(spark: SparkSession, source: Source, columns: list[tuple[str, str]]) -> set[tuple[int, int]]:
+    """Pairs (a, b) of places in columns such that b's values may be unique and hold all of a's, as far as sketches tell.
+
+    Two sketches hold all values of their columns whose hashes lie below a bound. A value below both bounds that only a's has is proof
+    that b lacks it, so no pair is lost; as many rows reach the driver as there are pairs of columns left.
     """
-    pairs = candidates(spark, source) if within is None else within
-    schema = "table_name string, column_name string, parent string, parent_column string, orphans long"
-    parents = {(fk.parent, fk.parent_column) for fk in pairs}
-    unique = {p for p in parents if unique_column(source.table(spark, p[0]), p[1])}
-    out = None
-    for fk in pairs:
-        if (fk.parent, fk.parent_column) not in unique:
-            continue
-        child = source.table(spark, fk.table).select(F.col(fk.column).alias("k")).filter("k is not null").distinct()
-        found = child.join(source.table(spark, fk.parent).select(F.col(fk.parent_column).alias("k")), "k", "left_anti").agg(F.count("*").alias("orphans")).filter("orphans = 0")
-        row = found.select(*[F.lit(v).alias(n) for n, v in (("table_name", fk.table), ("column_name", fk.column), ("parent", fk.parent), ("parent_column", fk.parent_column))], "orphans")
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def unique_column(df: DataFrame, column: str) -> bool:
-    """Whether no value comes twice, by one aggregation; a column without values is none that others could refer to."""
-    most = df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n")).filter("k is not null").agg(F.max("n")).first()[0]
-    return most == 1
+    s = _sketched(spark, source, columns).filter("n > 0")
+    b = s.select(F.col("at").alias("b"), "family", F.col("n").alias("m"), F.col("sketch").alias("other")).filter(F.theta_sketch_estimate("other") >= 0.8 * F.col("m"))
+    held = F.theta_sketch_estimate(F.theta_difference("sketch", "other")) == 0
+    return {(r.at, r.b) for r in s.join(b, "family").filter("at <> b").filter(held).select("at", "b").collect()}
+
+
+def inclusions(spark: SparkSession, source: Source, columns: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(table_name, column_name, parent, parent_column, n_distinct, coverage): every column whose values all are among those of a column in which
+    no value comes twice; coverage is the share of the parent's values that it has. Nulls do not count; a column without values has no rows.
+
+    Sketches discard most pairs. What is left is one job over all tables: values are counted by column, then each value tells which columns
+    hold it, as bits, and the bits that all values of a column have in common are the columns that include it.
+    """
+    schema = "table_name string, column_name string, parent string, parent_column string, n_distinct long, coverage double"
+    if columns is None:
+        columns = [(t, c) for t in source.visible() for c in families(source.table(spark, t))]
+    columns = [(t, c) for t, c in columns if c in families(source.table(spark, t))]
+    pairs = possible(spark, source, columns) if len(columns) > 1 else set()
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    left = sorted({i for pair in pairs for i in pair})
+    place = {i: k for k, i in enumerate(left)}
+    values = []
+    for t in dict.fromkeys(columns[i][0] for i in left):
+        df = source.table(spark, t)
+        family = families(df)
+        mine = [(place[i], c) for i, (of, c) in enumerate(columns) if of == t and i in place]
+        cell = lambda k, c, family=family: F.struct(F.lit(k).alias("at"), F.lit(family[c]).alias("family"), F.when(F.length(f"`{c}`") > 64, F.sha2(F.col(f"`{c}`").cast("binary"), 256)).otherwise(F.col(f"`{c}`")).cast("string").alias("value")) if family[c] == "text" else F.struct(F.lit(k).alias("at"), F.lit(family[c]).alias("family"), F.col(f"`{c}`").cast("string").alias("value"))
+        values.append(df.select(F.explode(F.array(*[cell(k, c) for k, c in mine])).alias("v")).select("v.*").filter("value is not null"))
+    counted = functools.reduce(DataFrame.unionByName, values).groupBy("family", "value", "at").agg(F.count(F.lit(1)).alias("n"))
+    words = range(-(-len(left) // BITS))
+    bit = lambda w: F.bit_or(F.when(F.expr(f"at div {BITS} = {w}"), F.expr(f"shiftleft(1L, cast(at % {BITS} as int))")).otherwise(0)).alias(f"in{w}")
+    held = counted.groupBy("family", "value").agg(F.collect_list(F.struct("at", "n")).alias("of"), *[bit(w) for w in words])  # no more than columns
+    each = held.select(F.inline("of"), *[f"in{w}" for w in words]).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("most"), *[F.bit_and(f"in{w}").alias(f"in{w}") for w in words])
+    named = spark.createDataFrame([(k, *columns[i]) for i, k in place.items()], "at int, t string, c string")  # a row per column
+    each = each.join(F.broadcast(named), "at")
+    has = lambda b: functools.reduce(Column.__or__, [(F.floor(b / BITS) == w) & (F.col(f"in{w}").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (b % BITS).cast("int"))) != 0) for w in words])
+    child = each.select("at", "t", "c", "n_distinct", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(left) - 1)), has)).alias("b")).filter("at <> b")
+    parent = each.filter("most = 1").select(F.col("at").alias("b"), F.col("t").alias("parent"), F.col("c").alias("parent_column"), F.col("n_distinct").alias("m"))
+    return child.join(parent, "b").select(F.col("t").alias("table_name"), F.col("c").alias("column_name"), "parent", "parent_column", "n_distinct", (F.col("n_distinct") / F.col("m")).alias("coverage"))
+
+
+def foreign_keys(spark: SparkSession, source: Source) -> DataFrame:
+    """(table_name, column_name, parent, parent_column, n_distinct, coverage): for each column at most one parent, found by names and data.
+
+    A column refers to another if names say so and the data bear it out (inclusions). Of several parents the one that the name means most
+    surely is taken, then the one of whose values more are used, then the first by name.
+    """
+    pairs = candidates(spark, source)
+    found = inclusions(spark, source, list(dict.fromkeys(k for fk, _ in pairs for k in ((fk.table, fk.column), (fk.parent, fk.parent_column)))))
+    sure = spark.createDataFrame([(fk.table, fk.column, fk.parent, fk.parent_column, s) for fk, s in pairs], "table_name string, column_name string, parent string, parent_column string, sure int")  # a row per pair of names
+    best = F.row_number().over(Window.partitionBy("table_name", "column_name").orderBy(F.desc("sure"), F.desc("coverage"), "parent", "parent_column"))
+    met = found.join(F.broadcast(sure), ["table_name", "column_name", "parent", "parent_column"]).withColumn("best", best).filter("best = 1")
+    return met.select("table_name", "column_name", "parent", "parent_column", "n_distinct", "coverage")
+
+
+def keys_of(spark: SparkSession, source: Source) -> list[ForeignKey]:
+    """The source's keys: as declared, else as found in its data."""
+    return source.keys or [ForeignKey(r.table_name, r.column_name, r.parent, r.parent_column) for r in foreign_keys(spark, source).collect()]
 
 
 def join_path(keys: list[ForeignKey], start: str, goal: str) -> list[ForeignKey] | None:

@@ -82,6 +82,15 @@ def sqlite_keys(path: str) -> tuple[dict[str, list[str]], list[tuple[str, str, s
     return primary, foreign
 
 
+def duckdb_keys(path: str) -> tuple[dict[str, list[str]], list[tuple[str, str, str, str]]]:
+    """Declared keys of a DuckDB file, as sqlite_keys gives them. A key of several columns is one entry for each."""
+    with _duck(path) as db:
+        primary = {t: [] for (t,) in db.execute("select table_name from duckdb_tables() where not internal order by table_oid").fetchall()}
+        declared = db.execute("select table_name, constraint_type, constraint_column_names, referenced_table, referenced_column_names from duckdb_constraints() where constraint_type in ('PRIMARY KEY', 'FOREIGN KEY') order by table_oid, constraint_index").fetchall()
+    primary |= {t: list(cs) for t, kind, cs, _, _ in declared if kind == "PRIMARY KEY"}
+    return primary, [(t, c, parent, pc) for t, kind, cs, parent, pcs in declared if kind == "FOREIGN KEY" for c, pc in zip(cs, pcs, strict=True)]
+
+
 class DuckReader(SqliteReader):
     def partitions(self) -> list[RowRange]:
         with _duck(self.path) as db:
@@ -119,7 +128,9 @@ def _duck(path: str):
 
 
 def read(spark: SparkSession, kind: str, **options: str) -> DataFrame:
-    """A DataFrame of one table. kind: a file format, sqlite, duckdb or jdbc (whose driver must be on the class path)."""
+    """A DataFrame of one table. kind: a file format, sqlite, duckdb, jdbc (whose driver must be on the class path), or view."""
+    if kind == "view":
+        return spark.table(options["name"])
     if kind in ("sqlite", "duckdb"):
         spark.dataSource.register(SqliteSource if kind == "sqlite" else DuckSource)
     elif kind not in (*FILES, "jdbc"):

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightcask.sources.catalog import ForeignKey, Source, columns
+from brightcask.sources.catalog import ForeignKey, Source, columns, database
 
+DATABASES = (".sqlite", ".sqlite3", ".db", ".duckdb")
 SCHEMA = "source_id string, engine string, tables long, columns long, state string"
 
 
@@ -46,6 +47,9 @@ class Registry:
             tables = sorted(f.removesuffix(".parquet") for f in os.listdir(folder) if f.endswith(".parquet"))
             if tables:
                 return Source(name, {t: ("parquet", {"path": os.path.join(folder, f"{t}.parquet")}) for t in tables})
+        for end in DATABASES if self.root else ():
+            if os.path.isfile(path := os.path.join(self.root, f"{name}{end}")):
+                return database(name, path)
         raise UnknownSource(name)
 
     def states(self, spark: SparkSession) -> DataFrame:

@@ -107,3 +107,71 @@ def test_sqlite_keys(spark, tmp_path):
         db.execute("create table parent (id integer primary key, name text)")
         db.execute("create table child (a int, b int, parent_id int references parent(id), primary key (a, b))")
     assert readers.sqlite_keys(f"{tmp_path}/k.db") == ({"parent": ["id"], "child": ["a", "b"]}, [("child", "parent_id", "parent", "id")])
+
+
+def shop(spark, tables):
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).createOrReplaceTempView(f"shop_{name}")
+    return catalog.Source("shop", {n: ("view", {"name": f"shop_{n}"}) for n in tables})
+
+
+def found(spark, source):
+    return {(r.table_name, r.column_name, r.parent, r.parent_column) for r in catalog.foreign_keys(spark, source).collect()}
+
+
+def test_small_numbers_are_no_keys_by_themselves(spark):
+    tables = {
+        "store": ("store_id int, label string", [(i, f"s{i}") for i in range(1, 4)]),
+        "customer": ("customer_id long, full_name string", [(i, f"c{i}") for i in range(1, 9)]),
+        "sale": ("sale_id int, store_id int, customer_id int, amount double", [(i, i % 3 + 1, i % 7 + 1, 1.0) for i in range(1, 30)] + [(30, None, None, None)]),
+    }
+    assert found(spark, shop(spark, tables)) == {("sale", "store_id", "store", "store_id"), ("sale", "customer_id", "customer", "customer_id")}
+
+
+def test_keys_by_a_tables_name_and_dangling_ones(spark):
+    tables = {
+        "event": ("id string, name string", [("e1", "a"), ("e2", "b")]),
+        "categories": ("id int, title string", [(1, "x"), (2, "y")]),
+        "member_data": ("member_id string, zip string", [("m1", "1"), ("m2", None)]),
+        "attendance": ("link_to_event string, link_to_member string, category_id int, lost_id int", [("e1", "m1", 1, 5), ("e2", "m9", 2, 6)]),
+        "twice": ("event_id string", [("e1",), ("e1",)]),
+        "nothing": ("event_id string, category_id int", []),
+    }
+    assert found(spark, shop(spark, tables)) == {("attendance", "link_to_event", "event", "id"), ("attendance", "category_id", "categories", "id"), ("twice", "event_id", "event", "id")}
+
+
+def test_inclusions_of_many_columns(spark):
+    """More columns than one number has bits for, of two types, with nulls and long texts."""
+    schema = "k int, " + ", ".join(f"a{i} int" for i in range(70)) + ", t string"
+    rows = [(k, *[(k * (i + 1)) % 40 if (k + i) % 11 else None for i in range(70)], "x" * 100 + str(k)) for k in range(40)]
+    tables = {"big": (schema, rows), "texts": ("t string, n long", [("x" * 100 + str(k), None) for k in range(3)])}
+    source = shop(spark, tables)
+    cols = {("big", n): [r[i] for r in rows] for i, n in enumerate(["k", *[f"a{i}" for i in range(70)], "t"])} | {("texts", "t"): [r[0] for r in tables["texts"][1]], ("texts", "n"): [None]}
+    held = {c: {v for v in vs if v is not None} for c, vs in cols.items()}
+    unique = {c for c, vs in cols.items() if len(held[c]) == sum(v is not None for v in vs) > 0}
+    want = {(*a, *b, len(held[a]), len(held[a]) / len(held[b])) for a in held for b in unique if a != b and held[a] and held[a] <= held[b]}
+    assert set(map(tuple, catalog.inclusions(spark, source).collect())) == want and len(want) > 60
+
+
+def test_names_of_keys():
+    assert [catalog.thing(c) for c in ("id", "store_id", "storeid", "link_to_member", "uuid", "name", "fk_store")] == ["", "store", "store", "member", "", None, "store"]
+    assert catalog.thing("o_custkey", catalog.own_prefix(["o_orderkey", "o_custkey"])) == "cust" and catalog.own_prefix(["a_b", "c"]) == ""
+    assert [catalog.names_table("category", t) for t in ("categories", "category_data", "category_map", "cat")] == [3, 2, 1, 0]
+
+
+@pytest.mark.parametrize("kind", ["sqlite", "duckdb"])
+def test_a_database_file_is_a_source_with_its_declared_keys(spark, tmp_path, kind):
+    from brightcask.sources.registry import Registry
+
+    path = f"{tmp_path}/shop.{kind}"
+    script = ["create table store (id integer primary key, label text)", "create table sale (id integer primary key, store_id integer references store(id), stg_x integer)", "insert into store values (1, 'a'), (2, 'b')", "insert into sale values (1, 1, 0), (2, 1, 0)"]
+    with (sqlite3 if kind == "sqlite" else duckdb).connect(path) as db:
+        for s in script:
+            db.execute(s)
+    source = Registry({}, str(tmp_path)).get("shop")
+    assert source.keys == [ForeignKey("sale", "store_id", "store", "id")] and source.primary == {"store": ["id"], "sale": ["id"]}
+    assert catalog.keys_of(spark, source) == source.keys and source.table(spark, "sale").count() == 2
+    undeclared = catalog.Source("shop", source.tables)
+    assert catalog.keys_of(spark, undeclared) == source.keys
+    marked = {(r.table_name, r.column_name): (r.primary_key, r.refers_to) for r in catalog.columns(spark, source, marks=True).collect()}
+    assert marked["store", "id"] == (True, None) and marked["sale", "store_id"] == (False, "store.id")
