@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightcask.operators.registry import Tables, query
+from brightcask.plans.intervals import micros, overlapping
 
 
 @query("select c_custkey, c_name, n_name from customer join nation on c_nationkey = n_nationkey")
@@ -109,3 +110,26 @@ def join_as_of(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(w)
     return t.events.filter("event_type in ('view', 'purchase')").select("event_id", "user_id", "event_type", seen.alias("last_view")).filter("event_type = 'purchase'").drop("event_type")
+
+
+HALF_HOUR = 30 * 60 * 1_000_000
+
+
+@query("""select p.event_id as purchase_id, count(*) as n_near, count(*) filter (e.user_id = p.user_id) as n_own, round(sum(e.value), 4) as total from events p join events e
+          on e.ts between p.ts - interval 30 minutes and p.ts + interval 30 minutes where p.event_type = 'purchase' group by 1""")
+def join_interval(t: Tables) -> DataFrame:
+    """What happened within half an hour of each purchase, anywhere: two large tables with no key in common, joined by bins of time."""
+    at = micros(F.col("ts"))
+    met = overlapping(t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), t.events.select("user_id", "value", "ts"), (at - HALF_HOUR, at + HALF_HOUR), (at, at), 2 * HALF_HOUR)
+    return met.groupBy(F.col("l.event_id").alias("purchase_id")).agg(F.count(F.lit(1)).alias("n_near"), F.count_if(F.col("l.user_id") == F.col("r.user_id")).alias("n_own"), F.round(F.sum("r.value"), 4).alias("total"))
+
+
+@query("""with o as (select o_orderkey, o_custkey, o_orderdate as opened, max(l_shipdate) as closed from orders join lineitem on l_orderkey = o_orderkey group by all)
+          select a.o_custkey as custkey, count(*) as n_pairs, count(distinct a.o_orderkey) as n_orders from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and a.opened <= b.closed and b.opened <= a.closed and a.opened <= a.closed and b.opened <= b.closed group by 1""")
+def join_overlapping_periods(t: Tables) -> DataFrame:
+    """Orders of one customer that were open at once, from the order to the last shipment: intervals of any length, with a key."""
+    shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("closed"))
+    o = t.orders.join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", micros(F.col("o_orderdate")).alias("opened"), micros(F.col("closed")).alias("closed"))
+    span = (F.col("opened"), F.col("closed"))
+    met = overlapping(o, o, span, span, 7 * 24 * 2 * HALF_HOUR, [("o_custkey", "o_custkey")]).filter("l.o_orderkey < r.o_orderkey")
+    return met.groupBy(F.col("l.o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("l.o_orderkey").alias("n_orders"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightcask.operators.registry import Tables, query
+from brightcask.plans.ordering import numbered, ranked
 
 
 @query("""select p_partkey, p_brand, row_number() over w as row_no, rank() over w2 as rank_no, dense_rank() over w2 as dense_no, ntile(4) over w as quarter, round(percent_rank() over w2, 6) as pct
@@ -53,3 +54,24 @@ def window_ratio_to_total(t: Tables) -> DataFrame:
     """The totals are an aggregate, met by every row: no segment's rows are gathered in one task."""
     totals = t.customer.groupBy("c_mktsegment").agg(F.sum("c_acctbal").alias("total"))
     return t.customer.join(totals, "c_mktsegment").select("c_custkey", "c_mktsegment", F.round(F.col("c_acctbal") / F.col("total"), 8).alias("share"))
+
+
+@query("""select o_orderkey, row_number() over w as row_no, ntile(7) over w as tile, round(sum(o_totalprice) over (w rows unbounded preceding), 2) as running from orders window w as (order by o_totalprice desc, o_orderkey)""")
+def window_numbers_of_all(t: Tables) -> DataFrame:
+    """Row numbers, tiles and running sums in one order of the whole table."""
+    out = numbered(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", False), ("o_orderkey", True)], "row_no", {"tile": 7}, {"running": "o_totalprice"})
+    return out.select("o_orderkey", "row_no", "tile", F.round("running", 2).alias("running"))
+
+
+@query("""select l_orderkey, l_linenumber, rank() over w as rank_no, dense_rank() over w as dense_no, round(percent_rank() over w, 9) as pct, round(cume_dist() over w, 9) as cume from lineitem window w as (order by l_quantity, l_shipdate desc)""")
+def window_ranks_of_all(t: Tables) -> DataFrame:
+    """Ranks over the whole table, shared by rows with equal keys."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    out = ranked(lines, [("l_quantity", True), ("l_shipdate", False)], "rank_no", "dense_no", "pct", "cume")
+    return out.select("l_orderkey", "l_linenumber", "rank_no", "dense_no", F.round("pct", 9).alias("pct"), F.round("cume", 9).alias("cume"))
+
+
+@query("select event_id, ntile(100) over w as percentile, round(sum(value) over (w rows unbounded preceding), 4) as running from events window w as (order by ts, event_id)")
+def window_running_sum_of_all(t: Tables) -> DataFrame:
+    """The running total of every event since the first, and the hundredth of the stream that it lies in."""
+    return numbered(t.events.select("event_id", "ts", "value"), [("ts", True), ("event_id", True)], "n", {"percentile": 100}, {"running": "value"}).select("event_id", "percentile", F.round("running", 4).alias("running"))
