@@ -108,3 +108,23 @@ def group_of(df: DataFrame, by: str) -> DataFrame:
 
 def time_series(t: Tables, more: list[str]) -> DataFrame:
     return t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month"), *more).agg(F.sum("o_totalprice").alias("total"))
+
+
+CELLS = """e as (select min({x}) as xl, max({x}) as xh, min({y}) as yl, max({y}) as yh from {t}), r as (select (xh - xl) / 30 as xr, (yh - yl) / 30 as yr, pow(10, floor(log10((xh - xl) / 30))) as xp, pow(10, floor(log10((yh - yl) / 30))) as yp from e),
+          s as (select xp * case when xr / xp <= 1 then 1 when xr / xp <= 2 then 2 when xr / xp <= 5 then 5 else 10 end as xs, yp * case when yr / yp <= 1 then 1 when yr / yp <= 2 then 2 when yr / yp <= 5 then 5 else 10 end as ys from r)"""
+
+
+@query(f"""with {CELLS.format(x="l_quantity", y="l_extendedprice", t="lineitem")},
+          c as (select floor(l_quantity / xs) * xs as x_bin, floor(l_extendedprice / ys) * ys as y_bin, l_quantity as x, l_extendedprice as y, md5(l_orderkey || ',' || l_linenumber || ',' || l_partkey) as draw from lineitem, s)
+          select x_bin, y_bin, count(*) over (partition by x_bin, y_bin) as n, row_number() over (partition by x_bin, y_bin order by draw, x, y) as place, x, y from c qualify place <= 3""")
+def scatter_density(t: Tables) -> DataFrame:
+    """Every line by quantity and price: a bounded number of marks, whatever the number of rows."""
+    return transforms.scatter(t.lineitem, "l_quantity", "l_extendedprice", key=["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query(f"""with {CELLS.format(x="c_nationkey", y="c_acctbal", t="customer")},
+          c as (select c_mktsegment as x_bin, floor(c_acctbal / ys) * ys as y_bin, c_mktsegment as x, c_acctbal as y, md5(c_custkey::varchar) as draw from customer, s)
+          select x_bin, y_bin, count(*) over (partition by x_bin, y_bin) as n, row_number() over (partition by x_bin, y_bin order by draw, x, y) as place, x, y from c qualify place <= 3""")
+def scatter_of_a_dimension(t: Tables) -> DataFrame:
+    """A measure's values by category."""
+    return transforms.scatter(t.customer, "c_mktsegment", "c_acctbal", key=["c_custkey"])

@@ -21,6 +21,8 @@ from brightcask.plans.profile import FieldProfile, profiles, statistic_fields
 # How many categories, series and cells a reader can take in, and rows that make a line or a distribution.
 SLICES, SERIES, STACKS, BOXES, CELLS, LINE_ROWS, RAW_ROWS, INLINE = 8, 8, 8, 20, 40, 3, 5, 100
 LONG_LABEL, MANY_LABELS = 12, 5
+#: Points that are drawn each; more are drawn by a grid of cells with a few of each.
+POINTS = 2000
 
 #: For each intent the forms that answer it, best first.
 ASKED = {
@@ -103,7 +105,7 @@ def heatmap(r: Result) -> Candidate | None:
 def scatter(r: Result) -> Candidate | None:
     if len(r.measures) > 1:
         return Candidate("scatter", r.measures[0].name, r.measures[1].name)
-    return None
+    return Candidate("scatter", r.dims[0].name, r.y) if r.dims and r.y and r.within(r.dims[0].name, CELLS) else None
 
 
 @form
@@ -199,7 +201,9 @@ def marks(df: DataFrame, chart: Candidate) -> DataFrame:
     if chart.kind == "heatmap":
         return transforms.bars(df, chart.x, chart.color, how[chart.color], chart.y)
     if chart.kind == "scatter":
-        return df.select(chart.x, chart.y)
+        points = df.select(chart.x, chart.y)
+        few = points.limit(POINTS + 1).count() <= POINTS
+        return points if few else transforms.scatter(df, chart.x, chart.y).withColumnsRenamed({"x": chart.x, "y": chart.y})
     if chart.kind == "multi_line" and chart.y is None:
         return transforms.fold(df, chart.x, [f.name for f in profiles(df) if f.role == "measure"])
     if chart.kind in ("bar", "line", "area", "multi_line"):

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SKETCH = 100_000  # accuracy of the sketch that narrows quantiles down
 AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
@@ -63,6 +64,27 @@ def quantiles(df: DataFrame, y: str, by: Sequence[str], at: Sequence[float]) ->
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], *[value(i).alias(f"q{i}") for i in range(len(at))])
 
 
+def scatter(df: DataFrame, x: str, y: str, bins: int = 30, points: int = 3, key: Sequence[str] = ()) -> DataFrame:
+    """(x_bin, y_bin, n, place, x, y): a grid of cells with nice edges, how many rows each holds, and up to so many of them as points.
+
+    The points of a cell are those whose key (else x and y) has the smallest MD5, so they are the same whatever the order of rows; each task
+    passes on no more than so many of a cell. Marks are bounded by bins * bins * points, in both directions twice that many where edges
+    are rounded; counts add up to all rows that have both values. x may be text, which has a column of cells for each value.
+    """
+    text = isinstance(df.schema[x].dataType, T.StringType)
+    of = [F.col(f"`{x}`") if text else F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")]
+    draw = F.md5(F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key or (x, y)]).cast("binary"))
+    rows = df.select(of[0].alias("_x"), of[1].alias("_y"), draw.alias("_draw")).filter("_x is not null and _y is not null")
+    low, high = (F.struct(*[f(c).alias(c) for c in ("_y",) if text] or [f("_x").alias("_x"), f("_y").alias("_y")]) for f in (F.min, F.max))
+    ends = rows.agg(low.alias("lo"), high.alias("hi")).select(*[nice_step(F.col(f"lo.{c}"), F.col(f"hi.{c}"), bins).alias(f"{c}step") for c in (("_y",) if text else ("_x", "_y"))])
+    cell = lambda c: F.floor(F.col(c) / F.col(f"{c}step")) * F.col(f"{c}step")
+    placed = rows.crossJoin(F.broadcast(ends)).select((F.col("_x") if text else cell("_x")).alias("x_bin"), cell("_y").alias("y_bin"), "_x", "_y", "_draw")  # ends is one row
+    counts = placed.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("x_bin", "y_bin").orderBy("_draw", "_x", "_y")
+    drawn = placed.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= points)
+    return drawn.join(counts, ["x_bin", "y_bin"]).select("x_bin", "y_bin", "n", F.col("place").cast("long").alias("place"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+
 def boxplot(df: DataFrame, y: str, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Least, quartiles and most; whiskers reach the extremes."""
     found = quantiles(df, y, by, (0.0, 0.25, 0.5, 0.75, 1.0))

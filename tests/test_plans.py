@@ -225,3 +225,22 @@ def test_only_names_without_a_column_are_corrected():
 
     text = "is_t is null and t > 1 and `t` < 2 and max(t) = t(1) and x = 't' and r't' = 't.t'"
     assert renamed(text, "t", "tt") == "is_t is null and `tt` > 1 and `tt` < 2 and max(`tt`) = t(1) and x = 't' and r't' = 't.t'"
+
+
+def test_scatter_is_bounded_and_counts_every_row(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b)) for a, b in rng.normal(0, 1, (4000, 2))] + [(7.0, 7.0)] * 500 + [(None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    got = transforms.scatter(df, "a", "b", bins=10, points=2).collect()
+    assert len(got) <= 12 * 12 * 2 and sum({(r.x_bin, r.y_bin): r.n for r in got}.values()) == 4500
+    assert sorted(map(tuple, got)) == sorted(map(tuple, transforms.scatter(df.repartition(7), "a", "b", bins=10, points=2).collect()))
+    assert transforms.scatter(df.filter("false"), "a", "b").collect() == []
+
+
+def test_scatter_charts_take_a_dimension_and_thin_out_large_results(spark):
+    few = spark.createDataFrame([(c, float(i)) for i, c in enumerate("abcabc")], "kind string, size double")
+    assert charts.choose(few, "correlation")[0] == charts.Candidate("scatter", "kind", "size", None, "asked")
+    assert charts.marks(few, charts.choose(few, "correlation")[0]).count() == 6
+    many = spark.range(charts.POINTS + 1).selectExpr("cast(id as double) as width", "cast(id % 100 as double) as height")
+    shown = charts.marks(many, charts.choose(many, "correlation")[0])
+    assert {"n", "x_bin", "width", "height"} <= set(shown.columns) and shown.count() <= 32 * 32 * 3
