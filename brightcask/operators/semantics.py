@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.functions import dictionary
 from brightcask.functions.intent import intent
 from brightcask.functions.nearest import nearest_values
 from brightcask.operators.registry import Tables, query
 from brightcask.functions.wording import several_statistics
-from brightcask.plans import admission, answers, guesses, profile
+from brightcask.plans import admission, answers, guesses, profile, sketches
 from brightcask.plans.questions import Measure, Question, ask, grained
 from brightcask.sources import catalog
 from brightcask.sources.catalog import ForeignKey
+from brightcask.sources.staging import shared_folder
 from brightcask.streaming import events
 
 SALES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -261,3 +265,55 @@ def guess_of_a_trend(t: Tables) -> DataFrame:
 @query("select count(*) filter (o_orderdate < now()) as before_now, current_database() is not null as in_a_database, current_user is not null as as_a_user from orders")
 def system_functions(t: Tables) -> DataFrame:
     return t.orders.agg(F.count_if(F.col("o_orderdate").cast("timestamp") < F.current_timestamp()).alias("before_now")).select("before_now", F.current_database().isNotNull().alias("in_a_database"), F.current_user().isNotNull().alias("as_a_user"))
+
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+
+
+@query("""select name, n_rows, n_values, least, most, true as distinct_is_near, case when kind = 'number' then true end as quartiles_are_near from (
+          """ + " union all ".join(f"select '{c}' as name, 'number' as kind, count(*) as n_rows, count({c}) as n_values, min({c})::double + 0.0 as least, max({c})::double + 0.0 as most from lineitem" for c in NUMBERS)
+    + " union all select 'l_returnflag', 'text', count(*), count(l_returnflag), null, null from lineitem)")
+def merged_profile(t: Tables) -> DataFrame:
+    """The profile of all lines from those of the months, held against the exact values: distinct values within 3 %, quartiles within 2 % of the rows."""
+    lines = t.lineitem.select(*NUMBERS, "l_returnflag", "l_shipdate")
+    months = sketches.sketched(lines, [F.date_trunc("month", "l_shipdate").alias("month")]).filter("name <> 'l_shipdate'")
+    found = sketches.merged(months)
+    exact = profile.statistics(lines.drop("l_shipdate")).select("name", F.col("n_distinct").alias("really"))
+    values = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in NUMBERS])))
+    at = values.join(F.broadcast(found.select("name", "q1", "median", "q3")), "name").groupBy("name").agg(*[F.avg(F.expr(f"cast(value {op} {q} as double)")).alias(f"{q}{k}") for q in ("q1", "median", "q3") for k, op in (("below", "<"), ("upto", "<="))])
+    near = lambda q, p: (F.col(f"{q}below") <= p + 0.02) & (F.col(f"{q}upto") >= p - 0.02)
+    met = found.join(exact, "name").join(at, "name", "left")
+    number = lambda c: F.when(F.col("name") != "l_returnflag", F.col(c).cast("double")).alias(c)
+    return met.select("name", "n_rows", "n_values", number("least"), number("most"), (F.abs(F.col("n_distinct") - F.col("really")) <= 0.03 * F.col("really")).alias("distinct_is_near"), (near("q1", 0.25) & near("median", 0.5) & near("q3", 0.75)).alias("quartiles_are_near"))
+
+
+DICTIONARY = [("part", "p_type"), ("part", "p_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("customer", "c_name")]
+VALUES = " union all ".join(f"select distinct '{t}' as table_name, '{c}' as column_name, {c} as value from {t}" for t, c in DICTIONARY)
+
+
+def _dictionary(t: Tables) -> dictionary.Dictionary:
+    path = f"{shared_folder(t.spark)}/dictionary-{uuid.uuid4().hex}"
+    dictionary.build(dictionary.values_of(t.spark, catalog.folder("sales", t.folder, SALES), DICTIONARY), path)
+    return dictionary.load(t.spark, path)
+
+
+@query(f"""with v as ({VALUES}), w as (select distinct table_name, column_name, value[:2] || value[4:] as word from v where length(value) > 5 union select table_name, column_name, value[:1] || value[3] || value[2] || value[4:] from v where length(value) > 5),
+          n as (select w.table_name, w.column_name, word, value as meant, damerau_levenshtein(lower(word), lower(value)) as distance from w join v on w.table_name = v.table_name and w.column_name = v.column_name and abs(length(word) - length(value)) <= 2 where damerau_levenshtein(lower(word), lower(value)) <= case when length(word) <= 4 then 1 else 2 end),
+          b as (select *, min(distance) over (partition by table_name, column_name, word) as least from n)
+          select table_name, column_name, word, min(meant) as meant, distance from b where distance = least group by all having count(*) = 1""")
+def dictionary_corrections(t: Tables) -> DataFrame:
+    """Every value with a letter left out, and with two letters swapped, looked up in the stored index."""
+    held, v, at = _dictionary(t), F.col("value"), lambda a, n: F.substring(F.col("value"), a, n)
+    values = dictionary.values_of(t.spark, catalog.folder("sales", t.folder, SALES), DICTIONARY).filter(F.length(v) > 5)
+    words = values.withColumn("word", F.explode(F.array(F.concat(at(1, 2), at(4, 1000)), F.concat(at(1, 1), at(3, 1), at(2, 1), at(4, 1000))))).select("table_name", "column_name", "word")
+    return dictionary.nearest(words, held)
+
+
+@query(f"""with v as ({VALUES}), w as (select distinct table_name, column_name, lower(value[length(value) - 3:]) as word from v where length(value) > 5 union select table_name, column_name, 'no such' from v)
+          select v.table_name, v.column_name, word, value from w join v using (table_name, column_name) where contains(lower(value), word)""")
+def dictionary_containment(t: Tables) -> DataFrame:
+    """The values that hold the last four letters of any value of their column."""
+    held, v = _dictionary(t), F.col("value")
+    values = dictionary.values_of(t.spark, catalog.folder("sales", t.folder, SALES), DICTIONARY)
+    ends = values.filter(F.length(v) > 5).select("table_name", "column_name", F.lower(F.substring(v, -4, 4)).alias("word"))
+    return dictionary.containing(ends.union(values.select("table_name", "column_name", F.lit("no such"))), held)
