@@ -22,6 +22,11 @@ def several_statistics(question: Column) -> Column:
     return F.coalesce(sum((text.rlike(f"{START}(?:{p})").cast("int") for p in STATISTICS.values()), F.lit(0)) >= 2, F.lit(False))
 
 
+def asks_several(question: str) -> bool:
+    """several_statistics() of one question."""
+    return sum(bool(re.search(rf"(?<![^\W_])(?:{p})", question, re.I)) for p in STATISTICS.values()) >= 2
+
+
 def stems(text: str) -> set[str]:
     """The words of a text by their first five letters, which endings leave alone."""
     return {w[:5] for w in re.findall(r"[^\W_]+", text.lower()) if len(w) > 1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from brightcask.operators.registry import Tables, query
-from brightcask.sources import catalog
+from brightcask.sources import catalog, restore
 from brightcask.sources.catalog import Source
 
 #: Every table but those whose columns are long texts or vectors, and their columns that can be keys.
@@ -61,3 +61,14 @@ def key_discovery_by_other_names(t: Tables) -> DataFrame:
     t.orders.selectExpr("o_orderkey as sale_id", "o_custkey % 10 + 1 as store_id", "o_custkey as link_to_member", "o_totalprice as amount").createOrReplaceTempView("found_sale")
     source = Source("shop", {n: ("view", {"name": v}) for n, v in (("stores", "found_stores"), ("member_data", "found_member"), ("sale", "found_sale"))})
     return catalog.foreign_keys(t.spark, source).selectExpr("table_name", "column_name", "parent", "parent_column", "n_distinct", "round(coverage, 9) as coverage")
+
+
+@query(" union all ".join(f"select '{t}' as table_name, count(*) as n_rows, true as same_in_another_order, true as other_without_a_row from {t}" for t in ("nation", "customer", "orders", "events", "documents")))
+def content_fingerprints(t: Tables) -> DataFrame:
+    """Fingerprints of whole tables: the same for the rows in another order, another one if a row comes twice."""
+    rows = []
+    for name in ("nation", "customer", "orders", "events", "documents"):
+        df = getattr(t, name)
+        print_ = restore.fingerprint(df)
+        rows.append((name, int(print_.rsplit("|", 3)[1]), restore.fingerprint(df.repartition(3)) == print_, restore.fingerprint(df.unionByName(df.limit(1))) != print_))
+    return t.spark.createDataFrame(rows, "table_name string, n_rows long, same_in_another_order boolean, other_without_a_row boolean")

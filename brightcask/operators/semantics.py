@@ -12,8 +12,9 @@ from brightcask.functions.intent import intent
 from brightcask.functions.nearest import nearest_values
 from brightcask.operators.registry import Tables, query
 from brightcask.functions.wording import several_statistics
-from brightcask.plans import admission, answers, guesses, profile, sketches
+from brightcask.plans import admission, answers, charts, guesses, profile, sketches
 from brightcask.plans.questions import Measure, Question, ask, grained
+from brightcask.plans.reply import chart_of, reply
 from brightcask.sources import catalog
 from brightcask.sources.catalog import ForeignKey
 from brightcask.sources.staging import shared_folder
@@ -317,3 +318,41 @@ def dictionary_containment(t: Tables) -> DataFrame:
     values = dictionary.values_of(t.spark, catalog.folder("sales", t.folder, SALES), DICTIONARY)
     ends = values.filter(F.length(v) > 5).select("table_name", "column_name", F.lower(F.substring(v, -4, 4)).alias("word"))
     return dictionary.containing(ends.union(values.select("table_name", "column_name", F.lit("no such"))), held)
+
+
+@query(f"select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue {LINES} group by 1")
+def chart_of_a_sum_by_any_name(t: Tables) -> DataFrame:
+    """The bars of a question's result: that revenue is a sum already is noted with the column, for its name does not say so."""
+    asked = _ask(t, Question([REVENUE], by=[("nation", "n_name")]))
+    return charts.marks(asked, charts.choose(asked, "comparison")[0])
+
+
+@query("""with m as (select year(o_orderdate) as y, month(o_orderdate) as mo, count(*) as n_orders from orders group by 1, 2) select 'line' as mark, make_date(y::int, mo::int, 1) as period, n_orders, row_number() over (order by y, mo) as place from m""")
+def chart_by_year_and_month(t: Tables) -> DataFrame:
+    """Year and month as one axis of a line, all of it and in order."""
+    months = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("order_year"), F.month("o_orderdate").cast("long").alias("order_month")).agg(F.count("*").alias("n_orders"))
+    spec, _ = chart_of(months, "trend")
+    return t.spark.createDataFrame([(spec["mark"], v["period"], v["n_orders"], i) for i, v in enumerate(spec["values"], 1)], "mark string, period date, n_orders long, place long")
+
+
+@query("""with s as (select c_mktsegment, min(c_acctbal) as least_balance, round(avg(c_acctbal), 2) as mean_balance, max(c_acctbal) as most_balance from customer group by 1) select 'table' as mark, * from s""")
+def chart_of_several_statistics(t: Tables) -> DataFrame:
+    """Least, mean and most at once are a table, not bars."""
+    m = [Measure(f"{n}_balance", "customer", "c_acctbal", how) for n, how in (("least", "min"), ("mean", "avg"), ("most", "max"))]
+    got = reply(t.spark, catalog.folder("sales", t.folder, SALES), KEYS, Question(m, by=[("customer", "c_mktsegment")]), "Compare the minimum, average and maximum balance of each segment")
+    return t.spark.createDataFrame([(got.chart["mark"], *v.values()) for v in got.chart["values"]], "mark string, c_mktsegment string, least_balance double, mean_balance double, most_balance double")
+
+
+@query(f"""with r as (select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue {LINES} group by 1 order by revenue desc, n_name limit 5)
+          select 'top_n' as intent, 'bar' as mark, n_name, revenue, row_number() over (order by revenue desc, n_name) as place from r""")
+def reply_with_a_chart(t: Tables) -> DataFrame:
+    """A question in words and its terms, answered by bars, the largest first."""
+    got = reply(t.spark, catalog.folder("sales", t.folder, SALES), KEYS, Question([REVENUE], by=[("nation", "n_name")], top=5), "Top 5 nations by revenue")
+    return t.spark.createDataFrame([(got.intent, got.chart["mark"], v["n_name"], v["revenue"], i) for i, v in enumerate(got.chart["values"], 1)], "intent string, mark string, n_name string, revenue double, place long")
+
+
+@query("select p_name, count(1) as n_parts from part where contains(lower(p_name), 'widget') group by 1")
+def ask_with_a_part_of_a_value(t: Tables) -> DataFrame:
+    """No part is called Widget: the names that hold the word are asked for, as the stored index has them."""
+    q = Question([Measure("n_parts", "part")], by=[("part", "p_name")], filters=[("part", "p_name = 'Widget'")])
+    return _ask(t, answers.with_values(t.spark, catalog.folder("sales", t.folder, SALES), q, _dictionary(t))[0])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightcask.functions.dictionary import Dictionary, containing, nearest
 from brightcask.functions.nearest import nearest_values
 from brightcask.plans.admission import PIECES
 from brightcask.plans.profile import FieldProfile, field_profile, profiles
@@ -22,6 +23,7 @@ from brightcask.plans.questions import AmbiguousQuestion, Question, ask
 from brightcask.sources.catalog import ForeignKey, Source, columns
 
 INLINE = 100  # rows that a caller gets at once
+MOST_VALUES = 50  # values that a word may stand for; more say nothing
 LITERAL = re.compile(r"(?P<column>\w+)\s*=\s*'(?P<value>(?:[^']|'')*)'")
 
 
@@ -42,6 +44,7 @@ class Outcome:
     warnings: list[Notice] = field(default_factory=list)
     error: Notice | None = None
     corrections: list[tuple[str, str]] = field(default_factory=list)
+    df: DataFrame | None = field(default=None, compare=False)  # the result itself
 
 
 def completed(df: DataFrame, given: Sequence[FieldProfile] = ()) -> tuple[list[FieldProfile], list[Notice]]:
@@ -84,7 +87,7 @@ def statuses(results: dict[str, DataFrame], inline: int = INLINE) -> DataFrame:
     return out
 
 
-def answer(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Question, inline: int = INLINE) -> Outcome:
+def answer(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Question, inline: int = INLINE, held: Dictionary | None = None) -> Outcome:
     """Runs a question; columns that do not exist and values that bring no rows are replaced by what was most likely meant."""
     corrections: list[tuple[str, str]] = []
     try:
@@ -102,7 +105,7 @@ def answer(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Q
             return Outcome("failed", error=Notice("sql_execution_failed", again.getCondition() or "analysis"))
     rows = df.limit(inline + 1).collect()
     if not rows:
-        other, done = with_values(spark, source, q)
+        other, done = with_values(spark, source, q, held)
         if done and (found := (changed := ask(spark, source, keys, other)).limit(inline + 1).collect()):
             df, rows, corrections = changed, found, corrections + done
     fields, warnings = completed(df)
@@ -111,7 +114,7 @@ def answer(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Q
     if len(rows) > inline:
         warnings.append(Notice("row_limit_exceeded", f"only the first {inline} rows are shown"))
     n = len(rows) if len(rows) <= inline else df.count()
-    return Outcome(status(n, len(warnings)), [r.asDict(recursive=True) for r in rows[:inline]], n, fields, warnings, None, corrections)
+    return Outcome(status(n, len(warnings)), [r.asDict(recursive=True) for r in rows[:inline]], n, fields, warnings, None, corrections, df)
 
 
 def _nearest(spark: SparkSession, words: Sequence[str], df: DataFrame, column: str) -> dict[str, str]:
@@ -159,23 +162,38 @@ def with_columns(spark: SparkSession, source: Source, q: Question) -> tuple[Ques
     ), done
 
 
-def with_values(spark: SparkSession, source: Source, q: Question) -> tuple[Question, list[tuple[str, str]]]:
-    """q with the text literals of its filters replaced by the nearest value of their column."""
+def with_values(spark: SparkSession, source: Source, q: Question, held: Dictionary | None = None) -> tuple[Question, list[tuple[str, str]]]:
+    """q with the text literals of its filters replaced by the nearest value of their column, else by all values that hold them.
+
+    With a stored index of values (held) both are lookups of keys in it, one of each for the question, and no column is read; without one
+    the nearest values are looked for among the distinct values of the column, and nothing holds a literal.
+    """
+    found = []
+    for table, text in q.filters:
+        texts = {f.name for f in source.table(spark, table).schema.fields if isinstance(f.dataType, T.StringType)}
+        found += [(table, m["column"], m["value"].replace("''", "'")) for m in LITERAL.finditer(text) if m["column"] in texts]
+    meant: dict[tuple[str, str, str], list[str]] = {}
+    if held and found:
+        words = spark.createDataFrame(found, "table_name string, column_name string, word string")
+        meant = {(r.table_name, r.column_name, r.word): [r.meant] for r in nearest(words, held).collect() if r.meant != r.word}
+        rest = [w for w in found if w not in meant]
+        holding = containing(spark.createDataFrame(rest, words.schema), held).limit(MOST_VALUES + 1).collect() if rest else []
+        for r in holding if len(holding) <= MOST_VALUES else []:
+            meant.setdefault((r.table_name, r.column_name, r.word), []).append(r.value)
+    elif found:
+        for table, column, word in found:
+            if better := _nearest(spark, [word], source.table(spark, table), column).get(word):
+                meant[table, column, word] = [better]
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
     done: list[tuple[str, str]] = []
-    filters = []
-    for table, condition in q.filters:
-        df = source.table(spark, table)
-        texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-
-        def better(m: re.Match[str], df: DataFrame = df, texts: set[str] = texts) -> str:
-            value = m["value"].replace("''", "'")
-            meant = _nearest(spark, [value], df, m["column"]).get(value) if m["column"] in texts else None
-            if meant is None:
-                return m[0]
-            done.append((value, meant))
-            return f"{m['column']} = '" + meant.replace("'", "''") + "'"
-
-        filters.append((table, LITERAL.sub(better, condition)))
+
+    def better(table: str, m: re.Match[str]) -> str:
+        word = m["value"].replace("''", "'")
+        values = sorted(meant.get((table, m["column"], word), []))
+        done.extend((word, v) for v in values)
+        return m[0] if not values else f"{m['column']} = {quoted(values[0])}" if len(values) == 1 else f"{m['column']} in ({', '.join(map(quoted, values))})"
+
+    filters = [(table, LITERAL.sub(lambda m, table=table: better(table, m), text)) for table, text in q.filters]
     return replace(q, filters=filters), done
 
 

@@ -7,7 +7,6 @@ A table that is asked for comes first.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -146,21 +145,18 @@ def bar(r: Result) -> Candidate | None:
     return Candidate("bar", r.dims[0].name, r.y) if r.dims and r.y else None
 
 
-def _few(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """Distinct values of each field, counted exactly up to one more than any form takes: partial aggregates of that field alone."""
-    counts = [df.select(F.col(f"`{n}`").alias("v")).filter("v is not null").distinct().limit(CELLS + 1).agg(F.lit(n).alias("name"), F.count("v").alias("n")) for n in names]
-    return {f"n {r.name}": r.n for r in functools.reduce(DataFrame.unionByName, counts).collect()} if counts else {}
-
-
 def looked_at(df: DataFrame, question: str = "") -> Result:
-    """Sizes and signs of the result. Fields that the question names come before others of their role."""
+    """Sizes and signs of the result, in one pass. Fields that the question names come before others of their role.
+
+    Distinct values are counted by sketches, which hold as few values as any form takes one by one and so count them exactly.
+    """
     fields = profiles(df)
     role = lambda *names: sorted((f for f in fields if f.role in names), key=lambda f: (f.role == "id", f.name != meant([g.name for g in fields if g.role in names], question)) if question else f.role == "id")
     measures, times, dims = role("measure"), role("time"), role("dimension", "id")
     discrete = [f.name for f in (*dims, *times)] if not times else [f.name for f in (*times, *dims)]
     signs = [F.coalesce(F.min(F.col(f"`{f.name}`")) >= 0, F.lit(False)).alias(f"+ {f.name}") for f in measures]
-    n = df.agg(F.count(F.lit(1)).alias("rows"), *signs).first().asDict()
-    n |= _few(df, discrete)
+    few = [F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{n}`").cast("string"))), F.lit(0)).alias(f"n {n}") for n in discrete]
+    n = df.agg(F.count(F.lit(1)).alias("rows"), *signs, *few).first().asDict()
     x, y = (on_axis(discrete, question, a) if question else None for a in "xy")
     axes = [a for a in (x, *[d for d in discrete if d not in (x, y)]) if a]
     axes = [*axes[:1], *([y] if y and y != x else []), *axes[1:]] if y else axes
@@ -220,15 +216,29 @@ def axis_type(field: FieldProfile) -> str:
     return "quantitative" if field.role == "measure" else "nominal"
 
 
+#: Marks inline of each form; a line or an area is shown whole up to more of them, for a part of it would be another line.
+INLINE_OF = {"line": 1000, "area": 1000, "multi_line": 1000, "scatter": 3 * POINTS}
+
+
+def ordered(data: DataFrame, chart: Candidate) -> DataFrame:
+    """Marks in the order in which they are read: along the axis, or bars and slices by size, the largest first."""
+    have = lambda *names: [F.asc_nulls_last(f"`{n}`") for n in names if n in data.columns]
+    if chart.kind in ("bar", "pie") and chart.y in data.columns:
+        return data.orderBy(F.desc_nulls_last(f"`{chart.y}`"), *have(chart.x))
+    return data.orderBy(*o) if (o := have("x_bin", "y_bin", "place", "bin_start", *[c for c in (chart.x, chart.color, chart.y if chart.kind in ("scatter", "heatmap") else None) if c], "series")) else data
+
+
 def spec(df: DataFrame, chart: Candidate, title: str = "") -> dict:
-    """The chart as a plain dictionary, with the type of each axis, room for labels and the marks that fit inline.
+    """The chart as a plain dictionary, with the type of each axis, room for labels and its marks in order.
 
-    Marks are charts' few rows; of those above the limit the first are inline and truncated says so.
+    Of marks above the form's limit the first are inline; truncated says so, and n_marks how many there are.
     """
     fields = {f.name: f for f in profiles(df)}
-    data = marks(df, chart)
-    rows = data.limit(INLINE + 1).collect()
-    out: dict = {"title": title, "mark": chart.kind, "encoding": {}, "values": [r.asDict(recursive=True) for r in rows[:INLINE]], "truncated": len(rows) > INLINE}
+    data = ordered(marks(df, chart), chart)
+    most = INLINE_OF.get(chart.kind, INLINE)
+    rows = data.limit(most + 1).collect()
+    cut = len(rows) > most
+    out: dict = {"title": title, "mark": chart.kind, "encoding": {}, "values": [r.asDict(recursive=True) for r in rows[:most]], "truncated": cut, "n_marks": data.count() if cut else len(rows)}
     for channel in ("x", "y", "color"):
         if name := getattr(chart, channel):
             out["encoding"][channel] = {"field": name, "type": axis_type(fields[name])}

@@ -83,8 +83,18 @@ def field_profile(field: T.StructField, derived: bool | None = None) -> FieldPro
     return FieldProfile(field.name, kind, role, periodicity_of(field.name) if role == "time" else None, allowed, default)
 
 
+#: The key in a column's metadata under which a question notes where the column comes from: table, expression and how it was summed up.
+ORIGIN = "origin"
+
+
+def origin(field: T.StructField) -> dict:
+    """What is noted of a column's origin; nothing if it did not come from a question."""
+    return dict((field.metadata or {}).get(ORIGIN, {}))
+
+
 def profiles(df: DataFrame) -> list[FieldProfile]:
-    return [field_profile(f) for f in df.schema.fields]
+    """The profile of each column. What a question has noted goes before what a name looks like: a sum is a sum by whatever name, and a raw value is none."""
+    return [field_profile(f, origin(f)["how"] != "none" if "how" in origin(f) else None) for f in df.schema.fields]
 
 
 # Names of columns that are statistics already, by words and their beginnings.

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brightcask.plans.profile import ORIGIN
 from brightcask.plans.transforms import AGGREGATIONS
 from brightcask.sources.catalog import ForeignKey, Source, join_path
 
@@ -25,6 +26,7 @@ class Measure:
     table: str
     expression: str = "1"
     how: str = "count"
+    unit: str | None = None
 
 
 @dataclass(frozen=True)
@@ -65,11 +67,11 @@ def ask(spark: SparkSession, source: Source, keys: Sequence[ForeignKey], q: Ques
                 df = df.join(_filtered(spark, source, fk.parent, q), F.col(fk.column) == F.col(fk.parent_column))
                 joined.add(fk.parent)
     if q.raw:
-        out = df.select(*[F.col(c) for _, c in q.by], *[F.round(F.expr(m.expression), q.digits).alias(m.name) for m in q.measures])
+        out = df.select(*[_noted(F.col(c), c, t, c) for t, c in q.by], *[_noted(F.round(F.expr(m.expression), q.digits), m.name, m.table, m.expression, "none", m.unit) for m in q.measures])
         return out.orderBy(F.desc(q.measures[0].name), *[c for _, c in q.by]).limit(q.top) if q.top else out
-    groups: list[Column] = [F.col(c) for _, c in q.by]
+    groups: list[Column] = [_noted(F.col(c), c, t, c) for t, c in q.by]
     if q.grain:
-        groups.append(F.date_trunc(q.grain[2], q.grain[1]).cast("timestamp_ntz").alias(q.grain[2]))
+        groups.append(_noted(F.date_trunc(q.grain[2], q.grain[1]).cast("timestamp_ntz"), q.grain[2], q.grain[0], q.grain[1]))
     out = df.groupBy(*groups).agg(*[_aggregate(m, q.digits, _whole(m, i) if early else AGGREGATIONS[m.how](F.expr(m.expression))) for i, m in enumerate(q.measures)])
     first = q.measures[0].name
     if q.having:
@@ -102,4 +104,9 @@ def _filtered(spark: SparkSession, source: Source, table: str, q: Question) -> D
 
 
 def _aggregate(m: Measure, digits: int, value: Column) -> Column:
-    return (value if m.how == "count" else F.round(value, digits)).alias(m.name)
+    return _noted(value if m.how == "count" else F.round(value, digits), m.name, m.table, m.expression, m.how, m.unit)
+
+
+def _noted(value: Column, name: str, table: str, expression: str, how: str | None = None, unit: str | None = None) -> Column:
+    """value by its name, with a note of where it comes from that goes along with the column, whatever is filtered, sorted or joined after."""
+    return value.alias(name, metadata={ORIGIN: {k: v for k, v in (("table", table), ("expression", expression), ("how", how), ("unit", unit)) if v is not None}})

@@ -38,7 +38,7 @@ class Source:
     primary: Mapping[str, list[str]] = field(default_factory=dict)  # the primary keys that are declared, by table
 
     def visible(self) -> list[str]:
-        return [t for t in self.tables if not t.startswith(HIDDEN) and not t.endswith(HIDDEN_ENDS) and not any(p in t for p in HIDDEN_PARTS)]
+        return [t for t in self.tables if not (low := t.lower()).startswith(HIDDEN) and not low.endswith(HIDDEN_ENDS) and not any(p in low for p in HIDDEN_PARTS)]
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         kind, options = self.tables[name]
@@ -57,6 +57,13 @@ def database(name: str, path: str) -> Source:
     return Source(name, {t: (kind, {"path": path, "table": t}) for t in primary}, [ForeignKey(*k) for k in foreign], primary)
 
 
+def jdbc_source(spark: SparkSession, name: str, url: str, schema: str | None = None, **options: str) -> Source:
+    """A source of the tables of a JDBC database, with the keys that it declares."""
+    found, primary, foreign = readers.jdbc_tables(spark, url, schema, **options)
+    where = lambda t: f'{schema}."{t}"' if schema else t
+    return Source(name, {t: ("jdbc", {"url": url, "table": where(t), **options}) for t in sorted({c[0] for c in found})}, [ForeignKey(*k) for k in foreign], primary)
+
+
 def columns(spark: SparkSession, source: Source, marks: bool = False) -> DataFrame:
     """(table_name, column_name, position, data_type) of the visible tables; only schemas are read. With marks also primary_key, and in
     refers_to the table and column that a key leads to, as far as the source declares them."""

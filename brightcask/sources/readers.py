@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BATCH = 10_000  # rows
@@ -15,6 +20,23 @@ def sqlite_type(declared: str) -> str:
     return next((spark for part, spark in SQLITE_TYPES.items() if part in declared.upper()), "string")
 
 
+#: What a condition may say of a column, with its SQL; the value of "in" is a list, "is null" and "is not null" have none.
+TESTS = {"=": "{c} = ?", "<>": "{c} <> ?", ">": "{c} > ?", ">=": "{c} >= ?", "<": "{c} < ?", "<=": "{c} <= ?", "in": "{c} in ({marks})", "is null": "{c} is null", "is not null": "{c} is not null", "starts with": "substr({c}, 1, {length}) = ?", "contains": "instr({c}, ?) > 0"}
+
+
+def condition(test: tuple, kinds: dict[str, str]) -> tuple[str, list]:
+    """A test (column, what, value) as SQL with its values. Only columns whose values the database compares as Spark does can be tested."""
+    name, what, *rest = test
+    if what not in TESTS or name not in kinds:
+        raise ValueError(f"cannot be tested in the database: {name} {what}")
+    values = [] if "null" in what else list(rest[0]) if what == "in" else rest
+    alike = {"bigint": int, "int": int, "string": str, "double": (int, float)}.get(kinds[name])
+    if "null" not in what and (alike is None or not values or any(isinstance(v, bool) or not isinstance(v, alike) or v != v for v in values)):
+        raise ValueError(f"cannot be tested in the database: {name} ({kinds[name]}) {what} {values}")
+    column = '"' + name.replace('"', '""') + '"'
+    return TESTS[what].format(c=column, marks=", ".join("?" * len(values)), length=len(values[0]) if what == "starts with" else 0), values
+
+
 class RowRange(InputPartition):
     def __init__(self, lo: int, hi: int) -> None:
         self.lo, self.hi = lo, hi
@@ -23,6 +45,13 @@ class RowRange(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, path: str, table: str, parts: int, names: list[str], booleans: set[int], kinds: list | None = None) -> None:
         self.path, self.table, self.parts, self.names, self.booleans, self.kinds = path, table, parts, names, booleans, kinds
+        self.conditions: list[tuple[str, list]] = []  # which the database carries out
+
+    def query(self, partition: RowRange) -> tuple[str, list]:
+        """What the database is asked for a part, and the values in it."""
+        columns = ", ".join(f'"{n}"' for n in self.names)
+        where = " and ".join(["rowid between ? and ?", *(c for c, _ in self.conditions)])
+        return f'select {columns} from "{self.table}" where {where}', [partition.lo, partition.hi, *(v for _, vs in self.conditions for v in vs)]
 
     def partitions(self) -> list[RowRange]:
         with _opened(self.path) as db:
@@ -36,9 +65,8 @@ class SqliteReader(DataSourceReader):
         """Arrow batches of so many rows."""
         import pyarrow as pa
 
-        columns = ", ".join(f'"{n}"' for n in self.names)
         with _opened(self.path) as db:
-            rows = db.execute(f'select {columns} from "{self.table}" where rowid between ? and ?', (partition.lo, partition.hi))
+            rows = db.execute(*self.query(partition))
             while some := rows.fetchmany(BATCH):
                 cols = [[bool(v) if v is not None else None for v in c] if i in self.booleans else list(c) for i, c in enumerate(zip(*some, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, self.kinds, strict=True)], names=self.names)
@@ -62,7 +90,13 @@ class SqliteSource(DataSource):
         booleans = {i for i, (_, t) in enumerate(self._declared()) if t == "boolean"}
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), booleans, to_arrow_schema(schema).types)
+        return _tested(SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), booleans, to_arrow_schema(schema).types), schema, self.options.get("where", "[]"))
+
+
+def _tested(reader: SqliteReader, schema: T.StructType, where: str) -> SqliteReader:
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    reader.conditions = [condition(tuple(test), kinds) for test in json.loads(where)]
+    return reader
 
 
 def _opened(path: str):
@@ -99,9 +133,8 @@ class DuckReader(SqliteReader):
         return [RowRange(a, min(a + step, n) - 1) for a in range(0, n, step)] or [RowRange(0, -1)]
 
     def read(self, partition: RowRange):
-        columns = ", ".join(f'"{n}"' for n in self.names)
         with _duck(self.path) as db:
-            yield from db.execute(f'select {columns} from "{self.table}" where rowid between {partition.lo} and {partition.hi}').to_arrow_table().to_batches()
+            yield from db.sql(self.query(partition)[0], params=self.query(partition)[1]).to_arrow_table().to_batches()
 
 
 class DuckSource(SqliteSource):
@@ -118,7 +151,7 @@ class DuckSource(SqliteSource):
             return from_arrow_schema(db.execute(f'select * from "{self.options["table"]}" limit 0').to_arrow_table().schema, prefer_timestamp_ntz=True)
 
     def reader(self, schema) -> DuckReader:
-        return DuckReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), set())
+        return _tested(DuckReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "4")), schema.fieldNames(), set()), schema, self.options.get("where", "[]"))
 
 
 def _duck(path: str):
@@ -127,13 +160,74 @@ def _duck(path: str):
     return duckdb.connect(path, read_only=True)
 
 
-def read(spark: SparkSession, kind: str, **options: str) -> DataFrame:
-    """A DataFrame of one table. kind: a file format, sqlite, duckdb, jdbc (whose driver must be on the class path), or view."""
+def jdbc(spark: SparkSession, url: str, table: str, partitions: int = 8, column: str | None = None, predicates: list[str] | None = None, **options: str) -> DataFrame:
+    """A table of a JDBC source in parallel parts: by predicates, a part each, or by equal ranges of a column between its least and most
+    values, which the database is asked for. The column is the first one of the primary key if that is a number, a date or a time; without one
+    the table is one part. Filters and columns go to the database, as Spark's own source sends them."""
+    made = {"url": url, "dbtable": table, **options}
+    if predicates:
+        return spark.read.jdbc(url, table, predicates=predicates, properties=options)
+    reader = spark.read.format("jdbc").options(**made)
+    whole = reader.load()
+    kinds = {f.name: f.dataType for f in whole.schema.fields}
+    if column is None:
+        keys = jdbc_tables(spark, url, **options)[1].get(table.split(".")[-1].strip('"'), [])
+        column = next((k for k in keys[:1] if isinstance(kinds.get(k), (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))), None)
+    if column is None:
+        return whole
+    lo, hi = whole.agg(F.min(f"`{column}`").cast("string"), F.max(f"`{column}`").cast("string")).first()  # the database's own least and most
+    if lo is None:
+        return whole
+    if isinstance(kinds[column], T.NumericType):
+        lo, hi = (str(int(float(v)) if "." in v or "E" in v else int(v)) for v in (lo, hi))
+    return reader.options(partitionColumn=column, lowerBound=lo, upperBound=hi, numPartitions=partitions).load()
+
+
+def jdbc_tables(spark: SparkSession, url: str, schema: str | None = None, user: str | None = None, password: str | None = None, **_: str) -> tuple[list[tuple[str, str, str, bool]], dict[str, list[str]], list[tuple[str, str, str, str]]]:
+    """(columns, primary, foreign) of a database, as its driver tells them: (table, column, type, nullable), primary key columns by table, and
+    (table, column, parent, parent column). Only the catalog is read; the same calls serve every engine with a driver on the class path."""
+    jvm = spark._jvm
+    db = jvm.java.sql.DriverManager.getConnection(url, *((user, password) if user is not None else ()))
+    try:
+        meta = db.getMetaData()
+        kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 2)
+        kinds[0], kinds[1] = "TABLE", "VIEW"
+
+        def rows(found, *names: str) -> list[tuple]:
+            out = []
+            while found.next():
+                out.append(tuple(found.getString(n) for n in names))
+            found.close()
+            return out
+
+        system = {"SYS", "SYSIBM", "INFORMATION_SCHEMA", "information_schema", "pg_catalog"}
+        tables = [(s, t) for s, t in rows(meta.getTables(None, schema, "%", kinds), "TABLE_SCHEM", "TABLE_NAME") if s not in system]
+        columns = [(t, c, k, n != "NO") for s, t in tables for c, k, n in rows(meta.getColumns(None, s, t, "%"), "COLUMN_NAME", "TYPE_NAME", "IS_NULLABLE")]
+        primary = {t: [c for _, c in sorted((int(n), c) for c, n in rows(meta.getPrimaryKeys(None, s, t), "COLUMN_NAME", "KEY_SEQ"))] for s, t in tables}
+        foreign = [(t, c, p, pc) for s, t in tables for c, p, pc in rows(meta.getImportedKeys(None, s, t), "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME")]
+        return columns, primary, foreign
+    finally:
+        db.close()
+
+
+def read(spark: SparkSession, kind: str, where: Sequence[tuple] = (), **options: str) -> DataFrame:
+    """A DataFrame of one table. kind: a file format, sqlite, duckdb, jdbc (whose driver must be on the class path), or view.
+
+    where: tests (column, what, value), see TESTS, that SQLite and DuckDB carry out themselves. They are part of the relation and not pushed
+    down by Spark: Spark 4.1 keeps what it has pushed to a Python source with the relation, so two filters on one DataFrame would share it
+    and give wrong rows. Files and JDBC take Spark's filters.
+    """
+    if where:
+        if kind not in ("sqlite", "duckdb"):
+            raise ValueError(f"{kind} takes filters from Spark")
+        options["where"] = json.dumps([list(test) for test in where])
     if kind == "view":
         return spark.table(options["name"])
+    if kind == "jdbc":
+        return jdbc(spark, options.pop("url"), options.pop("table"), int(options.pop("partitions", "8")), options.pop("column", None), **options)
     if kind in ("sqlite", "duckdb"):
         spark.dataSource.register(SqliteSource if kind == "sqlite" else DuckSource)
-    elif kind not in (*FILES, "jdbc"):
+    elif kind not in FILES:
         raise ValueError(f"unknown source format: {kind}")
     reader = spark.read.format(kind)
     if "schema" in options:

@@ -78,3 +78,21 @@ def test_keys_of_short_texts(spark):
     hashed = lambda *texts: F.sort_array(F.array(*[F.xxhash64(F.lit(t)) for t in texts]))
     got = spark.range(1).select(F.sort_array(dictionary.near_keys(F.lit("Abc"))) == hashed("a", "ab", "abc", "ac", "b", "bc", "c"), dictionary.near_keys(F.lit("")) == hashed(""), dictionary.runs(F.lit("ab")), dictionary.runs(F.lit("abAB"))).first()
     assert list(got) == [True, True, [], ["aba", "bab"]]
+
+
+def test_answers_look_values_up_in_the_index(spark, tmp_path):
+    from brightcask.plans.answers import answer, with_values
+    from brightcask.plans.questions import Measure, Question
+    from brightcask.sources import catalog
+
+    source = catalog.folder("s", "/root/testdata/sf0.001", ["customer"])
+    dictionary.build(dictionary.values_of(spark, source, [("customer", "c_mktsegment")]), f"{tmp_path}/d")
+    held = dictionary.load(spark, f"{tmp_path}/d")
+    ask = lambda word: Question([Measure("n", "customer")], by=[("customer", "c_mktsegment")], filters=[("customer", f"c_mktsegment = '{word}'")])
+    assert with_values(spark, source, ask("MACHNIERY"), held)[0].filters == [("customer", "c_mktsegment = 'MACHINERY'")]
+    assert with_values(spark, source, ask("mob"), held)[1] == [("mob", "AUTOMOBILE")]
+    q, done = with_values(spark, source, ask("IL"), held)
+    assert (q.filters, done) == ([("customer", "c_mktsegment = 'IL'")], [])
+    assert with_values(spark, source, ask("o''Neil"), held)[1] == []
+    got = answer(spark, source, [], ask("house"), held=held)
+    assert got.status == "success" and got.corrections == [("house", "HOUSEHOLD")] and len(got.rows) == 1

@@ -2,6 +2,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brightcask.functions.intent import intent
 from brightcask.plans import admission, charts, profile, transforms
@@ -244,3 +245,48 @@ def test_scatter_charts_take_a_dimension_and_thin_out_large_results(spark):
     many = spark.range(charts.POINTS + 1).selectExpr("cast(id as double) as width", "cast(id % 100 as double) as height")
     shown = charts.marks(many, charts.choose(many, "correlation")[0])
     assert {"n", "x_bin", "width", "height"} <= set(shown.columns) and shown.count() <= 32 * 32 * 3
+
+
+def test_origins_go_along_with_columns(spark):
+    source = catalog.folder("s", "/root/testdata/sf0.001", ["orders"])
+    df = ask(spark, source, [], Question([Measure("income", "orders", "o_totalprice", "sum", "USD")], by=[("orders", "o_orderstatus")]))
+    later = df.filter("income > 0").orderBy("income").limit(2).withColumn("more", df["income"] + 1)
+    assert profile.origin(later.schema["income"]) == {"table": "orders", "expression": "o_totalprice", "how": "sum", "unit": "USD"} and profile.origin(later.schema["more"]) == {}
+    by = {p.name: p.default for p in profile.profiles(later)}
+    assert by == {"o_orderstatus": "count", "income": "none", "more": "sum"}
+    assert charts.marks(df, charts.Candidate("bar", "o_orderstatus", "income")).count() == df.count()
+
+
+def test_a_line_is_shown_whole_and_in_order(spark):
+    days = spark.sql("select date_add(date'2020-01-01', cast(id as int)) as day, cast(id as double) as value from range(400)").repartition(7)
+    shown = charts.spec(days, charts.Candidate("line", "day", "value"))
+    assert len(shown["values"]) == 400 == shown["n_marks"] and not shown["truncated"] and [v["value"] for v in shown["values"]] == [float(i) for i in range(400)]
+    many = spark.range(250).selectExpr("concat('c', id) as c", "cast(id as double) as size").repartition(5)
+    shown = charts.spec(many, charts.Candidate("bar", "c", "size"))
+    assert (shown["truncated"], shown["n_marks"], len(shown["values"])) == (True, 250, 100) and [v["size"] for v in shown["values"]] == [float(i) for i in range(249, 149, -1)]
+
+
+def test_distinct_values_are_counted_exactly_as_far_as_forms_need(spark):
+    for n in (1, 8, 9, 40, 41):
+        assert charts.looked_at(spark.range(500).selectExpr(f"concat('v', id % {n}) as kind", "cast(id as double) as size")).distinct["kind"] == n
+
+
+def test_a_reply_keeps_its_table_and_chart(spark, tmp_path):
+    from brightcask.plans.reply import reply, with_period
+    from brightcask.sources.artifacts import Artifacts
+
+    source, kept = catalog.folder("s", "/root/testdata/sf0.001", ["orders"]), Artifacts(f"{tmp_path}/kept")
+    q = Question([Measure("total", "orders", "o_totalprice", "sum")], by=[("orders", "o_orderpriorty")])
+    got = reply(spark, source, [], q, "Share of each priority", kept=kept)
+    assert (got.intent, got.chart["mark"], got.outcome.status) == ("part_to_whole", "pie", "success") and got.outcome.corrections == [("o_orderpriorty", "o_orderpriority")]
+    assert kept.load(spark, got.artifacts["chart_spec"])["mark"] == "pie" and kept.load(spark, got.artifacts["table"]).count() == 5
+    got = reply(spark, source, [], Question([Measure("n", "orders")], by=[("orders", "o_orderstatus")], filters=[("orders", "o_totalprice < 0")]), "How many?", kept=kept)
+    assert got.chart is None and got.outcome.error.code == "empty_result" and kept.load(spark, got.artifacts["error"])["code"] == "empty_result"
+    bad = spark.createDataFrame([(2020, 13, 1.0)], "order_year int, order_month int, total double")
+    assert with_period(bad).columns == bad.columns and with_period(bad.withColumn("order_month", F.lit(12))).columns == ["total", "period"]
+
+
+def test_several_statistics_in_a_question():
+    from brightcask.functions.wording import asks_several
+
+    assert asks_several("Min and max price") and asks_several("средняя и максимальная цена") and not asks_several("the maximum, the most") and not asks_several("") and not asks_several("administrator maxima")
