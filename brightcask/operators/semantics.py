@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightcask.functions import dictionary
-from brightcask.functions.intent import intent
+from brightcask.functions.intent import AXIS, WORDS, intent
 from brightcask.functions.nearest import nearest_values
 from brightcask.operators.registry import Tables, query
 from brightcask.functions.wording import several_statistics
@@ -356,3 +356,20 @@ def ask_with_a_part_of_a_value(t: Tables) -> DataFrame:
     """No part is called Widget: the names that hold the word are asked for, as the stored index has them."""
     q = Question([Measure("n_parts", "part")], by=[("part", "p_name")], filters=[("part", "p_name = 'Widget'")])
     return _ask(t, answers.with_values(t.spark, catalog.folder("sales", t.folder, SALES), q, _dictionary(t))[0])
+
+
+def _intent_sql(text: str) -> str:
+    starts = {n: "|".join([*ws, AXIS] if n == "correlation" else ws) for n, ws in WORDS}
+    return "case " + " ".join(rf"when regexp_matches(lower({text}), '(^|[^\p{{L}}\p{{N}}])(?:{s})') then '{n}'" for n, s in starts.items()) + " else 'unknown' end"
+
+
+FORMS = ["Top parts like %s", "Share of %s in sales", "monthly revenue of %s", "The Table for %s, x-axis: size", "Сравни %s", "what is a stop, %s?"]
+
+
+@query(f"""with q as (select text as question from conversations union all select replace({FORMS!r}[p_size % 6 + 1], '%s', p_name) from part)
+           select coalesce({_intent_sql("question")}, 'unknown') as intent, count(*) as n_questions, count(distinct question) as n_different from q group by 1""")
+def intents_of_questions(t: Tables) -> DataFrame:
+    """What the turns of conversations, and questions about every part, ask for."""
+    forms = F.array(*map(F.lit, FORMS))
+    asked = t.conversations.select(F.col("text").alias("question")).union(t.part.select(F.replace(F.get(forms, F.col("p_size") % 6), F.lit("%s"), F.col("p_name"))))
+    return asked.groupBy(intent(F.col("question")).alias("intent")).agg(F.count(F.lit(1)).alias("n_questions"), F.count_distinct("question").alias("n_different"))

@@ -1,15 +1,15 @@
-"""Results kept under an id: small ones as JSON beside the driver, tables as Parquet from the executors. And exports for people."""
+"""Results kept under an id: tables as Parquet, anything else as JSON, in any store that Spark can write to. And exports for people."""
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The kinds of artifacts, which are parts of their ids.
 KINDS = ("table", "chart_spec", "chart_image", "warning", "error", "debug_sql", "response")
 ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}")
 MARK = "\ufeff"  # by which spreadsheets know UTF-8
@@ -24,7 +24,7 @@ class Artifacts:
     def _path(self, name: str, suffix: str) -> str:
         if not ID.fullmatch(name) or ".." in name:
             raise ValueError(f"no artifact id: {name!r}")
-        return os.path.join(self.folder, f"{name}{suffix}")
+        return f"{self.folder}/{name}{suffix}"
 
     def save(self, request: str, kind: str, content: object) -> str:
         """Keeps a DataFrame as Parquet, anything else as JSON; returns the id: request, kind and eight hex digits."""
@@ -34,17 +34,16 @@ class Artifacts:
         if isinstance(content, DataFrame):
             content.write.parquet(self._path(name, ".parquet"))
         else:
-            os.makedirs(self.folder, exist_ok=True)
-            with open(self._path(name, ".json"), "w", encoding="utf-8") as f:
-                json.dump(content, f, ensure_ascii=False, default=str)
+            text = json.dumps(content, ensure_ascii=False, default=str)  # one line
+            SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.text(self._path(name, ".json"))
         return name
 
     def load(self, spark: SparkSession, name: str) -> object:
         table = self._path(name, ".parquet")
-        if os.path.isdir(table):
+        where = spark._jvm.org.apache.hadoop.fs.Path(table)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             return spark.read.parquet(table)
-        with open(self._path(name, ".json"), encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(spark.read.text(self._path(name, ".json")).first()[0])
 
 
 def labelled(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
