@@ -28,7 +28,7 @@ def test_the_mix_takes_what_the_apportionment_says(spark, block, rows_in, wing):
     got = {r.doc_id: r for r in mixing.mix(docs, block_words=block, shard_rows=rows_in, wing_shards=wing).collect()}
     shards = -(-docs.count() // rows_in)
     size = F.lit(0) + mixing.word_count(F.col("text"))
-    drawn = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit(7)).alias("draw"))
+    drawn = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", mixing.text_mark(F.col("text")), F.lit(7)).alias("draw"))
     rows = drawn.withColumn("shard", F.pmod(F.xxhash64("draw", F.col("size").cast("long")), F.lit(shards))).collect()
     turns = {(r.key, r.shard): r.turn for r in spark.createDataFrame([(k, s) for k in {f"s{r.source}" if r.source is not None else "n" for r in rows} for s in range(shards)], "key string, shard long").select("key", "shard", F.xxhash64("key", "shard", F.lit(7)).alias("turn")).collect()}
 
