@@ -104,7 +104,7 @@ def _columns(chosen: np.ndarray):
         column[chosen] = np.arange(len(chosen))
         for batch in batches:
             cols = [column[features(t.as_py())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], names=["at"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], names=["place", "at"])
 
     return run
 
@@ -131,8 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = telling(*counts, positives, others)
 
     def drawn(rows: DataFrame, most: int) -> list[np.ndarray]:
-        """The features of at most so many rows, the limit being Spark's: ids that repeat may draw more."""
-        few = rows.select("text").mapInArrow(_columns(chosen), "at array<int>").repartition(1).limit(most).toArrow()
+        """The features of at most so many rows, in an order of their own whatever task they come from, so that the same rows make the same model."""
+        placed = rows.select(F.xxhash64("id", "text").alias("place"), "text").mapInArrow(_columns(chosen), "place long, at array<int>")
+        few = placed.orderBy("place", "at").limit(most).toArrow()
         return [np.asarray(x.values, np.int64) for x in few.column("at")]
 
     return fit(drawn(confirmed, max_positive), drawn(plain, max_unlabelled), chosen, min(max(toxic / n, 1e-3), 1 - 1e-3))
