@@ -83,7 +83,8 @@ def nearest(words: DataFrame, held: Dictionary, most: int = 2) -> DataFrame:
     asked = words.distinct().select("table_name", "column_name", "word", F.explode(near_keys(F.col("word"))).alias("key"))
     found = asked.join(held.near, ["key", "table_name", "column_name"]).select("table_name", "column_name", "word", F.col("value").alias("meant")).distinct()
     limit = F.when(F.length("word") <= 4, 1).otherwise(most)
-    near = found.filter(F.abs(F.length("word") - F.length("meant")) <= most).withColumn("distance", edits(F.lower("word"), F.lower("meant")).cast("long")).filter(F.col("distance") <= limit)
+    likely = found.filter((F.abs(F.length("word") - F.length("meant")) <= most) & (F.levenshtein(F.lower("word"), F.lower("meant"), most + 1) >= 0))
+    near = likely.withColumn("distance", edits(F.lower("word"), F.lower("meant")).cast("long")).filter(F.col("distance") <= limit)
     of = ["table_name", "column_name", "word"]
     return near.groupBy(*of, "distance").agg(F.min("meant").alias("meant"), F.count(F.lit(1)).alias("n")).groupBy(*of).agg(F.min(F.struct("distance", "meant", "n")).alias("b")).filter("b.n = 1").select(*of, "b.meant", "b.distance")
 

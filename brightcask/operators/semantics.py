@@ -288,7 +288,7 @@ def merged_profile(t: Tables) -> DataFrame:
     return met.select("name", "n_rows", "n_values", number("least"), number("most"), (F.abs(F.col("n_distinct") - F.col("really")) <= 0.03 * F.col("really")).alias("distinct_is_near"), (near("q1", 0.25) & near("median", 0.5) & near("q3", 0.75)).alias("quartiles_are_near"))
 
 
-DICTIONARY = [("part", "p_type"), ("part", "p_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("customer", "c_name")]
+DICTIONARY = [("part", "p_type"), ("part", "p_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("supplier", "s_name")]
 VALUES = " union all ".join(f"select distinct '{t}' as table_name, '{c}' as column_name, {c} as value from {t}" for t, c in DICTIONARY)
 
 
