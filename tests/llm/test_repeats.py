@@ -71,7 +71,8 @@ def test_factors_are_the_longest_in_smaller_documents():
     bodies = [b" ".join(rng.choice([b"a", b"b", b"c"], int(rng.integers(1, 30)))) for _ in range(60)]
     ids = rng.integers(0, 20, len(bodies))
     block = relative_lz.Block(pa.array(bodies, pa.binary()), 4)
-    got = block.longest_factors(ids)
+    block.index(ids)
+    got = block.factors(np.arange(len(block.piece)))
     words = [b.split() for b in bodies]
     at = 0
     for w, i in zip(words, ids.tolist(), strict=True):
@@ -89,6 +90,51 @@ def test_factors_are_the_longest_in_smaller_documents():
     assert (block.parse(ids) == (got > 0)).all()
 
 
+def test_parsing_searches_only_at_factors_and_their_ends(monkeypatch):
+    import pyarrow as pa
+
+    text = [b"%d" % i for i in range(40)]
+    bodies = [b" ".join(text), b" ".join([b"x", *text[:25], *text[3:20]]), b" ".join(text[2:30])]
+    block = relative_lz.Block(pa.array(bodies, pa.binary()), 5)
+    asked, plain = [], relative_lz.Block.factors
+    monkeypatch.setattr(relative_lz.Block, "factors", lambda self, places: asked.extend(places.tolist()) or plain(self, places))
+    gone = block.parse(np.array([1, 2, 3]))
+    start = block.start
+    # The first piece has no smaller one: each of its 36 windows is asked for. The second: its x, two factors, and four windows across.
+    assert sorted(a - start[1] for a in asked if start[1] <= a < start[2]) == [0, 1, 22, 23, 24, 25, 26]
+    assert [a - start[2] for a in asked if a >= start[2]] == [0]
+    assert np.flatnonzero(gone[start[1] : start[2]]).tolist() == [*range(1, 22), *range(26, 39)]
+    assert np.flatnonzero(gone[start[2] :]).tolist() == list(range(24)) and not gone[: start[1]].any()
+
+
+@pytest.mark.parametrize("block_rows", [3, 50_000])
+def test_pieces_of_hot_anchors_meet_by_their_windows(spark, block_rows):
+    """With three pieces to a block nearly every anchor is too hot for one task."""
+    rng = np.random.default_rng(2)
+    shared = [f"s{i}" for i in range(30)]
+    texts = []
+    for _ in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(0, 40)))]
+        a = int(rng.integers(0, 30))
+        texts.append(" ".join([*own, *shared[a : a + int(rng.integers(10, 30))], *own[:5]]))
+    rows = [*enumerate(texts), (None, texts[0]), (5, texts[5]), (500, None), (501, "")]
+    first: dict[tuple, int] = {}
+    last = (1 << 63) - 1
+    for i, t in rows:
+        words = (t or "").split()
+        for a in range(len(words) - 12):
+            key = tuple(words[a : a + 13])
+            first[key] = min(first.get(key, last), last if i is None else i)
+    want = []
+    for i, t in rows:
+        words = (t or "").split()
+        gone = {b for a in range(len(words) - 12) if first[tuple(words[a : a + 13])] < (last if i is None else i) for b in range(a, a + 13)}
+        want.append((i, len(words), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in relative_lz.remove_repeats(docs, block_rows=block_rows).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(w[2] for w in want)
+
+
 def test_sweep_is_every_pair_of_an_anchor():
     rng = np.random.default_rng(9)
     for _ in range(30):
