@@ -30,6 +30,13 @@ def constant_row(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.lit(1).alias("dummy"))
 
 
+@query("select o_orderkey, 1 as one, 'orders' as origin, true as kept, null::double as discount, date '1998-08-02' as until, o_orderdate <= date '1998-08-02' as in_time from orders")
+def constants_beside_rows(t: Tables) -> DataFrame:
+    """Constants of every kind, an unknown one and one that is compared with each row."""
+    until = F.lit("1998-08-02").cast("date")
+    return t.orders.select("o_orderkey", F.lit(1).alias("one"), F.lit("orders").alias("origin"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("discount"), until.alias("until"), (F.col("o_orderdate") <= until).alias("in_time"))
+
+
 @query("select * from orders where o_orderstatus = 'F'")
 def filter_equal(t: Tables) -> DataFrame:
     return t.orders.filter(F.col("o_orderstatus") == "F")

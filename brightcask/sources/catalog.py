@@ -133,11 +133,11 @@ def families(df: DataFrame) -> dict[str, str]:
     return {n: "number" if isinstance(k, T.IntegralType) else "text" for n, k in kinds.items() if isinstance(k, (T.IntegralType, T.StringType))}
 
 
-def _sketched(spark: SparkSession, source: Source, columns: list[tuple[str, str]]) -> DataFrame:
+def _sketched(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
     """(at, family, n, sketch) of each column, at being its place in columns: a pass over each table, as partial aggregates of bounded size."""
     out = []
     for t in dict.fromkeys(t for t, _ in columns):
-        df = source.table(spark, t)
+        df = tables[t]
         family = families(df)
         mine = [(i, c) for i, (of, c) in enumerate(columns) if of == t]
         value = lambda c, family=family: F.col(f"`{c}`").cast("bigint" if family[c] == "number" else "string")
@@ -146,13 +146,13 @@ def _sketched(spark: SparkSession, source: Source, columns: list[tuple[str, str]
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def possible(spark: SparkSession, source: Source, columns: list[tuple[str, str]]) -> set[tuple[int, int]]:
+def possible(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> set[tuple[int, int]]:
     """Pairs (a, b) of places in columns such that b's values may be unique and hold all of a's, as far as sketches tell.
 
     Two sketches hold all values of their columns whose hashes lie below a bound. A value below both bounds that only a's has is proof
     that b lacks it, so no pair is lost; as many rows reach the driver as there are pairs of columns left.
     """
-    s = _sketched(spark, source, columns).filter("n > 0")
+    s = _sketched(tables, columns).filter("n > 0")
     b = s.select(F.col("at").alias("b"), "family", F.col("n").alias("m"), F.col("sketch").alias("other")).filter(F.theta_sketch_estimate("other") >= 0.8 * F.col("m"))
     held = F.theta_sketch_estimate(F.theta_difference("sketch", "other")) == 0
     return {(r.at, r.b) for r in s.join(b, "family").filter("at <> b").filter(held).select("at", "b").collect()}
@@ -166,25 +166,25 @@ def inclusions(spark: SparkSession, source: Source, columns: list[tuple[str, str
     hold it, as bits, and the bits that all values of a column have in common are the columns that include it.
     """
     schema = "table_name string, column_name string, parent string, parent_column string, n_distinct long, coverage double"
-    if columns is None:
-        columns = [(t, c) for t in source.visible() for c in families(source.table(spark, t))]
-    columns = [(t, c) for t, c in columns if c in families(source.table(spark, t))]
-    pairs = possible(spark, source, columns) if len(columns) > 1 else set()
+    tables = {t: source.table(spark, t) for t in (source.visible() if columns is None else dict.fromkeys(t for t, _ in columns))}
+    kinds = {t: families(df) for t, df in tables.items()}
+    columns = [(t, c) for t, c in (columns or [(t, c) for t in tables for c in kinds[t]]) if c in kinds[t]]
+    pairs = possible(tables, columns) if len(columns) > 1 else set()
     if not pairs:
         return spark.createDataFrame([], schema)
     left = sorted({i for pair in pairs for i in pair})
     place = {i: k for k, i in enumerate(left)}
     values = []
     for t in dict.fromkeys(columns[i][0] for i in left):
-        df = source.table(spark, t)
-        family = families(df)
+        df, family = tables[t], kinds[t]
         mine = [(place[i], c) for i, (of, c) in enumerate(columns) if of == t and i in place]
-        cell = lambda k, c, family=family: F.struct(F.lit(k).alias("at"), F.lit(family[c]).alias("family"), F.when(F.length(f"`{c}`") > 64, F.sha2(F.col(f"`{c}`").cast("binary"), 256)).otherwise(F.col(f"`{c}`")).cast("string").alias("value")) if family[c] == "text" else F.struct(F.lit(k).alias("at"), F.lit(family[c]).alias("family"), F.col(f"`{c}`").cast("string").alias("value"))
-        values.append(df.select(F.explode(F.array(*[cell(k, c) for k, c in mine])).alias("v")).select("v.*").filter("value is not null"))
-    counted = functools.reduce(DataFrame.unionByName, values).groupBy("family", "value", "at").agg(F.count(F.lit(1)).alias("n"))
+        number = lambda c, family=family: F.col(f"`{c}`").cast("bigint") if family[c] == "number" else F.lit(None).cast("bigint")
+        text = lambda c, family=family: F.lit(None).cast("string") if family[c] == "number" else F.when(F.length(f"`{c}`") > 64, F.sha2(F.col(f"`{c}`").cast("binary"), 256)).otherwise(F.col(f"`{c}`"))
+        values += [df.select(F.lit(k).alias("at"), number(c).alias("number"), text(c).alias("text")).filter(f"`{c}` is not null") for k, c in mine]
+    counted = functools.reduce(DataFrame.unionByName, values).groupBy("number", "text", "at").agg(F.count(F.lit(1)).alias("n"))
     words = range(-(-len(left) // BITS))
     bit = lambda w: F.bit_or(F.when(F.expr(f"at div {BITS} = {w}"), F.expr(f"shiftleft(1L, cast(at % {BITS} as int))")).otherwise(0)).alias(f"in{w}")
-    held = counted.groupBy("family", "value").agg(F.collect_list(F.struct("at", "n")).alias("of"), *[bit(w) for w in words])  # no more than columns
+    held = counted.groupBy("number", "text").agg(F.collect_list(F.struct("at", "n")).alias("of"), *[bit(w) for w in words])  # no more than columns
     each = held.select(F.inline("of"), *[f"in{w}" for w in words]).groupBy("at").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("most"), *[F.bit_and(f"in{w}").alias(f"in{w}") for w in words])
     named = spark.createDataFrame([(k, *columns[i]) for i, k in place.items()], "at int, t string, c string")  # a row per column
     each = each.join(F.broadcast(named), "at")
