@@ -23,6 +23,8 @@ from brightcask.sources.catalog import Source
 
 #: Letters of either end that letters are left out of, of a run, and of a value.
 END, GRAM, MOST = 12, 3, 200
+#: Words whose keys, some hundreds of each, are broadcast at most; those of more are sorted and merged with the index.
+FEW_WORDS = 300
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,11 @@ def runs(text: Column) -> Column:
     return F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: F.substring(low, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as a shuffle has, however small it is: the keys that its rows are about to come to are hundreds of times as large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns)
+
+
 def values_of(spark: SparkSession, source: Source, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """(table_name, column_name, value): the distinct values of these columns."""
     out = None
@@ -68,7 +75,7 @@ def build(values: DataFrame, path: str) -> None:
     """Writes the index of (table_name, column_name, value) under a path that all executors share."""
     kept = ["table_name", "column_name", "value"]
     for name, keys in (("near", near_keys), ("grams", runs)):
-        rows = values.select(F.explode(keys(F.col("value"))).alias("key"), *kept)
+        rows = _spread(values).select(F.explode(keys(F.col("value"))).alias("key"), *kept)
         rows.repartition("key", F.pmod(F.xxhash64("value"), F.lit(8))).sortWithinPartitions("key", *kept).write.parquet(f"{path}/{name}")  # a frequent run of letters is eight
     values.sparkSession.read.parquet(f"{path}/grams").groupBy("key", "table_name", "column_name").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
 
@@ -79,8 +86,13 @@ def load(spark: SparkSession, path: str) -> Dictionary:
 
 def nearest(words: DataFrame, held: Dictionary, most: int = 2) -> DataFrame:
     """(table_name, column_name, word, meant, distance) for words of (table_name, column_name, word): the value within so many edits, two at
-    most, a swap of neighbours being one; none if two are as near. Words of up to four letters may have one edit."""
-    asked = words.distinct().select("table_name", "column_name", "word", F.explode(near_keys(F.col("word"))).alias("key"))
+    most, a swap of neighbours being one; none if two are as near. Words of up to four letters may have one edit.
+
+    The optimiser takes the keys of words for as small as the words, so it is told which join to take.
+    """
+    words = words.select("table_name", "column_name", "word").distinct()
+    few = words.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    asked = (words if few else _spread(words)).select("table_name", "column_name", "word", F.explode(near_keys(F.col("word"))).alias("key")).hint("broadcast" if few else "merge")
     found = asked.join(held.near, ["key", "table_name", "column_name"]).select("table_name", "column_name", "word", F.col("value").alias("meant")).distinct()
     limit = F.when(F.length("word") <= 4, 1).otherwise(most)
     likely = found.filter((F.abs(F.length("word") - F.length("meant")) <= most) & (F.levenshtein(F.lower("word"), F.lower("meant"), most + 1) >= 0))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def edits(a: Column, b: Column) -> Column:
     """Edit distance in which one swap of neighbouring letters counts as one edit; exact up to two."""
     swapped = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
-    swaps = F.when(F.length(a) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.levenshtein(swapped(i), b)))) + 1
+    some = lambda meets: F.when(F.length(a) > 1, F.exists(F.sequence(F.lit(1), F.length(a) - 1), meets)).otherwise(False)
     plain = F.levenshtein(a, b)
-    return F.when((plain < 2) | (plain > 3), plain).otherwise(F.least(plain, swaps))  # a swap is two plain edits
+    swap_alone = (plain == 2) & (F.length(a) == F.length(b)) & some(lambda i: swapped(i) == b)  # a swap is two plain edits
+    swap_and_edit = (plain == 3) & some(lambda i: F.levenshtein(swapped(i), b, 1) >= 0)
+    return F.when(swap_alone | swap_and_edit, plain - 1).otherwise(plain)
 
 
 def nearest_values(words: DataFrame, df: DataFrame, column: str, most: int = 2) -> DataFrame:

@@ -96,3 +96,12 @@ def test_answers_look_values_up_in_the_index(spark, tmp_path):
     assert with_values(spark, source, ask("o''Neil"), held)[1] == []
     got = answer(spark, source, [], ask("house"), held=held)
     assert got.status == "success" and got.corrections == [("house", "HOUSEHOLD")] and len(got.rows) == 1
+
+
+def test_the_keys_of_many_words_are_not_broadcast(spark, corpus, held, monkeypatch):
+    few = sorted((r.word, r.meant) for r in dictionary.nearest(asked(spark, corpus[1]), held).collect())
+    monkeypatch.setattr(dictionary, "FEW_WORDS", len(corpus[1]) - 1)
+    df = dictionary.nearest(asked(spark, corpus[1]), held)
+    assert sorted((r.word, r.meant) for r in df.collect()) == few
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
