@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightcask.operators.registry import Tables, query
-from brightcask.plans.intervals import micros, overlapping
+from brightcask.plans.intervals import micros, overlapping, sums_within
 
 
 @query("select c_custkey, c_name, n_name from customer join nation on c_nationkey = n_nationkey")
@@ -118,10 +118,22 @@ HALF_HOUR = 30 * 60 * 1_000_000
 @query("""select p.event_id as purchase_id, count(*) as n_near, count(*) filter (e.user_id = p.user_id) as n_own, round(sum(e.value), 4) as total from events p join events e
           on e.ts between p.ts - interval 30 minutes and p.ts + interval 30 minutes where p.event_type = 'purchase' group by 1""")
 def join_interval(t: Tables) -> DataFrame:
-    """What happened within half an hour of each purchase, anywhere: two large tables with no key in common, joined by bins of time."""
-    at = micros(F.col("ts"))
-    met = overlapping(t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), t.events.select("user_id", "value", "ts"), (at - HALF_HOUR, at + HALF_HOUR), (at, at), 2 * HALF_HOUR)
-    return met.groupBy(F.col("l.event_id").alias("purchase_id")).agg(F.count(F.lit(1)).alias("n_near"), F.count_if(F.col("l.user_id") == F.col("r.user_id")).alias("n_own"), F.round(F.sum("r.value"), 4).alias("total"))
+    """What happened within half an hour of each purchase, anywhere: two large tables with no key in common. Pairs grow with the square of the
+    events of an hour, so none are made: counts and sums are found for each time and joined to the purchases. Values are summed exactly, up to
+    10^16 each; those that are no finite numbers are counted."""
+    x = F.col("value")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    events = t.events.select(
+        "event_id", "user_id", "event_type", micros(F.col("ts")).alias("at"), F.lit(1).alias("n_near"), F.lit(1).alias("n_own"), F.when(finite, x.cast("decimal(30,14)")).alias("total"), x.isNotNull().cast("int").alias("held"),
+        *[F.coalesce(is_one.cast("int"), F.lit(0)).alias(c) for c, is_one in (("none", F.isnan(x)), ("above", x == float("inf")), ("below", x == float("-inf")))],
+    )
+    sums = ["n_near", "total", "held", "none", "above", "below"]
+    purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "at")
+    near = sums_within(purchases, events, "at", HALF_HOUR, sums)
+    own = sums_within(purchases, events, "at", HALF_HOUR, ["n_own"], ["user_id"])
+    met = purchases.join(near, "at").join(own, ["user_id", "at"], "left").groupBy(F.col("event_id").alias("purchase_id")).agg(*[F.sum(c).alias(c) for c in sums], F.coalesce(F.sum("n_own"), F.lit(0)).alias("n_own"))
+    odd = F.when((F.col("none") > 0) | (F.col("above") > 0) & (F.col("below") > 0), float("nan")).when(F.col("above") > 0, float("inf")).when(F.col("below") > 0, float("-inf"))
+    return met.select("purchase_id", "n_near", "n_own", F.when(F.col("held") > 0, F.coalesce(odd, F.round(F.col("total").cast("double"), 4))).alias("total"))
 
 
 @query("""with o as (select o_orderkey, o_custkey, o_orderdate as opened, max(l_shipdate) as closed from orders join lineitem on l_orderkey = o_orderkey group by all)

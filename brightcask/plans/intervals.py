@@ -4,6 +4,8 @@ An axis is cut into bins, on levels whose bins are each FACTOR times as wide as
 first level whose bins are as wide as it is long, so it lies in two bins of it at most, however long it is. Two intervals meet on the
 coarser of their levels: each is given its bins on its own level and on those coarser ones that the other side has. A pair is taken in
 the first bin of its overlap alone, so it comes once, and no bin needs all pairs of its rows: the exact condition follows the join on the bin.
+
+Where only sums over the rows met are asked for, sums_within makes no pairs: a sum over an interval is the difference of two running sums.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.plans.ordering import numbered
+
 #: Two bins of a level at most: the number of levels is that of the digits of the longest interval, in this base.
 FACTOR = 4
 
@@ -58,6 +62,22 @@ def overlapping(left: DataFrame, right: DataFrame, left_span: tuple[Column, Colu
     return met.filter(exact & once).select("l", "r")
 
 
+def sums_within(centres: DataFrame, points: DataFrame, at: str, reach: int, sums: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
+    """(*on, at, *sums): for each distinct (*on, at) of centres without nulls, the sums of these columns over the points whose on is equal and
+    whose at is no further off than reach; 0 where there are none.
+
+    Points are summed up by (*on, at) first, so those of one place, however many, are one row. Both ends of each interval lie among them in
+    one order with running sums. Sums are to be whole numbers or decimals, for differences of doubles would depend on what comes before.
+    """
+    of = [*on, at]
+    held = points.dropna(subset=of).groupBy(*of).agg(*[F.sum(c).alias(c) for c in sums]).withColumns({"_centre": F.col(at), "_end": F.lit(1)})
+    ends = F.inline(F.array(*[F.struct((F.col(at) + d).alias("_at"), F.lit(e).alias("_end")) for d, e in ((-reach, 0), (reach, 2))]))  # before and behind the points of their place
+    asked = centres.select(*of).dropna().distinct().select(*on, F.col(at).alias("_centre"), ends).withColumnRenamed("_at", at)
+    running = numbered(held.unionByName(asked, allowMissingColumns=True), [*[(c, True) for c in of], ("_end", True)], "_number", sums={f"_{c}": c for c in sums})
+    upto = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0))
+    return running.filter("_end <> 1").groupBy(*on, F.col("_centre").alias(at)).agg(*[F.sum(F.when(F.col("_end") == 2, upto(c)).otherwise(-upto(c))).alias(c) for c in sums])
+
+
 def micros(ts: Column) -> Column:
     """A time as microseconds."""
     return F.unix_micros(ts.cast("timestamp"))

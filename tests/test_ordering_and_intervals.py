@@ -84,3 +84,27 @@ def test_tiles_are_as_sql_has_them(spark):
         got = [r[0] for r in spark.range(1, total + 1).select(tile(F.col("id"), total, tiles)).collect()]
         spark.range(total).createOrReplaceTempView("tiled")
         assert got == [r[0] for r in spark.sql(f"select ntile({tiles}) over (order by id) from tiled order by id").collect()]
+
+
+def test_sums_near_purchases_make_no_pairs(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    draw = random.Random(4)
+    start, half = datetime(2024, 1, 1), timedelta(minutes=30)
+    when = lambda: None if draw.random() < 0.02 else start + timedelta(minutes=draw.choice([0, 30, 30, 60, draw.randint(0, 2000)]))
+    rows = [(i if i % 9 else 9, when(), draw.choice([None, 1, 2, 3]), draw.choice(["purchase", "view", None]), draw.choice([None, 0.1, 1e9, -2.25, 7.03])) for i in range(400)]
+    late = start + timedelta(days=3)
+    rows += [(1000, late, 1, "purchase", None), (1001, late + timedelta(days=1), 1, "purchase", float("nan")), (1002, late + timedelta(days=2), None, "purchase", float("inf"))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i, ts, user, kind, _ in rows:
+        for _, at, other, _, value in rows if kind == "purchase" and ts else ():
+            if at and ts - half <= at <= ts + half:
+                got = want.setdefault(i, [0, 0, None])
+                got[:2] = got[0] + 1, got[1] + (user is not None and user == other)
+                got[2] = got[2] if value is None else value + (got[2] or 0)
+    df = registry.queries()["join_interval"](spark, str(tmp_path))
+    have = {r.purchase_id: [r.n_near, r.n_own, r.total] for r in df.collect()}
+    same = lambda a, b: a is b if a is None or b is None else repr(a) == repr(b) or abs(a - b) <= 1e-4 + 1e-12 * abs(b)
+    assert have.keys() == want.keys() and all(have[i][:2] == want[i][:2] and same(have[i][2], want[i][2]) for i in want), [(have[i], want[i]) for i in want][:5]
+    assert "bin#" not in plan(df) and len(want) > 50
