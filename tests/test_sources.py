@@ -175,3 +175,20 @@ def test_a_database_file_is_a_source_with_its_declared_keys(spark, tmp_path, kin
     assert catalog.keys_of(spark, undeclared) == source.keys
     marked = {(r.table_name, r.column_name): (r.primary_key, r.refers_to) for r in catalog.columns(spark, source, marks=True).collect()}
     assert marked["store", "id"] == (True, None) and marked["sale", "store_id"] == (False, "store.id")
+
+
+def test_fingerprints_of_another_order_take_more_tasks_for_larger_tables(spark, tmp_path):
+    from brightcask.operators.keys import _shuffled
+
+    spark.range(4000).selectExpr("id", "repeat(uuid(), 20) as text").repartition(6).write.parquet(f"{tmp_path}/t")
+    df, before = spark.read.parquet(f"{tmp_path}/t"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        counts = []
+        for size in ("1g", "100k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            parts = _shuffled(spark.read.parquet(f"{tmp_path}/t")).rdd.glom().map(len).collect()
+            counts.append(len(parts))
+            assert sum(parts) == 4000 and max(parts) < 4000 / 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert counts[0] < counts[1] and df.count() == 4000
