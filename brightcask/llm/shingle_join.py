@@ -1,4 +1,9 @@
-"""Near-dedup by exact similarity of word shingles: every pair with Jaccard 0.8 or more is found.
+"""Near-dedup by SimHash and covering locality-sensitive hashing, as op10 does it, with an exact check of word shingles, and a join of
+shingles for what fingerprints tell apart: every pair with Jaccard 0.8 or more is found, and no other is linked.
+
+Fingerprints are those of a text's set of 5-word shingles. Those within 4 bits are linked by simhash.links; the links whose sets have
+similarity 0.8 stand, and what they tie together is one component from there on. Most pairs of similarity 0.8 differ in more bits than
+covering tables are affordable for, so a join of shingles follows, which compares only texts that are not in one component yet.
 
 A text is the set of its 5-word shingles' hashes; texts with one set are one node. Two sets with similarity 0.8 share at least four
 fifths of either, so in any one order of all shingles they share one of each one's first n - ceil(0.8 n) + 1 (prefix filter). Nodes
@@ -25,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightcask.llm import simhash
 from brightcask.llm.common import dropped, only_rows, row_order, staged, text_mark
 from brightcask.llm.components import components
-from brightcask.llm.simhash import shingle_hashes
+from brightcask.llm.simhash import majority, shingle_hashes
 
 WORDS_IN = 5
 BITS = 512
@@ -70,8 +76,8 @@ def _profile(hot: np.ndarray):
         for b in batches:
             sets = [ordered(t.as_py(), hot) for t in b.column("text")]
             heads = [s[: len(s) - (4 * len(s) + 4) // 5 + 1] for s in sets]
-            cols = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), _lists(heads)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), *cols], names=["id", "mark", "node", "n", "marks", "prefix"])
+            cols = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), _lists(heads)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), *cols], names=["id", "mark", "node", "n", "fp", "marks", "prefix"])
 
     return run
 
@@ -155,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
 
 
 def _small(few: int):
-    """Sorted (token, n, node, place) in; candidates (node, other) of small buckets, members (node, token, n, place) of large ones out."""
+    """Sorted (token, n, node, place, comp) in; candidates (node, other) of small buckets between components, members (node, token, n, place) of large ones out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, parts = ["node", "other", "token", "n", "place"], []
@@ -165,14 +171,15 @@ def _small(few: int):
             pair = token == 0
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other, mask=~pair), *[pa.array(x, mask=pair) for x in (token, n, place)]], names=names)
 
-        for cols in _runs(batches, ["token", "n", "node", "place"]):
-            token, n, node, place = (c.to_numpy() for c in cols)
+        for cols in _runs(batches, ["token", "n", "node", "place", "comp"]):
+            token, n, node, place, comp = (c.to_numpy() for c in cols)
             if len(n) > few:
                 parts.append((node, np.zeros_like(node), np.where(token == 0, 1, token), n, place))
             else:
                 ends = np.searchsorted(n, n * 5 // 4, "right")
                 for a in range(len(n) - 1):
-                    met = allowed(n, place, a, np.arange(a + 1, ends[a]))
+                    others = np.arange(a + 1, ends[a])
+                    met = allowed(n, place, a, others[comp[others] != comp[a]])
                     if len(met):
                         zero = np.zeros(len(met), np.int64)
                         parts.append((np.full(len(met), node[a]), node[met], zero, zero, zero))
@@ -258,22 +265,34 @@ def verified(found: DataFrame, nodes: DataFrame, rows: DataFrame, slim: DataFram
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v) by fingerprint: each node with the least one of its fingerprint, and the least ones of linked fingerprints; a node has a
+    fixed number of them at most, however many are alike."""
+    least = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    near = simhash.links(least.select("fp")).distinct()
+    named = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"l{c}"))
+    pairs = nodes.join(least, "fp").select("node", F.col("least").alias("other")).unionByName(near.join(named("u"), "u").join(named("v"), "v").select(F.col("lu").alias("node"), F.col("lv").alias("other")))
+    return staged(pairs.filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "alike")
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str, few: int) -> tuple[DataFrame, DataFrame]:
     """(rows, of): rows (id, node) of docs, and of (node, first): the row (none, id, mark) that comes first in the node's component."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     marked = slim.select("id", text_mark(F.col("text")).alias("mark"), "text")
-    whole = staged(marked.mapInArrow(_profile(frequent(slim)), f"id {kind}, mark long, node long, n long, marks binary, prefix array<long>"), "shingle-profile")
+    whole = staged(marked.mapInArrow(_profile(frequent(slim)), f"id {kind}, mark long, node long, n long, fp long, marks binary, prefix array<long>"), "shingle-profile")
     rows = staged(whole.select("id", "node"), "shingle-rows")
-    full = staged(whole.groupBy("node").agg(F.min(row_order("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("n", "marks", "prefix")]), "full-nodes")
+    full = staged(whole.groupBy("node").agg(F.min(row_order("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "marks", "prefix")]), "full-nodes")
     dropped(whole)
     nodes = staged(full.drop("prefix"), "nodes")
-    at = full.select("node", "n", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
+    links = verified(alike(nodes), nodes, rows, slim)
+    tied = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    at = full.join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
     met = at.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_small(few), "node long, other long, token long, n long, place long")
     met = staged(met, "bucket-pairs")
     dropped(full)
     pairs = met.filter("token is null").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-    links = verified(pairs, nodes, rows, slim)
+    links = links.unionByName(verified(pairs, nodes, rows, slim))
     large = met.filter("token is not null").drop("other")
     if large.head(1):
         large = staged(large.join(nodes.select("node", "marks"), "node"), "large-buckets")

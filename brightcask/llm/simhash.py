@@ -44,7 +44,11 @@ def shingle_hashes(text: str | None, words_in: int = 4) -> np.ndarray:
 
 def fingerprint(text: str | None, words_in: int = 4) -> int:
     """Signed, as Spark's long."""
-    h = shingle_hashes(text, words_in)
+    return majority(shingle_hashes(text, words_in))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 - toxicity: documents scored 0.5 or more go.
 - exact_dedup: of equal texts the smallest doc_id stays.
-- near_dedup: of a group linked by 5-word shingles of Jaccard similarity 0.8 or more the smallest doc_id stays.
+- near_dedup: of a group linked by 5-word shingles of Jaccard similarity 0.8 or more the smallest doc_id stays. Links come from op10's method
+  (SimHash fingerprints, covering tables) with an exact check, and from a join of shingles for pairs whose fingerprints are further apart.
 - mix_sources: a document comes as often as the mix takes it, or not at all; a share of one is drawn by a seeded hash.
 - pack: one row per piece, as op8 returns it.
 
